@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, sharding
+from . import dac, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -18,13 +18,23 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_store": op2_token_store,
+    "op3_simhash": op3_simhash,
     "op7_sharding": op7_sharding,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
