@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, quality, sharding, simhash, toxicity
+from . import dac, decontaminate, packing, pii, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -39,7 +47,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The test items have five words and more here; shorter ones are tested against brute force.
+OP6_SQL = f"""
+with d as (select doc_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+b as (select distinct item_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark),
+ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from d, unnest(range(1, len(w) - 3)) as t(i)),
+bs as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s from b, unnest(range(1, len(w) - 3)) as t(i)),
+n as (select item_id, count(*) as n_shingles from bs group by 1),
+m as (select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by 1, 2)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join n using (item_id)
+where n_shared >= ceil(0.8 * n_shingles - 1e-9)
+"""
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
