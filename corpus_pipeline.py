@@ -1,23 +1,59 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus pipeline over `documents`.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All stages but the last return the columns of `documents`.
+
+A toxic document goes, one document of each near-duplicate component stays (the one with the smallest doc_id), documents
+that hold a benchmark item go, personal data is masked (n_chars follows the text), and what is left is packed into
+sequences with its token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mathlake.llm import packing
+from mathlake.llm import decontaminate, packing, pii, simhash, toxicity
 from mathlake.llm.common import materialise, table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents among docs; rejects documents with a score of at least the threshold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each component: its smallest doc_id, and one row where doc_ids repeat."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, keep_ids=True)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+#: Tokenizer, model and pattern scores have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

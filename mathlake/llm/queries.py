@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, decontaminate, packing, pii, quality, sharding, simhash, toxicity
+from . import dac, decontaminate, hmm, lpf, packing, pii, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,15 +46,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_store": op2_token_store,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_hmm": op5_hmm,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_repeats": op10_repeats,
 }
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The test items have five words and more here; shorter ones are tested against brute force.

@@ -284,3 +284,14 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     named = root.join(root.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's, and the first in text order where its rows repeat.
+
+    Rows are first reduced within (component, doc_id), so a component of any size is only ever counted, never gathered.
+    """
+    named = near_duplicates(docs, group).select("doc_id", "component_id").distinct()
+    leaders = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
