@@ -8,8 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,3 +92,37 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, buc
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     ranked = cut.withColumn(out, F.row_number().over(inside).cast("long") - 1)
     return ranked.join(base, [*keys, "__bucket"]).withColumn(out, F.col(out) + F.col("__base")).drop("__bucket", "__base")
+
+
+#: Bits of a key bitmap: a fixed 8 MB, whatever the number of keys. The fuller it is, the more rows are only maybe marked.
+BITMAP = 1 << 26
+
+
+def _slot(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITMAP))
+
+
+def key_bitmap(df: DataFrame, keys: list[str]) -> bytes:
+    """One bit for each slot that a key of df falls in."""
+    slots = df.select((_slot(keys) + 1).alias("slot"))
+    rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out = bytearray(BITMAP // 8)
+    for r in rows:
+        at = (r["b"] - 1) * 4096
+        out[at : at + 4096] = r["bits"]
+    return bytes(out)
+
+
+def marked(df: DataFrame, keys: list[str], bits: bytes, inside: bool) -> DataFrame:
+    """The rows of df that may have a key of the bitmap, or those that have none: two parts of df, told apart where read."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield rest.filter(pa.array(hit == inside, pa.bool_()))
+
+    return df.withColumn("__slot", _slot(keys)).mapInArrow(run, df.schema)

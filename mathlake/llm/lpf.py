@@ -16,7 +16,7 @@ has its longest factor at the next one. Both are removed here, as strings are ju
 Hot buckets. A bucket over BUCKET bytes is cut into parts. Each part finds its own repeats as above and hands on one row for
 each string that it holds, with the start if that is still unresolved; strings that two parts hold are repeated.
 
-Text moves once, and only of documents with a shared bucket: a bitmap of fixed size (2 MB) tells the others, whose texts
+Text moves once, and only of documents with a shared bucket: a bitmap of fixed size tells the others, whose texts
 are hashed where they are read.
 
 Defined cases: null text is empty; texts under WIDTH bytes stay whole; repeated rows are copies of each other; rows that
@@ -34,12 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, ship
+from .common import discard, key_bitmap, marked, materialise, ship
 
 WIDTH, GRAM = 400, 200
 BUCKET = 2 << 20
 CHUNK = 1 << 20
-BITMAP = 1 << 24
 BASE = 0x5851F42D4C957F2D
 MIX = np.uint64(0x9FB21C651E98DF25)
 _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -180,21 +179,6 @@ def _runs_of(keyed: DataFrame, width: int, gram: int) -> DataFrame:
     return keyed.select("key", "crc", "body").mapInArrow(run, "bucket long, s1 long, s2 long, twice boolean, key long, crc long, first long, starts long")
 
 
-def _slot(key: str = "key", crc: str = "crc"):
-    return F.pmod(F.xxhash64(key, crc), F.lit(BITMAP))
-
-
-def _bitmap(keys: DataFrame) -> bytes:
-    """One bit for each slot that a (key, crc) of the table falls in: BITMAP bits whatever the table holds."""
-    slot = keys.select((_slot() + 1).alias("slot"))
-    rows = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    out = bytearray(BITMAP // 8 + 4096)
-    for r in rows:
-        at = (r["b"] - 1) * 4096
-        out[at : at + 4096] = r["bits"]
-    return bytes(out)
-
-
 def _locals(spans: DataFrame, width: int, hot: bool) -> DataFrame:
     """LPF over each bucket, or part of a hot one. Rows with to > from are intervals; a hot part adds rows of strings."""
 
@@ -239,7 +223,7 @@ def find(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BU
     shared = found.groupBy("bucket").agg(F.count("*").alias("n"), F.max("twice").alias("t")).filter("n > 1 or t").select("bucket")
     kept = materialise(found.join(shared, "bucket"), "lpf-shared")
     discard(found)
-    bits = _bitmap(kept)
+    bits = key_bitmap(kept, ["key", "crc"])
 
     # A row a distinct span: how often it occurs, and where it occurs first.
     spans = kept.groupBy("bucket", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("key", "crc", "first", "starts")).alias("at"))
@@ -253,7 +237,7 @@ def find(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BU
     wanted = spans.join(loads, "bucket").select("at.*", part.alias("part"), (F.col("c") == 1).alias("single"), (F.col("load") > bucket).alias("hot"))
     wanted = wanted.groupBy("key", "crc").agg(F.collect_list(F.struct("part", "single", "hot", "first", "starts")).alias("w"))
 
-    texts = _marked(keyed, bits, True).dropDuplicates(["key", "crc"]).select("key", "crc", "body")
+    texts = marked(keyed, ["key", "crc"], bits, True).dropDuplicates(["key", "crc"]).select("key", "crc", "body")
     cut = texts.join(wanted, ["key", "crc"]).select("key", "crc", "body", F.explode("w").alias("w"))
     cut = cut.select("w.part", "w.single", "w.hot", "key", "crc", "w.first", "w.starts", F.substring("body", F.col("w.first").cast("int") + 1, (F.col("w.starts") + (width - 1)).cast("int")).alias("span"))
     cut = materialise(cut, "lpf-spans")
@@ -267,26 +251,12 @@ def find(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BU
     return intervals, bits
 
 
-def _marked(keyed: DataFrame, bits: bytes, inside: bool) -> DataFrame:
-    """The documents whose slot is set, or those whose slot is not."""
-    shared = keyed.sparkSession.sparkContext.broadcast(bits)
-    rows = keyed.withColumn("slot", _slot())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
-        for batch in batches:
-            want = marks[batch.column(batch.num_columns - 1).to_numpy()] == inside
-            yield batch.drop_columns(["slot"]).filter(pa.array(want, pa.bool_()))
-
-    return rows.mapInArrow(run, keyed.schema)
-
-
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text what is left (binary)."""
     intervals, bits = find(docs, width, gram, bucket)
     cuts = intervals.groupBy("key", "crc").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("cuts"))
     keyed = _keyed(docs)
-    texts = _marked(keyed, bits, True).join(cuts, ["key", "crc"], "left")
+    texts = marked(keyed, ["key", "crc"], bits, True).join(cuts, ["key", "crc"], "left")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,5 +274,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text binary" * keep_text
     touched = texts.select("doc_id", "body", "cuts").mapInArrow(run, schema)
     zero = F.lit(0).cast("long")
-    free = _marked(keyed, bits, False).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), *([F.col("body").alias("text")] if keep_text else []))
+    free = marked(keyed, ["key", "crc"], bits, False).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), *([F.col("body").alias("text")] if keep_text else []))
     return touched.unionByName(free)

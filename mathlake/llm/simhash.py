@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, materialise, ship
+from .common import discard, key_bitmap, marked, materialise, ship
 
 SEED, WIDTH, RADIUS = 42, 3, 3
 GROUP = 8192
@@ -287,11 +288,19 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id's, and the first in text order where its rows repeat.
+    """docs with one row of each component: the smallest doc_id's.
 
-    Rows are first reduced within (component, doc_id), so a component of any size is only ever counted, never gathered.
+    Rows that share a doc_id are one document: it stays if one of them leads its component, as its first row in hash
+    order. Rows without a doc_id stay. Only rows that may have to go are shuffled; a bitmap of fixed size tells the
+    others, which pass where they are read. A component of any size is only ever counted, never gathered.
     """
-    named = near_duplicates(docs, group).select("doc_id", "component_id").distinct()
-    leaders = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    named = near_duplicates(docs, group).filter("doc_id is not null")
+    named = named.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__leads"))
+    touched = materialise(named.filter("__n > 1 or __leads = 0").withColumnRenamed("doc_id", "__doc"), "simhash-touched")
+    bits = key_bitmap(touched, ["__doc"])
+    maybe = marked(docs, ["doc_id"], bits, True)
+    found = maybe.join(touched, maybe["doc_id"] == touched["__doc"], "left")
+    clear = found.filter("__doc is null").select(*docs.columns)
+    repeats = found.filter("__leads = 1 and __n > 1").withColumn("__h", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    one = repeats.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h"))).filter("__k = 1").select(*docs.columns)
+    return marked(docs, ["doc_id"], bits, False).unionByName(clear).unionByName(one)
