@@ -1 +1 @@
-
+"""Operators over formulas, candidates, documents and attempts."""

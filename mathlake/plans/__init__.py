@@ -1 +1 @@
-
+"""Chains of operators, and the registered queries with their SQL."""

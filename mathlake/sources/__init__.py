@@ -1 +1 @@
-
+"""Readers and writers: tables, text, manifests, archives, Markdown images."""

@@ -1 +1 @@
-
+"""Attempts and edits that arrive as streams."""
