@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from mathlake.llm import decontaminate, packing, pii, simhash, toxicity
 from mathlake.llm.common import materialise, table
+from mathlake.llm.tokens import SMALL_MEMO
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents among docs; rejects documents with a score of at least the threshold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, keep_ids=True)
+    return packing.pack(docs, keep_ids=True, memo=SMALL_MEMO)
 
 
 STAGES = [

@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,57 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import discard, materialise, shared_dir, ship, tidied  # noqa: F401  the operators take them from here
+
 #: Word separators of the contracts: space and U+0009 to U+000D. bytes.split() cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="mathlake-shared-")
-        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
-
-    Survives the loss of executors, and what is written is computed once however often it is read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables of materialise() that nothing lazy reads any more."""
-    for df in frames:
-        jvm, path = df.sparkSession._jvm, df.written_to
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of any cluster."""
-    sc = spark.sparkContext
-    if getattr(sc, "_mathlake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = tempfile.mkdtemp(prefix="mathlake-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(to := os.path.join(folder, "mathlake_code.zip"), "w") as z:
-        for p in sorted((root / "mathlake").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(to)
-    sc._mathlake_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -125,4 +74,4 @@ def marked(df: DataFrame, keys: list[str], bits: bytes, inside: bool) -> DataFra
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
             yield rest.filter(pa.array(hit == inside, pa.bool_()))
 
-    return df.withColumn("__slot", _slot(keys)).mapInArrow(run, df.schema)
+    return df.withColumn("__slot", _slot(keys)).mapInArrow(tidied(run), df.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, ship
+from .common import shared_dir, ship, tidied
 from .tokens import default_tokenizer, encoder
 
 MAGIC, BLOCK = b"DAC1", 512
@@ -105,9 +105,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([total], pa.int64()), doc_ids, lengths, pa.array([encode(np.concatenate(held))], pa.binary())], ["shard", "segment", "n_tokens", "doc_ids", "doc_lengths", "codes"])
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for i, text in enumerate(texts):
-                held.append(to_ids.ids(text.as_py() or b"", end_id))
+            for i, ids in enumerate(to_ids.stream(batch.column(1), end_id)):
+                held.append(ids)
                 names.append(batch.column(0).slice(i, 1))
                 total += len(held[-1])
                 if total >= segment_tokens:
@@ -119,7 +118,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     (
         rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(run, SEGMENTS.format(kind=kind))
+        .mapInArrow(tidied(run), SEGMENTS.format(kind=kind))
         .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     )
 
@@ -155,7 +154,7 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored.select("shard", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("segment_start"))
     starts = starts.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("segment_start")).alias("base"))
-    rows = stored.mapInArrow(run, schema).join(starts, ["shard", "segment"])
+    rows = stored.mapInArrow(tidied(run), schema).join(starts, ["shard", "segment"])
     return rows.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 

@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK = 20_000
-MEMO = 400_000
+MEMO = 200_000
 BITS = 22
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDTH)], np.uint64)
 
@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 columns += [pa.array([h[k] for h in hit], pa.int64()) for k in (1, 2)] + [pa.array([h[2] / h[1] for h in hit], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
-        part = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {id_kind}, n_shingles long, n_shared long, containment double")
+        part = texts.mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {id_kind}, n_shingles long, n_shared long, containment double")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -159,5 +159,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                 clean = [not index.search(t.as_py() or b"", memo) for t in batch.column(place).cast(pa.binary())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, marked, materialise, ship
+from .common import discard, key_bitmap, marked, materialise, ship, tidied
 
 WIDTH, GRAM = 400, 200
-BUCKET = 2 << 20
+BUCKET = 1 << 20
 CHUNK = 1 << 20
 BASE = 0x5851F42D4C957F2D
 MIX = np.uint64(0x9FB21C651E98DF25)
@@ -164,19 +164,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _runs_of(keyed: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, first, count, bucket, twice, high, low = [], [], [], [], [], [], []
+            held, row = [], []
+
+            def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+                table = np.array(held, np.uint64).reshape(-1, 6)
+                at = pa.array(row, pa.int64())
+                bucket, s1, s2, first, starts = (pa.array(table[:, k].view(np.int64)) for k in (0, 1, 2, 3, 4))
+                return pa.RecordBatch.from_arrays([bucket, s1, s2, pa.array(table[:, 5] > 0), batch.column(0).take(at), batch.column(1).take(at), first, starts], ["bucket", "s1", "s2", "twice", "key", "crc", "first", "starts"])
+
             for i, body in enumerate(batch.column(2)):
                 text = body.as_py()
                 if len(text) < width:
                     continue
                 for a, n, b, self_ in runs(np.frombuffer(text, np.uint8), width, gram):
                     d = xxhash.xxh3_128_intdigest(text[a : a + n + width - 1])
-                    row.append(i), first.append(a), count.append(n), bucket.append(b), twice.append(self_), high.append(d >> 64), low.append(d & 0xFFFFFFFFFFFFFFFF)
-            at = pa.array(row, pa.int64())
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (bucket, high, low)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(twice, pa.bool_()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int64()), pa.array(count, pa.int64())], ["bucket", "s1", "s2", "twice", "key", "crc", "first", "starts"])
+                    row.append(i)
+                    held.append((b, d >> 64, d & 0xFFFFFFFFFFFFFFFF, a, n, self_))
+                if len(held) > 20_000:
+                    yield out(batch)
+                    held, row = [], []
+            if held:
+                yield out(batch)
 
-    return keyed.select("key", "crc", "body").mapInArrow(run, "bucket long, s1 long, s2 long, twice boolean, key long, crc long, first long, starts long")
+    return keyed.select("key", "crc", "body").mapInArrow(tidied(run), "bucket long, s1 long, s2 long, twice boolean, key long, crc long, first long, starts long")
 
 
 def _locals(spans: DataFrame, width: int, hot: bool) -> DataFrame:
@@ -184,19 +194,20 @@ def _locals(spans: DataFrame, width: int, hot: bool) -> DataFrame:
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         owner, offset, earlier, any_ = judge([h[6] for h in held], width)
-        single = np.array([h[1] for h in held], bool)
+        single, key, crc, first = (np.array([h[k] for h in held], kind) for k, kind in ((1, bool), (2, np.int64), (3, np.int64), (4, np.int64)))
         open_ = any_ & single[owner]
-        found = zip(*(x.tolist() for x in stretches(owner[open_], offset[open_])), strict=True)
-        rows = [(held[o][2], held[o][3], held[o][4] + a, held[o][4] + b + width, 0, 0) for o, a, b in found]
+        o, x, y = stretches(owner[open_], offset[open_])
+        none = np.zeros(len(o), np.int64)
+        parts = [(key[o], crc[o], first[o] + x, first[o] + y + width, none, none)]
         if hot:
             bounds = np.searchsorted(owner, np.arange(len(held) + 1)).tolist()
             for o, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                data = np.frombuffer(held[o][6], np.uint8)
-                h1, h2 = (gram_hashes(data, width, base).view(np.int64).tolist() for base in (BASE, BASE ^ 0x5DEECE66))
-                alone = (~any_[a:b] & single[o]).tolist()
-                for x in np.flatnonzero(~earlier[a:b]).tolist():
-                    rows.append((held[o][2], held[o][3], held[o][4] + x, held[o][4] + x + width if alone[x] else -1, h1[x], h2[x]))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
+                data, x = np.frombuffer(held[o][6], np.uint8), np.flatnonzero(~earlier[a:b])
+                start = first[o] + x
+                end = np.where(single[o] & ~any_[a:b][x], start + width, -1)
+                hashes = (gram_hashes(data, width, base).view(np.int64)[x] for base in (BASE, BASE ^ 0x5DEECE66))
+                parts.append((np.full(len(x), key[o]), np.full(len(x), crc[o]), start, end, *hashes))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "crc", "from", "to", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +223,7 @@ def _locals(spans: DataFrame, width: int, hot: bool) -> DataFrame:
             yield flush(held)
 
     dealt = spans.repartition("part").sortWithinPartitions("part")
-    return dealt.select("part", "single", "key", "crc", "first", "starts", "span").mapInArrow(run, "key long, crc long, from long, to long, h1 long, h2 long")
+    return dealt.select("part", "single", "key", "crc", "first", "starts", "span").mapInArrow(tidied(run), "key long, crc long, from long, to long, h1 long, h2 long")
 
 
 def find(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> tuple[DataFrame, bytes]:
@@ -272,7 +283,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text])
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text binary" * keep_text
-    touched = texts.select("doc_id", "body", "cuts").mapInArrow(run, schema)
+    touched = texts.select("doc_id", "body", "cuts").mapInArrow(tidied(run), schema)
     zero = F.lit(0).cast("long")
     free = marked(keyed, ["key", "crc"], bits, False).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), *([F.col("body").alias("text")] if keep_text else []))
     return touched.unionByName(free)

@@ -16,12 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialise, ship
-from .tokens import default_tokenizer, encoder
+from .common import gapless_rank, materialise, ship, tidied
+from .tokens import MOST_WORDS, TOGETHER, default_tokenizer, encoder
 
 CAPACITY = 4096
 END_ID = 2
@@ -97,17 +98,16 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndar
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memo: tuple[int, int] = (MOST_WORDS, TOGETHER)) -> DataFrame:
     """Tokenizes whole texts and cuts each into full windows and a rest: one row a piece, with its ids or their crc32."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(tokenizer)
+        to_ids = encoder(tokenizer, *memo)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
             row, start, length, total, crc, data = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = to_ids.ids(text.as_py() or b"", end_id).astype("<u4", copy=False)
+            for i, ids in enumerate(to_ids.stream(batch.column(1), end_id)):
+                ids = ids.astype("<u4", copy=False)
                 for a in range(0, len(ids), capacity):
                     piece = ids[a : a + capacity].tobytes()
                     row.append(i), start.append(a), length.append(len(piece) // 4), total.append(len(ids)), crc.append(zlib.crc32(piece))
@@ -122,32 +122,28 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, buckets: int = 256, memo: tuple[int, int] = (MOST_WORDS, TOGETHER)) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with keep_ids its ids.
 
     ids are little-endian unsigned 32-bit integers. Sequences are filled from offset 0 without gaps; what lies beyond a
     sequence's last piece is padding.
     """
-    pieces = materialise(cut(docs, tokenizer or default_tokenizer(), capacity, end_id, keep_ids), "pieces")
+    pieces = materialise(cut(docs, tokenizer or default_tokenizer(), capacity, end_id, keep_ids, memo), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(plan_windows(histogram, capacity))
     ranked = gapless_rank(pieces, ["length"], ["doc_id", "start"], "rank", buckets)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = plan.value
-        keys = (rows[:, 0] << 44) + rows[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(keys, (length << 44) + rank, "right") - 1
-            _, first, base, each, offset = rows[at].T
-            i = rank - first
-            out = batch.drop_columns(["rank"])
-            yield out.append_column("sequence_id", pa.array(base + i // each)).append_column("offset", pa.array(offset + i % each * length))
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        rows, n = plan.value, length.to_numpy()
+        at = np.searchsorted((rows[:, 0] << 44) + rows[:, 1], (n << 44) + rank.to_numpy(), "right") - 1
+        _, first, base, each, offset = rows[at].T
+        i = rank.to_numpy() - first
+        return pd.DataFrame({"sequence_id": base + i // each, "offset": offset + i % each * n})
 
+    # Only two numbers a piece reach Python; its ids do not.
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
-    kinds = dict(ranked.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(place, schema)
+    return ranked.withColumn("__at", place("length", "rank")).select(*names, "__at.sequence_id", "__at.offset")

@@ -141,7 +141,7 @@ def learn(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: f
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of every row with base (its base spans) and spans (all): arrays of (rank, start, end), rank by KINDS."""
+    """The kept columns of every row with __base (its base spans) and __spans (all): arrays of (rank, start, end), rank by KINDS."""
     keep = keep or ["doc_id"]
     rows = materialise(base(docs, keep).withColumn("__row", F.monotonically_increasing_id()), "pii-base")
     confident = learn(rows)
@@ -149,11 +149,11 @@ def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     marked = free.join(confident, "pattern").groupBy("__row").agg(F.collect_set(F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("__more"))
     bare = lambda k: F.transform(F.col(f"__{KINDS[k]}"), lambda s: F.struct(F.lit(k + 1).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     seeds = F.concat(*(bare(k) for k in range(len(KINDS))))
-    out = rows.join(marked, "__row", "left").withColumn("base", F.array_sort(seeds))
+    out = rows.join(marked, "__row", "left").withColumn("__base", F.array_sort(seeds))
     nothing = F.array().cast("array<struct<rank:int,start:int,end:int>>")
     # A span that two kinds' patterns mark is kept once, under the first kind.
     added = F.filter(F.coalesce("__more", nothing), lambda m: ~F.exists(F.coalesce("__more", nothing), lambda o: (o["start"] == m["start"]) & (o["rank"] < m["rank"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", added))).select(*keep, "base", "spans")
+    return out.withColumn("__spans", F.array_sort(F.concat("__base", added))).select(*keep, "__base", "__spans")
 
 
 def written(column: str) -> Column:
@@ -164,17 +164,17 @@ def written(column: str) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and all spans as text."""
     found = spans(docs)
-    number = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    number = lambda rank: F.size(F.filter("__base", lambda s: s["rank"] == rank)).cast("long")
     counts = [number(k + 1).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written("__base").cast("binary"), 256).alias("base_sha256"), written("__spans").alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
-    columns = [c for c in docs.columns]
+    columns = docs.columns
     found = spans(docs, columns)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
 
     def step(s: Column, x: Column) -> Column:
         before = F.substring(F.col("text"), s["pos"] + 1, x["start"] - s["pos"])
@@ -183,5 +183,5 @@ def mask(docs: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["pos"] + 1, F.length("text")))
-    masked = F.when(F.size("spans") > 0, F.aggregate(ordered, begin, step, rest)).otherwise(F.col("text"))
+    masked = F.when(F.size("__spans") > 0, F.aggregate(ordered, begin, step, rest)).otherwise(F.col("text"))
     return found.withColumn("text", masked).select(*columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_LOST = 0.4
@@ -108,4 +108,4 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST, keep_text: bool = True) -
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept", *["text"] * keep_text])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean" + ", text string" * keep_text
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, key_bitmap, marked, materialise, ship
+from .common import discard, key_bitmap, marked, materialise, ship, tidied
 
 SEED, WIDTH, RADIUS = 42, 3, 3
 GROUP = 8192
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def block_masks(bits: list[int], blocks: int = 5, agree: int = 2) -> list[int]:
@@ -216,7 +216,7 @@ def _links(grouped: DataFrame) -> DataFrame:
         if rows:
             yield out(np.concatenate(held_g), np.concatenate(held_f))
 
-    return grouped.repartition("gid").sortWithinPartitions("gid", "fp").mapInArrow(run, "u long, v long")
+    return grouped.repartition("gid").sortWithinPartitions("gid", "fp").mapInArrow(tidied(run), "u long, v long")
 
 
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:

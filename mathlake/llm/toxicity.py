@@ -7,8 +7,8 @@ evidence is the difference of its two log-likelihoods; a document's is the sum o
 the square root of its length, and its three strongest words. A logistic curve fitted on cross-fitted evidence (models
 that have not seen the row) turns that into a score from 0 to 1.
 
-Learning uses labelled rows only: at most MAX_TOXIC and MAX_ORDINARY of them, the first in hash order, and at most
-MAX_GRAMS n-grams, the most frequent. These bounds are the bound of what is collected and broadcast. Scoring reads
+Learning uses labelled rows only: a share of each class by hash, expected to hold MAX_TOXIC and MAX_ORDINARY rows (all
+where there are fewer), and at most MAX_GRAMS n-grams, the most frequent. These bounds are the bound of what is collected and broadcast. Scoring reads
 every document's whole text and nothing but the text.
 
 Defined cases: null and empty texts have no evidence and get the curve's value there; without labelled rows of both
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, learns, materialise, ship
+from .common import discard, learns, materialise, ship, tidied
 
 ORDER, DISCOUNT = 5, 0.75
 MARGIN = 3.0
 MAX_TOXIC, MAX_ORDINARY, MAX_GRAMS = 8_000, 12_000, 1_000_000
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 400_000
+MEMO = 200_000
 
 
 def grams(word: str, order: int = ORDER) -> list[str]:
@@ -127,11 +127,12 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int
     """Texts of the learning rows (text, toxic), materialised, and the number of rows one of each class stands for."""
     rows = labels.filter(learns("doc_id", 4)).filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     found = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    most = {0: max_ordinary, 1: max_toxic}
-    parts = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
+    # A share of each class by hash: expected to hold the most that is asked for, and told apart row by row.
+    shares = [min(1.0, most / max(1, found.get(k, 0))) for k, most in enumerate((max_ordinary, max_toxic))]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    chosen = rows.filter(place < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return materialise(texts, "toxicity-sample"), [found.get(k, 0) / max(1, min(found.get(k, 0), most[k])) for k in (0, 1)]
+    return materialise(texts, "toxicity-sample"), [1 / s for s in shares]
 
 
 def fold_of(text: str) -> int:
@@ -144,22 +145,29 @@ def count_grams(texts: DataFrame, max_grams: int) -> dict[str, list[int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            found: dict[str, list[int]] = {}
+            for w, counts in words.items():
+                for g in grams(w):
+                    have = found.setdefault(g, [0] * 4)
+                    for i in range(4):
+                        have[i] += counts[i]
+            return pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in range(4))], ["g", "n0", "n1", "n2", "n3"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 2 * toxic + fold_of(text or "")
                 for w in set(WORDS.findall((text or "").lower())):
                     words.setdefault(w, [0] * 4)[at] += 1
-        found: dict[str, list[int]] = {}
-        for w, counts in words.items():
-            for g in grams(w):
-                have = found.setdefault(g, [0] * 4)
-                for i in range(4):
-                    have[i] += counts[i]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in range(4))], ["g", "n0", "n1", "n2", "n3"])
+                if len(words) > 100_000:
+                    yield out()
+                    words.clear()
+        if words:
+            yield out()
 
     ns = [f"n{i}" for i in range(4)]
-    rows = texts.select("text", "toxic").mapInArrow(run, "g string, n0 long, n1 long, n2 long, n3 long").groupBy("g").agg(*(F.sum(n).alias(n) for n in ns))
+    rows = texts.select("text", "toxic").mapInArrow(tidied(run), "g string, n0 long, n1 long, n2 long, n3 long").groupBy("g").agg(*(F.sum(n).alias(n) for n in ns))
     rows = rows.orderBy(F.desc(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")), "g").limit(max_grams)
     return {r[0]: list(r[1:]) for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)}
 
@@ -186,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
             found = [models[fold_of(t or "")].features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), batch.column(1)], ["a", "b", "toxic"])
 
-    got = texts.select("text", "toxic").mapInArrow(run, "a double, b double, toxic int").toArrow()
+    got = texts.select("text", "toxic").mapInArrow(tidied(run), "a double, b double, toxic int").toArrow()
     a, b, y = (got.column(c).to_numpy() for c in ("a", "b", "toxic"))
     curve = logistic(np.c_[a, b], y.astype(float), np.where(y == 1, weights[1], weights[0]))
     model = (*fit((0, 1)), curve)
@@ -195,27 +203,51 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     return model
 
 
+class Scorer:
+    """Scores of whole texts by a model of train()."""
+
+    def __init__(self, model):
+        self.flat = model if isinstance(model, float) else None
+        if self.flat is None:
+            seen, back, self.curve = model
+            self.evidence = Evidence(seen, back)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        if self.flat is not None:
+            return np.full(len(texts), self.flat)
+        x = np.array([self.evidence.features(t or "") for t in texts.cast(pa.string()).to_pylist()]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
+
+
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs with the columns score and predicted; every other column stays as it is."""
+    """doc_id, score and predicted of every row."""
     ship(docs.sparkSession)
-    if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model)).withColumn("predicted", F.lit(int(model >= THRESHOLD)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, back, curve = shared.value
-        evidence = Evidence(seen, back)
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            s = scorer(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model) -> DataFrame:
+    """docs without the rows that score at least the threshold; a narrow filter, all columns as they are."""
+    ship(docs.sparkSession)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            x = np.array([evidence.features(t or "") for t in batch.column(place).cast(pa.string()).to_pylist()]).reshape(-1, 2)
-            s = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield batch.filter(pa.array(scorer(batch.column(place)) < THRESHOLD))
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", score double, predicted int"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    found = score(docs.select("doc_id", "text"), train(docs, labels, **bounds))
+    found = score(docs, train(docs, labels, **bounds))
     return found.select("doc_id", (~learns("doc_id", 4)).alias("held_out"), "score", "predicted")
