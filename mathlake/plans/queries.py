@@ -408,8 +408,8 @@ def image_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.images(corpus.docs_md(spark, sf_dir))
 
 
-def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.formulas_of(corpus.docs_md(spark, sf_dir), config.DEFAULTS["images"]["formula_extensions"])
+def _formulas(spark: SparkSession, sf_dir: str, docs=corpus.docs_md) -> DataFrame:
+    return extract.formulas_of(docs(spark, sf_dir), config.DEFAULTS["images"]["formula_extensions"])
 
 
 @query("with " + IMAGES + "select doc_id, printf('f%04d', case k when 4 then 3 else k end) as id, dest, cast(st as int) as start from i where k <> 3")
@@ -467,23 +467,24 @@ def overlap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.span_problems(spans, ["doc_id"]).select("doc_id", "reason", _joined("formula_ids"))
 
 
-def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chosen(spark: SparkSession, sf_dir: str, docs=corpus.docs_md) -> DataFrame:
     latex_ = F.when(F.col("seq") == 1, F.concat(F.lit("x_"), F.col("doc_id").cast("string"))).when(F.col("seq") == 3, "y^2")
-    return _formulas(spark, sf_dir).withColumn("selected_latex", latex_)
+    return _formulas(spark, sf_dir, docs).withColumn("selected_latex", latex_)
 
 
-def _merged(spark: SparkSession, sf_dir: str, broken: bool = False) -> tuple[DataFrame, DataFrame]:
-    forms = _chosen(spark, sf_dir)
+def _merged(spark: SparkSession, sf_dir: str, broken: bool = False, docs=corpus.docs_md) -> tuple[DataFrame, DataFrame]:
+    forms = _chosen(spark, sf_dir, docs)
     if broken:  # one formula in seven belongs to a file that no text names
         lost = (F.col("seq") == 2) & (F.col("doc_id") % 7 == 0)
         forms = forms.withColumn("dest", F.when(lost, "elsewhere/none.emf").otherwise(F.col("dest"))).withColumn("original_match", F.when(lost, "![](elsewhere/none.emf)").otherwise(F.col("original_match")))
     out = latex.merge_text(F.col("selected_latex"), F.col("display_type_auto"), F.col("png_path"), F.col("id"), config.DEFAULTS["merge"])
-    return merge.merge(corpus.docs_md(spark, sf_dir), forms, out, config.DEFAULTS["images"]["formula_extensions"], ["doc_id"], strict=False)
+    return merge.merge(docs(spark, sf_dir), forms, out, config.DEFAULTS["images"]["formula_extensions"], ["doc_id"], strict=False)
 
 
 @query(r"select doc_id, concat(substr(replace(text, chr(10), ' '), 1, 40), ' \(x_', doc_id, '\) mid', chr(10), chr(10), '![](formulas/png/f0002.png)', chr(10), '<!-- TODO_FORMULA_f0002: formula OCR/validation failed; PNG preview kept instead of WMF/EMF. -->', chr(10), chr(10), 'See ![fig](media/photo', doc_id % 7, '.png) and \(y^2\)', chr(10), substr(replace(text, chr(10), ' '), 41, 40)) as merged from documents")
 def merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir)[0].select("doc_id", "merged")
+    # Its SQL ends at 80 characters of text; merge_text_whole is the same over whole texts.
+    return _merged(spark, sf_dir, docs=corpus.docs_md_head)[0].select("doc_id", "merged")
 
 
 @query("with " + IMAGES + "select doc_id, 'forbidden reference' as reason, dest, printf('f%04d', case k when 4 then 3 else k end) as ids from i where k <> 3 union all select doc_id, 'selected formula original_match remains', dest, printf('f%04d', case k when 4 then 3 else k end) from i where k in (1, 4)")
@@ -496,6 +497,35 @@ def forbidden_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, broken=True)[1].select("doc_id", "reason", F.array_join("formula_ids", ",").alias("ids"))
 
+# ---- whole documents: positions behind long texts, newlines kept -------------------------------------------------
+
+WHOLE = f"""p as (select doc_id, text, {corpus.CUT} as cut,
+ concat('![](media/image', doc_id, '.wmf)') as o1, concat('![alt](media\\Eq', doc_id, '.EMF){{width=1in}}') as o2, concat('![fig](media/photo', doc_id % 7, '.png)') as o3, concat('![](<media/sp ace', doc_id, '.wmf>)') as o4 from documents),
+ s2 as (select *, cut + 1 as s1, length(text) + length(o1) + 7 as p2 from p), s3 as (select *, p2 + length(o2) + 6 as p3 from s2), s4 as (select *, p3 + length(o3) + 5 as p4 from s3),
+ i as (select doc_id, 1 as k, '' as alt, concat('media/image', doc_id, '.wmf') as dest, '' as attrs, o1 as original, s1 as st from s4 union all select doc_id, 2, 'alt', concat('media\\Eq', doc_id, '.EMF'), '{{width=1in}}', o2, p2 from s4
+ union all select doc_id, 3, 'fig', concat('media/photo', doc_id % 7, '.png'), '', o3, p3 from s4 union all select doc_id, 4, '', concat('media/sp ace', doc_id, '.wmf'), '', o4, p4 from s4) """
+
+
+@query("with " + WHOLE + "select doc_id, alt, dest, attrs, original, cast(st as int) as start, cast(st + length(original) as int) as \"end\" from i")
+def image_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.images(corpus.docs_whole(spark, sf_dir))
+
+
+@query("with " + WHOLE + "select doc_id, printf('f%04d', case k when 4 then 3 else k end) as id, dest, cast(st as int) as start, case k when 2 then 'display' else 'inline' end as display_type_auto from i where k <> 3")
+def formula_images_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formulas(spark, sf_dir, corpus.docs_whole).select("doc_id", "id", "dest", "start", "display_type_auto")
+
+
+@query("with " + WHOLE + "select doc_id, printf('f%04d', case k when 4 then 3 else k end) as id, cast(st as int) as image_start from i where k <> 3")
+def path_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _formulas(spark, sf_dir, corpus.docs_whole).withColumn("dest", F.concat(F.lit("/work/"), F.translate("dest", "\\", "/")))
+    return merge.match(markdown.images(corpus.docs_whole(spark, sf_dir)), known, ["doc_id"]).select("doc_id", "id", "image_start")
+
+
+@query("with " + WHOLE + r"select doc_id, concat(substr(text, 1, cut), ' \(x_', doc_id, '\) mid', substr(text, cut + 1), chr(10), chr(10), '![](formulas/png/f0002.png)', chr(10), '<!-- TODO_FORMULA_f0002: formula OCR/validation failed; PNG preview kept instead of WMF/EMF. -->', chr(10), chr(10), 'See ', o3, ' and \(y^2\)', chr(10)) as merged from p")
+def merge_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, docs=corpus.docs_whole)[0].select("doc_id", "merged")
+
 
 # ---- engines -----------------------------------------------------------------------------------------------------
 

@@ -22,11 +22,19 @@ OCR_RAW = """case p_partkey % 12
  when 10 then concat('a',chr(92),chr(92),'[2pt] b_',cast(p_size as varchar(10)))
  else concat(chr(92),'(s',chr(92),')htarrow A^{}') end"""
 
-#: Markdown with three formula images and one ordinary picture per document.
-DOCS_MD = """concat(substr(replace(text,chr(10),' '),1,40),' ![](media/image',cast(doc_id as varchar(20)),'.wmf) mid',chr(10),chr(10),'![alt](media',chr(92),'Eq',cast(doc_id as varchar(20)),'.EMF){width=1in}',chr(10),chr(10),'See ![fig](media/photo',cast(doc_id%7 as varchar(20)),'.png) and ![](<media/sp ace',cast(doc_id as varchar(20)),'.wmf>)',chr(10),substr(replace(text,chr(10),' '),41,40))"""
+#: The Markdown that merge_text's SQL spells out: three formula images and one ordinary picture in a text's first 80 characters.
+DOCS_MD_HEAD = """concat(substr(replace(text,chr(10),' '),1,40),' ![](media/image',cast(doc_id as varchar(20)),'.wmf) mid',chr(10),chr(10),'![alt](media',chr(92),'Eq',cast(doc_id as varchar(20)),'.EMF){width=1in}',chr(10),chr(10),'See ![fig](media/photo',cast(doc_id%7 as varchar(20)),'.png) and ![](<media/sp ace',cast(doc_id as varchar(20)),'.wmf>)',chr(10),substr(replace(text,chr(10),' '),41,40))"""
+#: The same with the rest of the text after it, lines and all: every query but merge_text reads this.
+DOCS_MD = f"concat({DOCS_MD_HEAD},substr(text,81))"
 
-#: TeX with fragments of four kinds per document; the single-dollar pattern also matches inside the double dollars.
-DOCS_TEX = """concat('Start ',chr(92),'[ a_',cast(doc_id as varchar(20)),' ',chr(92),'] then $$b+',cast(doc_id%5 as varchar(20)),'$$ and ',chr(92),'begin{align*}c=',cast(doc_id as varchar(20)),chr(92),'end{align*} or ',chr(92),'(d_1',chr(92),') end')"""
+#: Where the first line after a text's middle ends; the whole text where there is none.
+CUT = "case when instr(substr(text,cast(floor(length(text)/2) as int)+1),chr(10))>0 then cast(floor(length(text)/2) as int)+instr(substr(text,cast(floor(length(text)/2) as int)+1),chr(10))-1 else length(text) end"
+#: Markdown of the whole text, newlines kept: one formula image at the end of a line in its middle, the others after its end.
+DOCS_WHOLE = f"""concat(substr(text,1,{CUT}),' ![](media/image',cast(doc_id as varchar(20)),'.wmf) mid',substr(text,{CUT}+1),chr(10),chr(10),'![alt](media',chr(92),'Eq',cast(doc_id as varchar(20)),'.EMF){{width=1in}}',chr(10),chr(10),'See ![fig](media/photo',cast(doc_id%7 as varchar(20)),'.png) and ![](<media/sp ace',cast(doc_id as varchar(20)),'.wmf>)',chr(10))"""
+
+#: TeX with fragments of four kinds per document, then its whole text with dollars escaped as TeX needs them; the
+#: single-dollar pattern also matches inside the double dollars.
+DOCS_TEX = """concat('Start ',chr(92),'[ a_',cast(doc_id as varchar(20)),' ',chr(92),'] then $$b+',cast(doc_id%5 as varchar(20)),'$$ and ',chr(92),'begin{align*}c=',cast(doc_id as varchar(20)),chr(92),'end{align*} or ',chr(92),'(d_1',chr(92),') end',chr(10),replace(text,'$',concat(chr(92),'$')))"""
 
 #: Output of a command-line engine, and a TeX log, per part.
 CLI_OUT = """case p_partkey % 5
@@ -76,6 +84,14 @@ def docs_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_MD} as markdown")
 
 
+def docs_md_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_MD_HEAD} as markdown")
+
+
+def docs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_WHOLE} as markdown")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "lineitem", CANDIDATES)
 
