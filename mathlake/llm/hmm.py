@@ -9,10 +9,11 @@ word's share of its class is (count + 1) / (class tokens + class words + 1), the
 A document's probability is the forward probability of its symbols times these shares: a proper distribution over the
 known words and one unknown word a class.
 
-Training. Baum-Welch: a bounded sample of INIT_DOCS documents seeds the states, then each round over all learning
-documents adds the expected counts of a partition's sequences, one row a symbol, and sums them across partitions.
-Emissions are smoothed with the corpus's symbol frequencies. Training cuts sequences every CUT tokens; scoring never
-cuts: the scaled forward recursion runs over each whole document, many documents a step.
+Training. Baum-Welch from a seeded random model around the corpus's symbol frequencies: each round over all learning
+documents, whole, adds the expected counts of a partition's sequences, one row a symbol, and sums them across partitions;
+rounds end when the likelihood gains less than GAIN. Emissions are smoothed with the corpus's symbol frequencies. Blocks of
+CUT tokens are worked on side by side, with the exact states at their borders, so nothing restarts inside a document.
+Scoring runs the scaled forward recursion over each whole document, many documents a step.
 
 Defined cases: null and empty texts are the end token alone; rows without a doc_id learn; without learning documents
 every token has base probability 1 / 1 and the model is uniform over the symbols; repeated rows are scored each on its
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import learns, materialise, ship, tidied
 
 STATES, EMIT, HEAD, CLASSES = 8, 1 << 14, 1 << 17, 512
-INIT_DOCS, INIT_ROUNDS, ROUNDS, CUT = 2_000, 15, 2, 256
+#: The most rounds, the gain (log10 a token) below which they stop, symbols a block and blocks held at once.
+ROUNDS, GAIN, CUT, TOGETHER = 50, 0.001, 256, 1_200
 SMOOTH = 2_000.0
 END = b""
 
@@ -192,88 +194,142 @@ class Model:
         return result
 
 
-def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, move, emit) of the sequences and their log10 probability, by scaled forward-backward."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([texts[i] for i in order])
-    sorted_ = lengths[order]
-    offsets = np.cumsum(sorted_) - sorted_
-    active = np.searchsorted(-sorted_, -np.arange(sorted_[0]), "left").tolist()
+class Blocks:
+    """Whole sequences laid out as blocks of at most `at` symbols, block after block of each sequence."""
+
+    def __init__(self, texts: list[np.ndarray], at: int):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        n = -(-lengths // at)
+        self.flat = np.concatenate(texts)
+        self.index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.begin = np.repeat(np.cumsum(lengths) - lengths, n) + self.index * at
+        self.length = np.minimum(at, np.repeat(lengths, n) - self.index * at)
+        self.first, self.last = self.index == 0, self.index == np.repeat(n, n) - 1
+
+    def steps(self, rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The rows, longest first, and how many of them reach each step."""
+        rows = rows[np.argsort(-self.length[rows], kind="stable")]
+        return rows, np.searchsorted(-self.length[rows], -np.arange(self.length[rows[0]]), "left").tolist()
+
+
+def borders(model: Model, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """What each block gets from its sequence: the scaled forward state before it and the backward state after it.
+
+    A block's symbols make one matrix from the state before it to the state at its end; the states then pass from block
+    to block, as many sequences at once as have that many blocks.
+    """
     states = len(model.start)
-    alphas, scales, a = [], [], None
-    for t, m in enumerate(active):
-        a = (model.start if a is None else a[:m] @ model.move) * model.emit[flat[offsets[:m] + t]]
-        s = a.sum(1)
-        a = a / s[:, None]
-        alphas.append(a), scales.append(s)
-    gamma, move = np.empty((len(flat), states)), np.zeros((states, states))
-    b = np.ones((active[-1], states))
-    for t in range(len(active) - 1, -1, -1):
-        m = active[t]
-        gamma[offsets[:m] + t] = alphas[t] * b
-        if t:
-            x = b * model.emit[flat[offsets[:m] + t]] / scales[t][:, None]
-            move += alphas[t - 1][:m].T @ x
-            b = np.ones((active[t - 1], states))
-            b[:m] = x @ model.move.T
-    emit = np.stack([np.bincount(flat, gamma[:, k], len(model.emit)) for k in range(states)], 1)
-    return gamma[offsets].sum(0), move * model.move, emit, float(sum(np.log10(s).sum() for s in scales))
-
-
-def cut(symbols: np.ndarray, at: int = CUT) -> list[np.ndarray]:
-    return [symbols[i : i + at] for i in range(0, len(symbols), at)]
-
-
-def seed(texts: list[np.ndarray], frequency: np.ndarray, states: int = STATES, rounds: int = INIT_ROUNDS) -> Model:
-    """A first model from a bounded sample: states start near the symbols' frequencies and tend to stay."""
+    before, after = np.tile(model.start, (len(blocks.index), 1)), np.ones((len(blocks.index), states))
+    long = np.flatnonzero(~(blocks.first & blocks.last))
+    if not len(long):
+        return before, after
+    pass_ = np.empty((len(blocks.index), states, states))
+    for i in range(0, len(long), TOGETHER):
+        rows, active = blocks.steps(long[i : i + TOGETHER])
+        begin = blocks.begin[rows]
+        x = np.where(blocks.first[rows][:, None, None], np.eye(states), model.move)
+        for t, m in enumerate(active):
+            e = model.emit.take(blocks.flat[begin[:m] + t], 0)
+            y = x[:m] if not t else (x[:m].reshape(-1, states) @ model.move).reshape(m, states, states)
+            y = np.multiply(y, e[:, None, :], out=None if not t else y)
+            if t % 8 == 7 or t < 1:
+                y /= y.sum((1, 2))[:, None, None]
+            x[:m] = y
+        pass_[rows] = x / x.sum((1, 2))[:, None, None]
+    order = long[np.argsort(blocks.index[long], kind="stable")]
+    cuts = np.searchsorted(blocks.index[order], np.arange(blocks.index.max() + 2))
+    levels = [order[a:b] for a, b in zip(cuts[1:], cuts[2:], strict=False)]
+    for rows in levels:
+        x = np.einsum("ni,nij->nj", before[rows - 1], pass_[rows - 1])
+        before[rows] = x / x.sum(1, keepdims=True)
+    for rows in reversed(levels):
+        x = np.einsum("nij,nj->ni", pass_[rows], after[rows])
+        after[rows - 1] = x / x.sum(1, keepdims=True)
+    return before, after
+
+
+def expected(model: Model, texts: list[np.ndarray], at: int = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, move, emit) of whole sequences and their log10 probability, by scaled forward-backward.
+
+    Blocks of `at` symbols go side by side with the states at their borders, so the counts are those of uncut sequences
+    and memory is held for TOGETHER blocks, whatever a sequence's length.
+    """
+    states, blocks = len(model.start), Blocks(texts, at)
+    before, after = borders(model, blocks)
+    start, move, emit, log, one = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0, np.ones(states)
+    for i in range(0, len(blocks.index), TOGETHER):
+        rows, active = blocks.steps(np.arange(i, min(i + TOGETHER, len(blocks.index))))
+        begin, first, ends = blocks.begin[rows], blocks.first[rows], after[rows]
+        alphas, scales, met, a = [], [], [], None
+        for t, m in enumerate(active):
+            into = np.where(first[:, None], before[rows], before[rows] @ model.move) if a is None else a[:m] @ model.move
+            symbol = blocks.flat[begin[:m] + t]
+            e = model.emit.take(symbol, 0)
+            a = into * e
+            s = a @ one
+            a /= s[:, None]
+            e /= s[:, None]
+            alphas.append(a), scales.append(s), met.append((symbol, e))
+        symbols, gammas, b = [], [], np.empty((0, states))
+        for t in range(len(active) - 1, -1, -1):
+            m = active[t]
+            if len(b) < m:
+                tail = ends[len(b) : m]
+                b = np.concatenate([b, tail / (alphas[t][len(b) :] * tail).sum(1, keepdims=True)])
+            symbols.append(met[t][0]), gammas.append(alphas[t] * b)
+            x = b * met[t][1]
+            if t:
+                move += alphas[t - 1][:m].T @ x
+                b = x @ model.move.T
+        move += before[rows[~first]].T @ x[~first]
+        start += gammas[-1][first].sum(0)
+        symbol, gamma = np.concatenate(symbols), np.concatenate(gammas)
+        emit += np.stack([np.bincount(symbol, gamma[:, k], len(emit)) for k in range(states)], 1)
+        log += float(sum(np.log10(s).sum() for s in scales))
+    return start, move * model.move, emit, log
+
+
+def seed(frequency: np.ndarray, states: int = STATES) -> Model:
+    """The first model, from the counts of all learning documents: states start near the symbols' frequencies and tend to stay."""
     rng = np.random.default_rng(7)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     emit = (frequency / frequency.sum())[:, None] * rng.gamma(4.0, 0.25, (len(frequency), states))
-    model = Model(np.full(states, 1 / states), move, emit / emit.sum(0))
-    pieces = [p for t in texts for p in cut(t)]
-    for _ in range(rounds if pieces else 0):
-        start, move, emit, _ = expected(model, pieces)
-        # A sample speaks for the corpus: its smoothing is scaled to its size.
-        emit = emit + 0.02 * emit.sum(0) * (frequency / frequency.sum())[:, None]
-        model = Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
-    return model
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS, init_docs: int = INIT_DOCS) -> Model:
+def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over all whole learning documents, until a round gains less than `gain` (log10 a token) or after `rounds`."""
     spark = encoded.sparkSession
-    learning = encoded.filter("learns").select("row", "symbols")
-    # About init_docs rows by hash, the first 4,096 tokens of each: what the driver gets is bounded at any size.
-    share = max(1, learning.count() // init_docs)
-    first = learning.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select(F.substring("symbols", 1, 4 * 4096).alias("s")).collect()
-    model = seed([np.frombuffer(r["s"], "<u4").astype(np.int64) for r in first], frequency, states)
+    learning = encoded.filter("learns")
+    tokens = learning.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    model, last = seed(frequency, states), -math.inf
     columns = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m: Model = shared.value
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit)
+            start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0
             held, size = [], 0
 
             def add() -> None:
-                nonlocal start, move, emit
-                a, b, c, _ = expected(m, held)
-                start, move, emit = start + a, move + b, emit + c
+                nonlocal start, move, emit, log
+                a, b, c, d = expected(m, held)
+                start, move, emit, log = start + a, move + b, emit + c, log + d
 
             for batch in batches:
                 for s in batch.column(0):
-                    held += cut(np.frombuffer(s.as_py(), "<u4").astype(np.int64))
-                    size += len(s.as_py()) // 4
+                    held.append(np.frombuffer(s.as_py(), "<u4").astype(np.int64))
+                    size += len(held[-1])
                     if size >= 300_000:
                         add()
                         held, size = [], 0
             if held:
                 add()
             met = np.flatnonzero(emit.any(1))
-            # Rows: -1 the starts, -2 - k the moves from state k, else a symbol.
-            keys = np.concatenate([[-1], -2 - np.arange(states), met])
-            rows = np.concatenate([start[None], move, emit[met]])
+            # Rows: -1 the starts, -2 - k the moves from state k, -2 - states the log10 probability, else a symbol.
+            keys = np.concatenate([[-1], -2 - np.arange(states + 1), met])
+            rows = np.concatenate([start[None], move, np.full((1, states), log), emit[met]])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, k]) for k in range(states))], ["k", *columns])
 
         sums = learning.select("symbols").mapInArrow(tidied(run), "k long, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
@@ -284,6 +340,10 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, round
             move[k] = rows[keys == -2 - k].sum(0)
         emit[keys[keys >= 0]] = rows[keys >= 0]
         model = Model.of(start, move, emit, frequency)
+        now = float(rows[keys == -2 - states].sum(0)[0]) / max(1, tokens)
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
