@@ -3,8 +3,8 @@
 Each class has counts of letter n-grams (up to ORDER letters with word bounds), taken once per document and word. Both
 interpolate, with absolute discounting, with one shared lower-order model made of continuation counts over both classes:
 a rare expression that neither class knows more of gets the same probability from both, so it decides nothing. A word's
-evidence is the difference of its two log-likelihoods; a document's is the sum of what exceeds a margin, normalised by
-the square root of its length, and its three strongest words. A logistic curve fitted on cross-fitted evidence (models
+evidence is the difference of its two log-likelihoods; a document's is the sum over all its words, normalised by their
+number, then what exceeds a margin, normalised by the square root of its length, and its three strongest words. A logistic curve fitted on cross-fitted evidence (models
 that have not seen the row) turns that into a score from 0 to 1.
 
 Learning uses labelled rows only: a share of each class by hash, expected to hold MAX_TOXIC and MAX_ORDINARY rows (all
@@ -60,13 +60,14 @@ class Evidence(dict):
         self[word] = total
         return total
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str) -> tuple[float, float, float]:
         words = WORDS.findall(text.lower())
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         v = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
         strong = v[v > MARGIN]
-        return float((strong - MARGIN).sum()) / math.sqrt(len(words)), float(np.clip(np.sort(strong)[-3:], 0, 10).sum())
+        # First the whole text's log-likelihoods, one less the other, a word; ordinary words count against toxic ones.
+        return float(v.mean()), float((strong - MARGIN).sum()) / math.sqrt(len(words)), float(np.clip(np.sort(strong)[-3:], 0, 10).sum())
 
 
 def kneser_ney(ordinary: dict[str, int], toxic: dict[str, int], order: int = ORDER, discount: float = DISCOUNT) -> tuple[dict[str, float], dict[str, float]]:
@@ -192,11 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
         models = [Evidence(*m) for m in crossed.value]
         for batch in batches:
             found = [models[fold_of(t or "")].features(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), batch.column(1)], ["a", "b", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), batch.column(1)], ["a", "b", "c", "toxic"])
 
-    got = texts.select("text", "toxic").mapInArrow(tidied(run), "a double, b double, toxic int").toArrow()
-    a, b, y = (got.column(c).to_numpy() for c in ("a", "b", "toxic"))
-    curve = logistic(np.c_[a, b], y.astype(float), np.where(y == 1, weights[1], weights[0]))
+    got = texts.select("text", "toxic").mapInArrow(tidied(run), "a double, b double, c double, toxic int").toArrow()
+    a, b, c, y = (got.column(n).to_numpy() for n in ("a", "b", "c", "toxic"))
+    curve = logistic(np.c_[a, b, c], y.astype(float), np.where(y == 1, weights[1], weights[0]))
     model = (*fit((0, 1)), curve)
     crossed.destroy()
     discard(texts)
@@ -215,7 +216,7 @@ class Scorer:
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if self.flat is not None:
             return np.full(len(texts), self.flat)
-        x = np.array([self.evidence.features(t or "") for t in texts.cast(pa.string()).to_pylist()]).reshape(-1, 2)
+        x = np.array([self.evidence.features(t or "") for t in texts.cast(pa.string()).to_pylist()]).reshape(-1, 3)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
 
 
