@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,19 @@ from ..cluster import discard, materialise, shared_dir, ship, tidied  # noqa: F4
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Words whose hashes a task keeps.
+MEMO = 200_000
+
+
+class WordHashes(dict):
+    """word -> its 64-bit hash; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,27 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tidied
+from .common import WordHashes, ship, tidied
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK = 20_000
-MEMO = 200_000
 BITS = 22
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDTH)], np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every run of `width` words."""
     n = len(word_hashes) - width + 1

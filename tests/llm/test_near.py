@@ -142,25 +142,52 @@ def repeat_docs(width):
     return texts
 
 
-@pytest.mark.parametrize("bucket", [lpf.BUCKET, 300])
-def test_repeats(spark, bucket):
+def plain_passages(text, texts, words):
+    """Maximal runs of words covered by windows of `words` words that occur at least twice over all texts."""
+    inside = [False] * len(text)
+    for i in range(len(text) - words + 1):
+        w = text[i : i + words]
+        if sum(t[k : k + words] == w for t in texts for k in range(len(t) - words + 1)) > 1:
+            inside[i : i + words] = [True] * words
+    return sum(1 for k, x in enumerate(inside) if x and not (k and inside[k - 1]))
+
+
+@pytest.mark.parametrize("bucket,levels", [(lpf.BUCKET, 6), (300, 6), (300, 1), (150, 0)])
+def test_repeats(spark, bucket, levels):
     width = 40
     texts = repeat_docs(width) + [None]
     df = spark.createDataFrame([(i, t, b"k") for i, t in enumerate(texts)], "doc_id long, text string, key binary")
-    rows = {r.doc_id: r for r in lpf.remove_repeats(df, width, 20, bucket, keep_text=True).collect()}
+    rows = {r.doc_id: r for r in lpf.remove_repeats(df, width, 20, bucket, keep_text=True, words=5, word_gram=2, levels=levels).collect()}
     data = [(t or "").encode() for t in texts]
+    words = [d.split() for d in data]
     for i, gone in enumerate(plain_removed(data, width)):
         left = bytes(b for b, g in zip(data[i], gone, strict=True) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
         r = rows[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.text)) == (len(data[i]), sum(gone), spans, hashlib.sha256(left).hexdigest(), left)
+        assert r.n_passages == plain_passages(words[i], words, 5)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_previous_factors(seed):
+    rng = random.Random(seed)
+    for kind, width in ((np.uint8, 20), (np.uint64, 6)):
+        data = np.array([rng.choice([97, 98]) for _ in range(150)] + [97] * 50, kind)
+        starts = np.array(sorted(rng.sample(range(200 - width + 1), 120)))
+        factor, source = lpf.longest_previous(lpf.Suffixes(data, width), starts)
+        text = data.tolist()
+        for k, i in enumerate(starts.tolist()):
+            same = lambda j, i=i: next((n for n in range(width) if text[i + n] != text[j + n]), width)
+            earlier = [same(j) for j in starts[:k].tolist()]
+            assert factor[k] == max(earlier, default=0)
+            assert not factor[k] or earlier[source[k]] == factor[k]
 
 
 def test_repeats_across_chunks(monkeypatch):
     monkeypatch.setattr(lpf, "CHUNK", 64)
     rng = random.Random(8)
     data = np.frombuffer("".join(rng.choice("abc") for _ in range(500)).encode(), np.uint8)
-    starts = [a + k for a, n, _, _ in lpf.runs(data, 40, 20) for k in range(n)]
+    starts = [a + k for a, n, _, _ in lpf.runs(data, 40, 20, lpf.BASE) for k in range(n)]
     assert starts == list(range(500 - 40 + 1))
 
 
