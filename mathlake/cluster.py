@@ -71,14 +71,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder, in folders by `by`, and reads it back.
 
     Survives the loss of executors, and what is written is computed once however often it is read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
