@@ -9,9 +9,11 @@ word's share of its class is (count + 1) / (class tokens + class words + 1), the
 A document's probability is the forward probability of its symbols times these shares: a proper distribution over the
 known words and one unknown word a class.
 
-Training. Baum-Welch from a seeded random model around the corpus's symbol frequencies: each round over all learning
-documents, whole, adds the expected counts of a partition's sequences, one row a symbol, and sums them across partitions;
-rounds end when the likelihood gains less than GAIN. Emissions are smoothed with the corpus's symbol frequencies. Blocks of
+Training. Baum-Welch from a seeded random model around the corpus's symbol frequencies. Learning documents are in PARTS parts
+by hash. A step adds the expected counts of a part's whole sequences, one row a symbol, sums them across partitions, puts
+them in the place of the part's earlier counts, and makes the next model from the counts of all parts (incremental
+expectation maximisation). A round takes every part once, so all documents count alike; rounds end when the
+likelihood gains less than GAIN. Emissions are smoothed with the corpus's symbol frequencies. Blocks of
 CUT tokens are worked on side by side, with the exact states at their borders, so nothing restarts inside a document.
 Scoring runs the scaled forward recursion over each whole document, many documents a step.
 
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import learns, materialise, ship, tidied
 
 STATES, EMIT, HEAD, CLASSES = 8, 1 << 14, 1 << 17, 512
-#: The most rounds, the gain (log10 a token) below which they stop, symbols a block and blocks held at once.
-ROUNDS, GAIN, CUT, TOGETHER = 50, 0.001, 256, 1_200
+#: The most rounds, the gain (log10 a token) below which they stop, and the parts of a round.
+ROUNDS, GAIN, PARTS = 50, 0.005, 8
+#: Symbols a block and blocks held at once.
+CUT, TOGETHER = 256, 1_200
 SMOOTH = 2_000.0
 END = b""
 
@@ -85,16 +89,20 @@ def build_vocabulary(counts: DataFrame, head: int, emit: int) -> tuple[Vocabular
     """The vocabulary and the symbols' frequencies in the learning documents.
 
     The head is all words of at least a count, the least one that at most `head` words reach, found from a histogram of
-    counts on a logarithmic scale (a few thousand rows): no task sorts or sends more than the head.
+    counts on a logarithmic scale (a few thousand rows), and as many of the next level, in hash order, as there is room
+    for: no task sorts or sends more than the head.
     """
     level = F.floor(F.log2("c") * 64).cast("int")
     sizes = {r["l"]: r["n"] for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}
-    least, held = None, 0
+    least, held, tied = 1 << 30, 0, None
     for k in sorted(sizes, reverse=True):
         if held + sizes[k] > head:
+            tied = k
             break
         least, held = k, held + sizes[k]
-    top = counts.filter(level >= least) if held else counts.limit(0)
+    top = counts.filter(level >= least)
+    if tied is not None and held < head:
+        top = top.unionByName(counts.filter(level == tied).orderBy(F.xxhash64("word"), "word").limit(head - held))
     rows = [(r["word"].encode("utf-8", "replace"), r["c"]) for r in top.toArrow().to_pylist()]
     rows.sort(key=lambda r: (-r[1], r[0]))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -152,12 +160,12 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                 sizes.append(len(words))
             offsets = pa.array(sizes, pa.int32())
             far_words = pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary()).cast(pa.string()))
-            columns = [*(batch.column(i) for i in (0, 2, 3)), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(shares, pa.float64()), far_words, pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learns", "row", "symbols", "n_tokens", "n_known", "logs", "shares", "far", "times"])
+            columns = [*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(shares, pa.float64()), far_words, pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learns", "row", "part", "symbols", "n_tokens", "n_known", "logs", "shares", "far", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, learns boolean, row long, symbols binary, n_tokens long, n_known long, logs double, shares double, far array<string>, times array<long>"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), learns("doc_id", 7).alias("learns")).withColumn("row", F.monotonically_increasing_id())
+    schema = f"doc_id {kind}, learns boolean, row long, part int, symbols binary, n_tokens long, n_known long, logs double, shares double, far array<string>, times array<long>"
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), learns("doc_id", 7).alias("learns")).withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int"))
     return rows.mapInArrow(tidied(run), schema)
 
 
@@ -297,17 +305,17 @@ def seed(frequency: np.ndarray, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN, parts: int = PARTS) -> Model:
     """Baum-Welch over all whole learning documents, until a round gains less than `gain` (log10 a token) or after `rounds`."""
     spark = encoded.sparkSession
     learning = encoded.filter("learns")
     tokens = learning.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    model, last = seed(frequency, states), -math.inf
-    columns = [f"s{k}" for k in range(states)]
-    for _ in range(rounds):
+    model, last, columns = seed(frequency, states), -math.inf, [f"s{k}" for k in range(states)]
+
+    def step(part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m: Model = shared.value
             start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0
             held, size = [], 0
@@ -332,15 +340,22 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, round
             rows = np.concatenate([start[None], move, np.full((1, states), log), emit[met]])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, k]) for k in range(states))], ["k", *columns])
 
-        sums = learning.select("symbols").mapInArrow(tidied(run), "k long, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        mine = learning.filter(F.col("part") == part).select("symbols")
+        sums = mine.mapInArrow(tidied(run), "k long, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        shared.destroy()
         keys, rows = sums.column("k").to_numpy(), np.stack([sums.column(c).to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, states))
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-        start[:] = rows[keys == -1].sum(0)
+        move, emit = np.zeros((states, states)), np.zeros_like(model.emit)
         for k in range(states):
             move[k] = rows[keys == -2 - k].sum(0)
         emit[keys[keys >= 0]] = rows[keys >= 0]
-        model = Model.of(start, move, emit, frequency)
-        now = float(rows[keys == -2 - states].sum(0)[0]) / max(1, tokens)
+        return rows[keys == -1].sum(0), move, emit, float(rows[keys == -2 - states].sum(0)[0])
+
+    counts: dict[int, tuple] = {}
+    for _ in range(rounds):
+        for part in range(parts):
+            counts[part] = step(part)
+            model = Model.of(*(sum(c[i] for c in counts.values()) for i in range(3)), frequency)
+        now = sum(c[3] for c in counts.values()) / max(1, tokens)
         if now - last < gain:
             break
         last = now
@@ -354,7 +369,7 @@ def score(docs: DataFrame, head: int = HEAD, emit: int = EMIT, states: int = STA
     counts = materialise(count_words(docs.filter(learns("doc_id", 7)).select(F.col("text").cast("string").alias("text"))), "hmm-counts")
     vocabulary, frequency = build_vocabulary(counts, head, emit)
     shared = spark.sparkContext.broadcast(vocabulary)
-    encoded = materialise(encode(docs, shared), "hmm-encoded")
+    encoded = materialise(encode(docs, shared), "hmm-encoded", "part")
     model = spark.sparkContext.broadcast(train(encoded, frequency, states, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

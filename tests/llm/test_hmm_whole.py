@@ -44,10 +44,12 @@ def test_training_uses_whole_documents(spark):
     texts = [rng.integers(0, 7, n) for n in (9000, 700, 3)]
     texts[0][5000:] = 6  # only behind the first 4,096 tokens
     frequency = np.bincount(np.concatenate(texts), minlength=7) + 0.5
-    rows = spark.createDataFrame([(i, t.astype("<u4").tobytes(), len(t), True) for i, t in enumerate(texts)], "row long, symbols binary, n_tokens long, learns boolean")
-    want = hmm.seed(frequency, 2)
+    rows = spark.createDataFrame([(i % 2, t.astype("<u4").tobytes(), len(t), True) for i, t in enumerate(texts)], "part int, symbols binary, n_tokens long, learns boolean")
+    want, counts = hmm.seed(frequency, 2), {}
     for _ in range(2):
-        want = hmm.Model.of(*plain(want, texts)[:3], frequency)
-    got = hmm.train(rows, frequency, 2, 2, gain=-1.0)
+        for k in range(2):
+            counts[k] = plain(want, texts[k::2])[:3]
+            want = hmm.Model.of(*(sum(c[i] for c in counts.values()) for i in range(3)), frequency)
+    got = hmm.train(rows, frequency, 2, 2, gain=-1.0, parts=2)
     for name in ("start", "move", "emit"):
         np.testing.assert_allclose(getattr(got, name), getattr(want, name), rtol=1e-7)
