@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import COMMAND, prose_score, refuses, strip
+from .text import COMMAND, let, prose_score, refuses, strip
 
 #: Patterns of the gates.
 EMBEDDED = r"\\[()\[\]]|\$\$|(?<!\\)\$(?!\$)"
@@ -16,21 +16,18 @@ HEADING = r"(?m)^\s{0,3}#{1,6}\s"
 
 
 def balanced(s: Column) -> Column:
-    """Braces, brackets and parentheses close in kind; an escaped character counts for nothing; an empty text is balanced."""
-    closes = F.create_map(*(F.lit(x) for pair in ("}{", "][", ")(") for x in pair))
+    """Braces, brackets and parentheses close in kind; an escaped character counts for nothing; an empty text is balanced.
 
-    def step(state: Column, c: Column) -> Column:
-        top = F.right(state["open"], F.lit(1))
-        opens = c.isin("{", "[", "(")
-        shuts = c.isin("}", "]", ")")
-        fits = F.length(state["open"]) > 0
-        fits = fits & (top == F.coalesce(F.try_element_at(closes, c), F.lit("")))
-        plain = ~state["escaped"]
-        now = F.when(plain & opens, F.concat(state["open"], c)).when(plain & shuts & fits, F.substring(state["open"], F.lit(1), F.length(state["open"]) - 1)).otherwise(state["open"])
-        return F.struct(now.alias("open"), (plain & (c == "\\")).alias("escaped"), (state["ok"] & ~(plain & shuts & ~fits)).alias("ok"))
+    What is neither goes first, so the fold is over brackets alone: those that are open, after a mark that never closes
+    for each one shut out of turn.
+    """
+    brackets = F.split(F.regexp_replace(s, r"(?s)\\.|[^\[\](){}]", ""), "")
 
-    begin = F.struct(F.lit("").alias("open"), F.lit(False).alias("escaped"), F.lit(True).alias("ok"))
-    return F.aggregate(F.split(s, ""), begin, step, lambda x: x["ok"] & (x["open"] == ""))
+    def step(open_: Column, c: Column) -> Column:
+        shuts = F.right(open_, F.lit(1)) == F.translate(c, "}])", "{[(")
+        return F.when(c.isin("{", "[", "("), F.concat(open_, c)).when(shuts, F.substring(open_, F.lit(1), F.length(open_) - 1)).otherwise(F.concat(F.lit("!"), open_))
+
+    return F.aggregate(F.filter(brackets, lambda c: c != ""), F.lit(""), step) == ""
 
 
 def embedded_wrappers(s: Column) -> Column:
@@ -39,7 +36,10 @@ def embedded_wrappers(s: Column) -> Column:
 
 def gate_reason(latex: Column, selection: dict[str, Any]) -> Column:
     """Why a candidate is bad: the first reason that holds, or null."""
-    s = strip(F.coalesce(latex, F.lit("")))
+    return let(strip(F.coalesce(latex, F.lit(""))), lambda s: _first_reason(s, selection))
+
+
+def _first_reason(s: Column, selection: dict[str, Any]) -> Column:
     most = int(selection.get("max_explanation_chars", 20)) * 4
     chain = F.when(s == "", "empty").when(refuses(s), "model refusal").when(embedded_wrappers(s), "embedded math wrappers")
     chain = chain.when(s.rlike(BROKEN_ARROW), "broken wrapper/arrow fragment").when(~balanced(s), "unbalanced braces/brackets")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 def bare(ref: Column) -> Column:
@@ -53,13 +53,19 @@ def collapse(path: Column) -> Column:
 
 def variants(ref: Column, workdir: str, markdown_dir: str) -> Column:
     """Every spelling under which a reference may be known: as written, under either folder, relative, and its last segment."""
-    path = normalise(ref)
     root = workdir.lower().rstrip("/")
-    made = F.array(path, collapse(path), *(F.when(~is_absolute(path), collapse(F.concat(F.lit(f"{d.lower().rstrip('/')}/"), path))) for d in (markdown_dir, workdir)), F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 10_000)), basename(ref))
-    return F.array_distinct(F.filter(made, lambda v: v.isNotNull() & (v != "")))
+    folders = [d.lower().rstrip("/") for d in (markdown_dir, workdir)]
+
+    def spellings(path: Column) -> Column:
+        under = [F.when(~is_absolute(path), F.concat(F.lit(f"{d}/"), path)) for d in dict.fromkeys(folders)]
+        written = F.transform(F.array(path, *under), collapse)
+        inside = F.when(path.startswith(root + "/"), F.substring(path, F.lit(len(root) + 2), F.length(path)))
+        return F.concat(F.array(path), written, F.array(inside, F.substring_index(without_query(path), "/", -1)))
+
+    return F.array_distinct(F.filter(let(normalise(ref), spellings), lambda v: v.isNotNull() & (v != "")))
 
 
 def relative(path: Column, root: str) -> Column:
     """The path from root on, or the path itself where it lies elsewhere."""
     prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 10_000)).otherwise(path)
+    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import has_extension
-from ..functions.text import clean_latex, strip
+from ..functions.text import clean_latex
 from ..sources.markdown import images
 
 #: Patterns of TeX fragments in order, and the raster sizes that mean display.
@@ -21,13 +21,6 @@ FRAGMENTS = [
 TALL, WIDE, MIN_WIDTH = 80, 8, 360
 
 
-def alone_on_line(text: Column, start: Column, end: Column) -> Column:
-    """Whether only blanks stand before and after a span on its line."""
-    before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
-    after = F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)
-    return (strip(before) == "") & (strip(after) == "")
-
-
 def display_guess(alone: Column, width: Column | None = None, height: Column | None = None) -> Column:
     """display for a formula alone on its line, or one with a tall or very wide raster."""
     large = F.lit(False)
@@ -39,12 +32,11 @@ def display_guess(alone: Column, width: Column | None = None, height: Column | N
 def formulas_of(docs: DataFrame, extensions: list[str], keys: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """One row a formula image: keys, seq, id, dest, alt, original_match, position, display_type_auto, png_path.
 
-    docs holds the keys and markdown. Ids number formula images only, in document order; the text itself is cut down to
-    the span's line before rows are shuffled for numbering.
+    docs holds the keys and markdown. Ids number formula images only, in document order; no text leaves the task
+    that parses it.
     """
     keys = keys or ["doc_id"]
-    parsed = images(docs.select(*keys, "markdown", F.col("markdown").alias("__text")))
-    rows = parsed.filter(has_extension(F.col("dest"), extensions)).withColumn("alone", alone_on_line(F.col("__text"), F.col("start"), F.col("end"))).drop("__text")
+    rows = images(docs.select(*keys, "markdown"), alone=True).filter(has_extension(F.col("dest"), extensions))
     if sizes is not None:
         rows = rows.join(sizes.select(*keys, "dest", "width", "height"), [*keys, "dest"], "left")
     guess = display_guess(F.col("alone"), *((F.col("width"), F.col("height")) if sizes is not None else ()))

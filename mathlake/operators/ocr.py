@@ -66,7 +66,8 @@ def run_engines(work: DataFrame, engines: dict[str, Engine], keys: list[str], im
     """Runs each task's engine: keys, source, variant, raw, latex, validation_status, validation_error, elapsed.
 
     Tasks are dealt by task, not by document, so a document with very many formulas is no hot key. An engine gets the
-    rows of its tasks and returns raw texts; a failure becomes that row's error, never the job's. The result is
+    rows of its tasks in a batch and returns raw texts; where that fails it is asked row by row, and a failure becomes
+    that row's error, never the job's. The result is
     materialised by the caller before it is used twice.
     """
     ship(work.sparkSession)
@@ -77,17 +78,27 @@ def run_engines(work: DataFrame, engines: dict[str, Engine], keys: list[str], im
         import time
 
         for rows in parts:
-            raw, error, took = [], [], []
-            for source, image_row in zip(rows["source"], rows.to_dict("records"), strict=True):
+            rows = rows.reset_index(drop=True)
+            out = rows[names].assign(raw=None, __error=None, elapsed_seconds=0.0)
+
+            def call(mine: pd.DataFrame, source: str, out=out) -> None:
                 began = time.time()
                 try:
-                    raw.append(str(engines[source](pd.DataFrame([image_row])).iloc[0]))
-                    error.append(None)
+                    found = [str(x) for x in engines[source](mine.reset_index(drop=True))]
+                    if len(found) != len(mine):
+                        raise ValueError(f"{len(found)} results for {len(mine)} tasks")
+                    out.loc[mine.index, "raw"] = found
                 except Exception as e:  # noqa: BLE001  a row's failure is data
-                    raw.append(None)
-                    error.append(f"{type(e).__name__}: {e}")
-                took.append(time.time() - began)
-            yield rows[names].assign(raw=raw, __error=error, elapsed_seconds=took)
+                    if len(mine) > 1:
+                        for i in mine.index:
+                            call(mine.loc[[i]], source)
+                        return
+                    out.loc[mine.index, "__error"] = f"{type(e).__name__}: {e}"
+                out.loc[mine.index, "elapsed_seconds"] = (time.time() - began) / len(mine)
+
+            for source, mine in rows.groupby("source", sort=False):
+                call(mine, source)
+            yield out
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", raw string, __error string, elapsed_seconds double"
     dealt = work.select(*names, *([image] if image in work.columns else [])).repartition(partitions or work.sparkSession.sparkContext.defaultParallelism, *names)

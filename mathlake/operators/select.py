@@ -78,15 +78,17 @@ def rejections(candidates: DataFrame, settings: dict[str, Any], keys: list[str])
     A formula's scores are only rejected when even its best one is below the threshold.
     """
     s = settings["candidate_selection"]
-    rows = judged(candidates, settings)
-    bad = rows.filter("reason is not null").select(*keys, F.lit(1).alias("phase"), F.row_number().over(Window.partitionBy(*keys).orderBy("idx")).alias("ord"), "source", "reason")
-    if s["strategy"] != "visual_best":
-        return bad
-    scored = rows.filter((F.col("validation_status") == "valid") & F.col("reason").isNull() & F.col("visual_score").isNotNull())
-    low = scored.groupBy(*keys).agg(F.max("visual_score").alias("__best")).filter(F.col("__best") < s["min_visual_score"]).select(*keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc("visual_score"), "rank", "idx")
-    below = scored.join(low, keys, "left_semi").select(*keys, F.lit(2).alias("phase"), F.row_number().over(order).alias("ord"), "source", F.concat(F.lit("visual_score below threshold: "), F.col("visual_score").cast("string")).alias("reason"))
-    return bad.unionByName(below)
+    valid = (F.col("validation_status") == "valid") & F.col("visual_score").isNotNull()
+    score = F.when(valid & F.col("reason").isNull(), F.col("visual_score"))
+    rows = judged(candidates, settings).select(*keys, "idx", "source", "rank", "reason", score.alias("__score"))
+    # Candidates are judged once; both windows are dealt by the formula.
+    rows = rows.withColumn("__best", F.max("__score").over(Window.partitionBy(*keys)))
+    low = F.col("__score").isNotNull() & (F.col("__best") < s["min_visual_score"]) if s["strategy"] == "visual_best" else F.lit(False)
+    rows = rows.withColumn("phase", F.when(F.col("reason").isNotNull(), 1).when(low, 2)).filter("phase is not null")
+    later = lambda c: F.when(F.col("phase") == 2, c)
+    order = Window.partitionBy(*keys, "phase").orderBy(later(-F.col("__score")), later(F.col("rank")), "idx")
+    why = F.when(F.col("phase") == 1, F.col("reason")).otherwise(F.concat(F.lit("visual_score below threshold: "), F.col("__score").cast("string")))
+    return rows.select(*keys, "phase", F.row_number().over(order).alias("ord"), "source", why.alias("reason"))
 
 
 def drop_invalid_selections(formulas: DataFrame, allow: bool = True) -> DataFrame:

@@ -84,10 +84,10 @@ def invalid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.drop_invalid_selections(corpus.formulas(spark, sf_dir)).select("formula_id", "selected_latex", "selected_source", "validation_status", "fallback_reason")
 
 
-@query("with " + CAND + "m as (select formula_id, max(idx) as i from c group by 1) select formula_id, i + 1 as idx, 'manual' as source, concat('m_', formula_id) as latex, 'pending' as validation_status, 'manual:manual:1' as candidate_key from m where formula_id % 10 = 0")
+@query("with " + CAND + "m as (select formula_id, max(idx) as i from c group by 1) select formula_id, i + 1 as idx, 'manual' as source, concat('m_', formula_id) as latex, 'pending' as validation_status, 'manual:manual:1' as candidate_key from m")
 def manual_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = corpus.candidates(spark, sf_dir)
-    new = have.select("formula_id").distinct().filter("formula_id % 10 = 0").withColumn("latex", F.concat(F.lit(" m_"), F.col("formula_id").cast("string"), F.lit(" ")))
+    new = have.select("formula_id").distinct().withColumn("latex", F.concat(F.lit(" m_"), F.col("formula_id").cast("string"), F.lit(" ")))
     return select.add_manual(have, new, ["formula_id"]).filter("source = 'manual'").select("formula_id", "idx", "source", "latex", "validation_status", "candidate_key")
 
 
@@ -481,10 +481,9 @@ def _merged(spark: SparkSession, sf_dir: str, broken: bool = False, docs=corpus.
     return merge.merge(docs(spark, sf_dir), forms, out, config.DEFAULTS["images"]["formula_extensions"], ["doc_id"], strict=False)
 
 
-@query(r"select doc_id, concat(substr(replace(text, chr(10), ' '), 1, 40), ' \(x_', doc_id, '\) mid', chr(10), chr(10), '![](formulas/png/f0002.png)', chr(10), '<!-- TODO_FORMULA_f0002: formula OCR/validation failed; PNG preview kept instead of WMF/EMF. -->', chr(10), chr(10), 'See ![fig](media/photo', doc_id % 7, '.png) and \(y^2\)', chr(10), substr(replace(text, chr(10), ' '), 41, 40)) as merged from documents")
+@query(r"select doc_id, concat(substr(replace(text, chr(10), ' '), 1, 40), ' \(x_', doc_id, '\) mid', chr(10), chr(10), '![](formulas/png/f0002.png)', chr(10), '<!-- TODO_FORMULA_f0002: formula OCR/validation failed; PNG preview kept instead of WMF/EMF. -->', chr(10), chr(10), 'See ![fig](media/photo', doc_id % 7, '.png) and \(y^2\)', chr(10), substr(replace(text, chr(10), ' '), 41, 40), substr(text, 81)) as merged from documents")
 def merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL ends at 80 characters of text; merge_text_whole is the same over whole texts.
-    return _merged(spark, sf_dir, docs=corpus.docs_md_head)[0].select("doc_id", "merged")
+    return _merged(spark, sf_dir)[0].select("doc_id", "merged")
 
 
 @query("with " + IMAGES + "select doc_id, 'forbidden reference' as reason, dest, printf('f%04d', case k when 4 then 3 else k end) as ids from i where k <> 3 union all select doc_id, 'selected formula original_match remains', dest, printf('f%04d', case k when 4 then 3 else k end) from i where k in (1, 4)")

@@ -22,9 +22,9 @@ OCR_RAW = """case p_partkey % 12
  when 10 then concat('a',chr(92),chr(92),'[2pt] b_',cast(p_size as varchar(10)))
  else concat(chr(92),'(s',chr(92),')htarrow A^{}') end"""
 
-#: The Markdown that merge_text's SQL spells out: three formula images and one ordinary picture in a text's first 80 characters.
+#: Three formula images and one ordinary picture in a text's first 80 characters.
 DOCS_MD_HEAD = """concat(substr(replace(text,chr(10),' '),1,40),' ![](media/image',cast(doc_id as varchar(20)),'.wmf) mid',chr(10),chr(10),'![alt](media',chr(92),'Eq',cast(doc_id as varchar(20)),'.EMF){width=1in}',chr(10),chr(10),'See ![fig](media/photo',cast(doc_id%7 as varchar(20)),'.png) and ![](<media/sp ace',cast(doc_id as varchar(20)),'.wmf>)',chr(10),substr(replace(text,chr(10),' '),41,40))"""
-#: The same with the rest of the text after it, lines and all: every query but merge_text reads this.
+#: The same with the rest of the text after it, lines and all.
 DOCS_MD = f"concat({DOCS_MD_HEAD},substr(text,81))"
 
 #: Where the first line after a text's middle ends; the whole text where there is none.
@@ -84,10 +84,6 @@ def docs_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_MD} as markdown")
 
 
-def docs_md_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_MD_HEAD} as markdown")
-
-
 def docs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_WHOLE} as markdown")
 

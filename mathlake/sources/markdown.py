@@ -64,28 +64,35 @@ def parse(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         at = end
 
 
-def images(docs: DataFrame, column: str = "markdown") -> DataFrame:
-    """One row an image: the other columns of docs, then alt, dest, attrs, original, start, end.
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether only blanks stand before and after a span on its line."""
+    after = text.find("\n", end)
+    return not text[text.rfind("\n", 0, start) + 1 : start].strip() and not text[end : after if after >= 0 else len(text)].strip()
+
+
+def images(docs: DataFrame, column: str = "markdown", alone: bool = False) -> DataFrame:
+    """One row an image: the other columns of docs, then alt, dest, attrs, original, start, end; if asked, whether it is
+    alone on its line.
 
     Texts with "![" alone reach Python; all others end where they are read.
     """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != column]
-    names = ["alt", "dest", "attrs", "original", "start", "end"]
+    names = ["alt", "dest", "attrs", "original", "start", "end", *["alone"] * alone]
+    types = [*[pa.string()] * 4, *[pa.int32()] * 2, *[pa.bool_()] * alone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, found = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 for image in parse(text):
-                    row.append(i), found.append(image)
+                    row.append(i), found.append((*image, stands_alone(text, *image[4:])) if alone else image)
             at = pa.array(row, pa.int64())
-            cols = list(zip(*found, strict=True)) or [[]] * 6
-            new = [pa.array(c, pa.string() if k < 4 else pa.int32()) for k, c in enumerate(cols)]
+            new = [pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).take(at) for k in range(len(keep))), *new], [*keep, *names])
 
     kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "alt string, dest string, attrs string, original string, start int, end int"
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "alt string, dest string, attrs string, original string, start int, end int" + ", alone boolean" * alone
     return docs.filter(F.contains(column, F.lit("!["))).select(column, *keep).mapInArrow(run, schema)
 
 

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +39,20 @@ def explode_manifests(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return formulas, c.select("workdir", "id", (F.col("q") + 1).alias("idx"), "c.*")
 
 
+def _in_order(place: str, item: Column) -> Column:
+    """All items by their place alone: their maps cannot be compared."""
+    return F.array_sort(F.collect_list(F.struct(place, item)), lambda a, b: (a[place] - b[place]).cast("int"))
+
+
 def assemble_manifests(formulas: DataFrame, candidates: DataFrame) -> DataFrame:
     """The inverse: one row a workdir with its formulas in order, each with its candidates in order."""
     inner = [f.name for f in T.StructType.fromDDL(f"c {CANDIDATE}")["c"].dataType.fields]
-    lists = candidates.groupBy("workdir", "id").agg(F.array_sort(F.collect_list(F.struct("idx", F.struct(*inner).alias("c")))).alias("l"))
+    lists = candidates.groupBy("workdir", "id").agg(_in_order("idx", F.struct(*inner).alias("c")).alias("l"))
     lists = lists.select("workdir", "id", F.transform("l", lambda x: x["c"]).alias("candidates"))
     names = [f.name for f in T.StructType.fromDDL(f"f {FORMULA}")["f"].dataType.fields]
     rows = formulas.join(lists, ["workdir", "id"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE}>")))
-    # A formula is wrapped in a one-element array to be ordered by seq alone: maps cannot be compared.
-    one = F.struct("seq", F.to_json(F.struct(*names)).alias("j"))
-    sorted_ = rows.groupBy("workdir").agg(F.array_sort(F.collect_list(one)).alias("l"))
-    return sorted_.select("workdir", F.transform("l", lambda x: F.from_json(x["j"], FORMULA)).alias("formulas"))
+    sorted_ = rows.groupBy("workdir").agg(_in_order("seq", F.struct(*names).alias("f")).alias("l"))
+    return sorted_.select("workdir", F.transform("l", lambda x: x["f"]).alias("formulas"))
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_audit_finds_what_fails(spark):
     f = spark.createDataFrame([(1, "a", "x", "p", "k1", "valid"), (1, "b", " ", "manual", None, "invalid"), (2, "c", "y", "p", "k2", "valid")], "doc_id long, formula_id string, selected_latex string, selected_source string, selected_candidate_key string, validation_status string")
     c = spark.createDataFrame([("a", 1, "k1", "invalid", "h", None), ("c", 1, "k2", "valid", "now", "p.png")], "formula_id string, idx int, candidate_key string, validation_status string, latex_hash string, preview_png string")
     rows = {r.doc_id: r for r in audit.audit(f, c, audit.stale_candidates(c, ["formula_id"], F.lit("now"))).collect()}
-    assert rows[1].status == "failed" and rows[1].unresolved_ids == ["b"] and rows[1].stale_candidates == 1 and rows[1].selected_failing == 1 and rows[1].selected_without_preview == 1
+    assert rows[1].status == "failed" and rows[1].unresolved_ids == ["b"] and rows[1].stale_candidates == 1 and rows[1].selected_failing == 1 and rows[1].selected_without_preview == 2
     assert rows[2].status == "ok"
 
 
