@@ -6,10 +6,12 @@ the following level at the rank of that bit. A rank directory (ones before every
 one count over at most 64 bytes, so any token is read with one step a level and nothing is decoded around it.
 
 A store is a folder of Parquet files, one row a segment, in ascending doc_id order by (shard, segment): any store that
-Spark reads can hold it, and statistics of the first and last doc_id prune the rows that a lookup reads.
+Spark reads can hold it. The files are not compressed, so that codes are addressed as they lie there. `lookup` reads single
+tokens of many documents: statistics of first_id and last_id prune what it reads of the index columns, only segments
+that are asked for give their codes, and those are addressed by ranks, never decoded.
 
 Defined cases: null text is an empty document with the end id alone; rows with equal doc_id are documents of their own,
-ordered by their text's hash; null doc_ids come first; an empty table gives an empty store; other columns are ignored.
+ordered by their text's hash, and may be many, as ranges split them by that hash; null doc_ids come first; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .tokens import default_tokenizer, encoder
 
 MAGIC, BLOCK = b"DAC1", 512
 SEGMENT_TOKENS = 1 << 20
-SEGMENTS = "shard int, segment int, n_tokens long, doc_ids array<{kind}>, doc_lengths array<long>, codes binary"
+SEGMENTS = "shard int, segment int, n_tokens long, first_id {kind}, last_id {kind}, doc_ids array<{kind}>, doc_lengths array<long>, codes binary"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -102,7 +104,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         def out() -> pa.RecordBatch:
             lengths = pa.array([[len(x) for x in held]], pa.list_(pa.int64()))
             doc_ids = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(names))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([total], pa.int64()), doc_ids, lengths, pa.array([encode(np.concatenate(held))], pa.binary())], ["shard", "segment", "n_tokens", "doc_ids", "doc_lengths", "codes"])
+            columns = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([total], pa.int64()), names[0], names[-1], doc_ids, lengths, pa.array([encode(np.concatenate(held))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "segment", "n_tokens", "first_id", "last_id", "doc_ids", "doc_lengths", "codes"])
 
         for batch in batches:
             for i, ids in enumerate(to_ids.stream(batch.column(1), end_id)):
@@ -117,16 +120,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     (
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(tidied(run), SEGMENTS.format(kind=kind))
-        .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+        .write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
     )
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """One row a document from the store: doc_id, start, n_tokens, ids_crc32, and with keep_ids its ids (unsigned 32-bit)."""
     ship(spark)
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(path).select("shard", "segment", "n_tokens", "doc_ids", "doc_lengths", "codes")
     kind = dict(stored.dtypes)["doc_ids"][6:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +161,39 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     return rows.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
+def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, at and token of every different (doc_id, at) of wanted: the token at place `at`, from 0, of that document.
+
+    Places outside a document, unknown and null doc_ids give no row; a doc_id that several documents share gives one each.
+    """
+    ship(spark)
+    stored = spark.read.parquet(path)
+    kind = dict(stored.dtypes)["first_id"]
+    wanted = wanted.select("doc_id", F.col("at").cast("long").alias("at")).distinct()
+    bounds = wanted.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    index = stored.filter((F.col("last_id") >= F.lit(bounds["a"])) & (F.col("first_id").isNull() | (F.col("first_id") <= F.lit(bounds["b"])))).select("shard", "segment", "doc_ids", "doc_lengths")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, segment, doc_ids, lengths = (c.slice(i, 1) for c in batch.columns)
+                n = lengths.flatten().to_numpy()
+                columns = [*(pa.array(np.repeat(x.to_numpy(), len(n))) for x in (shard, segment)), doc_ids.flatten(), pa.array(np.cumsum(n) - n), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "inside", "n"])
+
+    def read_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, asked = Codes(batch.column(0)[i].as_py()), batch.column(1).slice(i, 1).flatten()
+                tokens = pa.array([codes[k] for k in asked.field(2).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([asked.field(0), asked.field(1), tokens], ["doc_id", "at", "token"])
+
+    found = index.mapInArrow(tidied(places), f"shard int, segment int, doc_id {kind}, inside long, n long").join(wanted, "doc_id").filter("at >= 0 and at < n")
+    asked = found.groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "at", (F.col("inside") + F.col("at")).alias("k"))).alias("asked"))
+    codes = stored.select("shard", "segment", "codes").join(asked, ["shard", "segment"])
+    return codes.select("codes", "asked").mapInArrow(tidied(read_codes), f"doc_id {kind}, at long, token long")
+
+
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes a store into the shared folder and reads it back."""
     path = f"{shared_dir(docs.sparkSession)}/dac-{uuid.uuid4().hex}"

@@ -18,14 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import gapless_rank, materialise, ship, tidied
+from .common import materialise, ship, tidied
 from .tokens import MOST_WORDS, TOGETHER, default_tokenizer, encoder
 
 CAPACITY = 4096
 END_ID = 2
+#: Rows of piece counts that are sent to all tasks at most (about 24 MB); beyond it they are joined.
+SMALL = 1 << 20
 
 
 class TightestTree:
@@ -99,42 +103,54 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndar
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memo: tuple[int, int] = (MOST_WORDS, TOGETHER)) -> DataFrame:
-    """Tokenizes whole texts and cuts each into full windows and a rest: one row a piece, with its ids or their crc32."""
+    """Tokenizes whole texts and cuts each into full windows and a rest: one row a piece, with its ids or their crc32.
+
+    task and local number the pieces of each length within a task.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(tokenizer, *memo)
+        to_ids, task, met = encoder(tokenizer, *memo), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
-            row, start, length, total, crc, data = [], [], [], [], [], []
+            row, start, length, total, crc, local, data = [], [], [], [], [], [], []
             for i, ids in enumerate(to_ids.stream(batch.column(1), end_id)):
                 ids = ids.astype("<u4", copy=False)
                 for a in range(0, len(ids), capacity):
                     piece = ids[a : a + capacity].tobytes()
-                    row.append(i), start.append(a), length.append(len(piece) // 4), total.append(len(ids)), crc.append(zlib.crc32(piece))
+                    n = len(piece) // 4
+                    row.append(i), start.append(a), length.append(n), total.append(len(ids)), crc.append(zlib.crc32(piece)), local.append(met[n])
+                    met[n] += 1
                     if keep_ids:
                         data.append(piece)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc))]
-            names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc, np.full(len(row), task), local))]
+            names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "task", "local"]
             if keep_ids:
                 columns.append(pa.array(data, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long, task long, local long" + ", ids binary" * keep_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, buckets: int = 256, memo: tuple[int, int] = (MOST_WORDS, TOGETHER)) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memo: tuple[int, int] = (MOST_WORDS, TOGETHER), small: int = SMALL) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with keep_ids its ids.
 
     ids are little-endian unsigned 32-bit integers. Sequences are filled from offset 0 without gaps; what lies beyond a
     sequence's last piece is padding.
     """
     pieces = materialise(cut(docs, tokenizer or default_tokenizer(), capacity, end_id, keep_ids, memo), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts = materialise(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(plan_windows(histogram, capacity))
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "start"], "rank", buckets)
+    # A piece's rank among those of its length: its number in its task after those of earlier tasks. The numbers are a
+    # row a task and length; where they are few they go to the pieces, so that these and their ids are not shuffled.
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if counts.count() <= small:
+        base = F.broadcast(base)
+    ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("local") + F.col("base"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -36,7 +36,8 @@ class WordEncoder:
 
     Only for tokenizers that drop white space and never join across it (the word-level BPE here): then a text's ids are
     its words' ids in a row. Words are cut at ASCII white space and lower-cased in A-Z first, as the tokenizer itself
-    lower-cases them; all other characters reach it as they are.
+    lower-cases them; all other characters reach it as they are. The library looks for its special tokens before it
+    lower-cases: texts that hold such a string in any case go to it whole.
     """
 
     def __init__(self, path: str, most_words: int = MOST_WORDS, together: int = TOGETHER):
@@ -45,7 +46,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The same merges for words of the letters a-z alone, which need no normalising and no search for word parts.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -156,7 +157,12 @@ class WordEncoder:
 
     def _look_up(self, texts: pa.Array, end_id: int | None) -> Iterator[np.ndarray]:
         """Words are cut and made distinct outside Python; only the distinct ones are asked for."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        low = pc.ascii_lower(texts)
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(low, token).to_numpy(zero_copy_only=False)
+        whole = dict(zip(np.flatnonzero(odd).tolist(), self._encode(texts.filter(pa.array(odd)).to_pylist()), strict=True)) if odd.any() else {}
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", low) if whole else low)
         table = split.flatten().dictionary_encode()
         words = table.dictionary.cast(pa.binary()).to_pylist()
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
@@ -172,8 +178,8 @@ class WordEncoder:
         flat, ends = self._gather(codes[table.indices.to_numpy()])
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         tail = np.array([] if end_id is None else [end_id], np.uint32)
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield np.concatenate([flat[a:b], tail])
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            yield np.concatenate([np.array(whole[i], np.uint32) if i in whole else flat[a:b], tail])
 
 
 _encoders: dict[tuple, WordEncoder] = {}

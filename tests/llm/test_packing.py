@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from mathlake.llm import dac, packing
 from mathlake.llm.tokens import WordEncoder, default_tokenizer
 
-ODD = [(1, "Hello, world! It's 2024.", "a"), (2, None, None), (3, "", "b"), (4, " \t\n", "c"), (5, "word " * 9000, "d"), (6, "é😀 ß İ, ﬁ x’s 中文。", "e"), (6, "é😀 ß İ, ﬁ x’s 中文。", "e"), (None, "no id", "f"), (8, "x" * 30000, "g"), (9, "<|endoftext|> a", "h")]
+ODD = [(1, "Hello, world! It's 2024.", "a"), (2, None, None), (3, "", "b"), (4, " \t\n", "c"), (5, "word " * 9000, "d"), (6, "é😀 ß İ, ﬁ x’s 中文。", "e"), (6, "é😀 ß İ, ﬁ x’s 中文。", "e"), (None, "no id", "f"), (8, "x" * 30000, "g"), (9, "<|endoftext|> a", "h"), (10, "mid<|startoftext|>word <|ENDOFTEXT|>, <|endoftext|>", "i")]
 SCHEMA = "doc_id long, text string, rank string"
 
 
@@ -21,7 +21,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda s: np.array([*t.encode(s or "", add_special_tokens=False).ids, 2], "<u4")
 
 
@@ -83,8 +82,9 @@ def test_encoder_forgets_and_still_agrees(plain):
     assert got == [plain(t).tolist() for t in texts]
 
 
-def test_pieces_cover_every_id_once(spark, plain):
-    rows = packing.pack(spark.createDataFrame(ODD, SCHEMA), keep_ids=True, buckets=4).toPandas()
+@pytest.mark.parametrize("small", [packing.SMALL, 0])
+def test_pieces_cover_every_id_once(spark, plain, small):
+    rows = packing.pack(spark.createDataFrame(ODD, SCHEMA).repartition(3), keep_ids=True, small=small).toPandas()
     whole = {}
     for r in rows.itertuples():
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
@@ -113,7 +113,7 @@ def test_codes_round_trip_and_random_access(ids):
 
 
 def test_store_round_trip(spark, plain, tmp_path):
-    docs = [d for d in ODD if d[0] != 6 or d is ODD[5]]
+    docs = list(dict.fromkeys(ODD))
     dac.write(spark.createDataFrame(docs, SCHEMA), str(tmp_path / "s"), segment_tokens=50)
     rows = dac.read(spark, str(tmp_path / "s"), keep_ids=True).toPandas()
     start = 0
@@ -122,6 +122,21 @@ def test_store_round_trip(spark, plain, tmp_path):
         ids = plain(text)
         assert (r.start, r.n_tokens, r.ids_crc32, r.ids) == (start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
         start += len(ids)
+    flat = np.concatenate([plain(t) for _, t, _ in docs])
+    places = [(i, k) for i, t, _ in docs for k in (0, 1, 700, len(plain(t)) - 1, len(plain(t)), -1)]
+    got = dac.lookup(spark, str(tmp_path / "s"), spark.createDataFrame([*places, places[0], (77, 0)], "doc_id long, at int")).collect()
+    ids = {i: plain(t) for i, t, _ in docs if i is not None}
+    assert sorted(map(tuple, got)) == sorted({(i, k, int(ids[i][k])) for i, k in places if i is not None and 0 <= k < len(ids[i])})
+    assert len(flat) == rows.n_tokens.sum()
+
+
+def test_many_rows_of_one_id_are_split_and_keep_their_order(spark, plain, tmp_path):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(40)] + [(3, "last")], "doc_id long, text string")
+    dac.write(docs, str(tmp_path / "s"), segment_tokens=10)
+    rows = dac.read(spark, str(tmp_path / "s")).orderBy("start").toPandas()
+    assert rows.start.tolist() == [0, *rows.n_tokens.cumsum().tolist()[:-1]] and rows.doc_id.isna().tolist() == [True] * 40 + [False]
+    assert spark.read.parquet(str(tmp_path / "s")).select("shard").distinct().count() > 1
+    assert dac.lookup(spark, str(tmp_path / "s"), spark.createDataFrame([(None, 0)], "doc_id long, at int")).count() == 0
 
 
 def test_empty_tables(spark):
