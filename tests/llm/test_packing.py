@@ -131,8 +131,12 @@ def test_store_round_trip(spark, plain, tmp_path):
 
 
 def test_many_rows_of_one_id_are_split_and_keep_their_order(spark, plain, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     docs = spark.createDataFrame([(None, f"text {k}") for k in range(40)] + [(3, "last")], "doc_id long, text string")
-    dac.write(docs, str(tmp_path / "s"), segment_tokens=10)
+    try:
+        dac.write(docs, str(tmp_path / "s"), segment_tokens=10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = dac.read(spark, str(tmp_path / "s")).orderBy("start").toPandas()
     assert rows.start.tolist() == [0, *rows.n_tokens.cumsum().tolist()[:-1]] and rows.doc_id.isna().tolist() == [True] * 40 + [False]
     assert spark.read.parquet(str(tmp_path / "s")).select("shard").distinct().count() > 1
