@@ -3,13 +3,15 @@
 Each class has counts of letter n-grams (up to ORDER letters with word bounds), taken once per document and word. Both
 interpolate, with absolute discounting, with one shared lower-order model made of continuation counts over both classes:
 a rare expression that neither class knows more of gets the same probability from both, so it decides nothing. A word's
-evidence is the difference of its two log-likelihoods; a document's is the sum over all its words, normalised by their
-number, then what exceeds a margin, normalised by the square root of its length, and its three strongest words. A logistic curve fitted on cross-fitted evidence (models
-that have not seen the row) turns that into a score from 0 to 1.
+evidence is the difference of its two log-likelihoods. Two hypotheses are compared over the whole text: that all words
+come from one class, by the sum of all words' evidence over their number; and that a toxic text is an ordinary one whose
+words may each come from the toxic model at a price of MARGIN, by the sum of what exceeds the margin over the square root of the
+length, and by its three strongest words, which length does not dilute. A logistic curve fitted on cross-fitted evidence
+(models that have not seen the row) turns that into a score from 0 to 1.
 
 Learning uses labelled rows only: a share of each class by hash, expected to hold MAX_TOXIC and MAX_ORDINARY rows (all
-where there are fewer), and at most MAX_GRAMS n-grams, the most frequent. These bounds are the bound of what is collected and broadcast. Scoring reads
-every document's whole text and nothing but the text.
+where there are fewer), and every n-gram of these rows' whole texts. The bound on rows is the bound of what is collected and
+broadcast. Scoring reads every document's whole text and nothing but the text.
 
 Defined cases: null and empty texts have no evidence and get the curve's value there; without labelled rows of both
 classes every score is the share of toxic learning rows (0 without any); a doc_id labelled twice is toxic if any label
@@ -33,7 +35,7 @@ from .common import discard, learns, materialise, ship, tidied
 
 ORDER, DISCOUNT = 5, 0.75
 MARGIN = 3.0
-MAX_TOXIC, MAX_ORDINARY, MAX_GRAMS = 8_000, 12_000, 1_000_000
+MAX_TOXIC, MAX_ORDINARY = 8_000, 12_000
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
@@ -141,7 +143,7 @@ def fold_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) & 1
 
 
-def count_grams(texts: DataFrame, max_grams: int) -> dict[str, list[int]]:
+def count_grams(texts: DataFrame) -> dict[str, list[int]]:
     """n-gram -> documents and words that hold it, by class and fold: columns 2 * toxic + fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +171,10 @@ def count_grams(texts: DataFrame, max_grams: int) -> dict[str, list[int]]:
 
     ns = [f"n{i}" for i in range(4)]
     rows = texts.select("text", "toxic").mapInArrow(tidied(run), "g string, n0 long, n1 long, n2 long, n3 long").groupBy("g").agg(*(F.sum(n).alias(n) for n in ns))
-    rows = rows.orderBy(F.desc(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")), "g").limit(max_grams)
     return {r[0]: list(r[1:]) for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_grams: int = MAX_GRAMS):
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY):
     """The model: (seen, back, weights of the curve), or the share of toxic rows where a class is missing."""
     ship(docs.sparkSession)
     texts, weights = sample(docs, labels, max_toxic, max_ordinary)
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     if len(rows) < 2:
         discard(texts)
         return 1.0 if rows.get(1) else 0.0
-    counts = count_grams(texts, max_grams)
+    counts = count_grams(texts)
 
     def fit(folds: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
         of = lambda k: {g: n for g, c in counts.items() if (n := sum(c[2 * k + f] for f in folds))}
