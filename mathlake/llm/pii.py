@@ -1,13 +1,15 @@
 """Personal data by base patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
-Base patterns find emails, addresses of machines, cards and phones. They are the seeds: the words before a seed are its
-lexical patterns (the last word and the last two). Every other token with digits is a candidate with patterns of its own.
+Base patterns find emails, addresses of machines, cards and phones; tokens of 32 hexadecimal digits and more, letters among
+them, are seeds of a fifth kind, secrets. The words before a seed are its lexical patterns (the last word and the
+last two of the 256 characters before it, quotes and opening brackets left out). Every other token with a digit, groups of
+digits joined, is a candidate with patterns of its own.
 Patterns and instances form a graph that is scored in rounds: a pattern's confidence is the share of its distinct
 instances that are known, an instance's confidence one less the product of its patterns' doubts; confident instances
 become known and feed the next round. The patterns that are confident at the end mark candidates that no base pattern
-sees. Base spans always stay.
+sees, the seeds of secrets among them: a long number without such a pattern before it is left alone. Base spans always stay.
 
-The graph is pre-aggregated to distinct (pattern, instance) pairs before each shuffle and holds no text beyond 64 characters an instance, so a
+The graph is pre-aggregated to distinct (pattern, instance) pairs before each shuffle and holds a hash of each instance, so a
 frequent word before many identifiers is one counted group, never a list. Regular expressions use possessive repeats,
 which neither back-track nor recurse over long runs.
 
@@ -20,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import materialise
 
 KINDS = ["email", "ip", "card", "phone"]
+ALL = [*KINDS, "secret"]
 #: The base patterns, as possessive equivalents that start only where a run starts.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -32,9 +36,14 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern's extraction to be worth while.
 GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
+CANDIDATE = r"(?<![A-Za-z0-9])(?:[A-Za-z]++[-_.:/])*+[A-Za-z]*+[0-9](?:[-_./+:=]?[A-Za-z0-9]|\x20[0-9])*+"
+SECRET = r"\A(?=[0-9a-fA-F]*+\z)(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F]).{32,}\z"
 ROUNDS, SUPPORT, SURE = 2, 5, 0.9
-SPAN = "array<struct<start:int,end:int,found:string,before:string>>"
+#: Characters before a match that its patterns come from, and matches of a text that are folded at once.
+CONTEXT, BLOCK = 256, 1000
+#: Confident patterns that are written into the plan at most; more are joined.
+LITERALS = 256
+SPAN = "array<struct<start:int,end:int,found:long,secret:boolean,patterns:array<string>>>"
 
 
 def digits(m: Column) -> Column:
@@ -64,54 +73,69 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, ok, guard: Column) -> Column:
-    """All matches that hold: start, end, the match, and up to two words before it.
+def patterns_of(context: Column) -> Column:
+    """The last word and the last two."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(context), r"[\s\"'`(\[{<]+\z", "")), r"\s+")
+    two = lambda w: F.array(F.array_join(F.slice(F.concat(F.array(F.lit("")), w), -2, 2), " "), F.element_at(w, -1))
+    return F.filter(F.array_distinct(F.transform(let(words, two), F.trim)), lambda p: p != "")
 
-    The pieces between the matches give the positions; only valid matches are added to the result.
+
+def located(text: Column, pattern: str, ok, guard: Column, secret=None) -> Column:
+    """All matches that hold: start, end, a hash of the match, whether it is a secret's seed, and its patterns.
+
+    The pieces between the matches give the positions; only valid matches are added to the result. A text's matches are
+    folded in blocks, so that the list that grows in a fold stays short.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
+    nothing = F.array().cast(SPAN)
 
     def step(s: Column, x: Column) -> Column:
         start = s["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        before = F.lower(F.regexp_extract(F.substring(x["g"], -48, 48), r"(\S+(?:\s+\S+)?)\s*\z", 1))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.substring(x["m"], 1, 64).alias("found"), before.alias("before")))
-        return F.struct(end.alias("pos"), F.when(ok(x["m"]), F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+        end, before = start + F.length(x["m"]), F.concat(s["tail"], x["g"])
+        of = (secret or (lambda m: F.lit(False)))(x["m"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.xxhash64(x["m"]).alias("found"), of.alias("secret"), patterns_of(F.right(before, F.lit(CONTEXT))).alias("patterns")))
+        return F.struct(end.alias("pos"), F.right(F.concat(before, x["m"]), F.lit(CONTEXT)).alias("tail"), F.when(ok(x["m"]), F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+
+    def blocks(p: Column) -> Column:
+        def fold(b: Column) -> Column:
+            earlier = F.transform(F.slice(p, b * BLOCK - (CONTEXT - 1), F.lit(CONTEXT)), lambda x: F.concat(x["g"], x["m"]))
+            tail = F.when(b > 0, F.right(F.array_join(earlier, ""), F.lit(CONTEXT))).otherwise("")
+            begin = F.struct(F.lit(0).alias("pos"), tail.alias("tail"), nothing.alias("out"))
+            return F.aggregate(F.slice(p, b * BLOCK + 1, F.lit(BLOCK)), begin, step, lambda s: F.struct(s["pos"].alias("size"), s["out"].alias("out")))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-    return F.when(guard, F.aggregate(pieces, begin, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), fold)
+
+    def shift(s: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda o: F.struct((o["start"] + s["pos"]).alias("start"), (o["end"] + s["pos"]).alias("end"), o["found"].alias("found"), o["secret"].alias("secret"), o["patterns"].alias("patterns")))
+        return F.struct((s["pos"] + x["size"]).alias("pos"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    all_ = let(pieces, lambda p: F.when(F.size(p) > 0, F.aggregate(blocks(p), begin, shift, lambda s: F.flatten(s["out"]))).otherwise(nothing))
+    return F.when(guard, all_).otherwise(nothing)
 
 
 def base(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, the base spans of each kind, and the other tokens with digits as candidates."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("__text"))
+    t = F.col("__text")
     for kind in KINDS:
-        t = F.col("__text")
         rows = rows.withColumn(f"__{kind}", located(t, PATTERNS[kind], lambda m, k=kind: valid(k, m), t.rlike(GUARDS[kind])))
-    t = F.col("__text")
-    long_enough = lambda m: F.length(digits(m)) >= 4
-    tokens = located(t, CANDIDATE, long_enough, t.rlike("[0-9]"))
+    tokens = located(t, CANDIDATE, lambda m: F.lit(True), t.rlike("[0-9]"), lambda m: m.rlike(SECRET))
     taken = F.concat(*(F.col(f"__{k}") for k in KINDS))
-    free = F.filter(tokens, lambda c: ~F.exists(taken, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])))
+    free = let(taken, lambda k: F.filter(tokens, lambda c: ~F.exists(k, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))))
     return rows.withColumn("__free", free).drop("__text")
 
 
-def patterns_of(before: Column) -> Column:
-    return F.filter(F.array_distinct(F.array(before, F.element_at(F.split(before, r"\s+"), -1))), lambda p: p != "")
-
-
 def graph(rows: DataFrame) -> DataFrame:
     """Distinct (pattern, instance) pairs with the kind of seeds; candidates have none."""
-    parts = []
-    for kind, column in [*((k, f"__{k}") for k in KINDS), (None, "__free")]:
-        one = rows.select(F.explode(column).alias("s")).select(F.lit(kind).cast("string").alias("kind"), F.col("s.found").alias("instance"), F.explode(patterns_of(F.col("s.before"))).alias("pattern"))
-        parts.append(one)
-    all_ = parts[0]
+    seed = F.when(F.col("s.secret"), "secret")
+    parts = [rows.select(F.explode(c).alias("s")).select(k.cast("string").alias("kind"), F.col("s.found").alias("instance"), F.explode("s.patterns").alias("pattern")) for k, c in [*((F.lit(k), f"__{k}") for k in KINDS), (seed, "__free")]]
+    out = parts[0]
     for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.distinct()
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def score_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -120,9 +144,9 @@ def score_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
     An instance counts under one kind at most, its seed kind or the one it was promoted to.
     """
     label = edges.join(known, "instance", "left")
-    counts = label.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(k) for k in KINDS))
-    best = F.greatest(*KINDS)
-    kind = F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in KINDS))
+    counts = label.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(k) for k in ALL))
+    best = F.greatest(*ALL)
+    kind = F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in ALL))
     return counts.select("pattern", kind.alias("kind"), (best / F.col("n")).alias("confidence"), best.alias("support"))
 
 
@@ -140,40 +164,49 @@ def learn(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: f
     return materialise(score_patterns(pairs, known).filter((F.col("support") >= support) & (F.col("confidence") >= sure)).select("pattern", "kind"), "pii-patterns")
 
 
-def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of every row with __base (its base spans) and __spans (all): arrays of (rank, start, end), rank by KINDS."""
+def spans(docs: DataFrame, keep: list[str] | None = None, literals: int = LITERALS) -> DataFrame:
+    """The kept columns of every row with __base (its base spans) and __spans (all): arrays of (rank, start, end), rank by ALL.
+
+    A candidate that several kinds' patterns mark is a span of the first kind. Few confident patterns are written into
+    the plan, and no row is shuffled; many are joined.
+    """
     keep = keep or ["doc_id"]
     rows = materialise(base(docs, keep).withColumn("__row", F.monotonically_increasing_id()), "pii-base")
-    confident = learn(rows)
-    free = rows.select("__row", F.explode("__free").alias("s")).select("__row", "s", F.explode(patterns_of(F.col("s.before"))).alias("pattern"))
-    marked = free.join(confident, "pattern").groupBy("__row").agg(F.collect_set(F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("__more"))
+    confident = learn(rows).withColumn("rank", F.array_position(F.array(*map(F.lit, ALL)), F.col("kind")).cast("int"))
     bare = lambda k: F.transform(F.col(f"__{KINDS[k]}"), lambda s: F.struct(F.lit(k + 1).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
     seeds = F.concat(*(bare(k) for k in range(len(KINDS))))
-    out = rows.join(marked, "__row", "left").withColumn("__base", F.array_sort(seeds))
-    nothing = F.array().cast("array<struct<rank:int,start:int,end:int>>")
-    # A span that two kinds' patterns mark is kept once, under the first kind.
-    added = F.filter(F.coalesce("__more", nothing), lambda m: ~F.exists(F.coalesce("__more", nothing), lambda o: (o["start"] == m["start"]) & (o["rank"] < m["rank"])))
-    return out.withColumn("__spans", F.array_sort(F.concat("__base", added))).select(*keep, "__base", "__spans")
+    out = rows.withColumn("__base", F.array_sort(seeds))
+    if len(few := confident.select("pattern", "rank").take(literals + 1)) <= literals:
+        known = F.array(*(F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["rank"]).alias("rank")) for r in few)) if few else F.array().cast("array<struct<pattern:string,rank:int>>")
+        rank = lambda c: F.array_min(F.transform(F.filter(known, lambda q: F.array_contains(c["patterns"], q["pattern"])), lambda q: q["rank"]))
+        ranked = F.transform("__free", lambda c: F.struct(rank(c).alias("rank"), c["start"].alias("start"), c["end"].alias("end")))
+        more = F.filter(ranked, lambda c: c["rank"].isNotNull())
+    else:
+        free = rows.select("__row", F.explode("__free").alias("s")).select("__row", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
+        best = free.join(confident, "pattern").groupBy("__row", "start", "end").agg(F.min("rank").alias("rank"))
+        out = out.join(best.groupBy("__row").agg(F.collect_list(F.struct("rank", "start", "end")).alias("__more")), "__row", "left")
+        more = F.coalesce("__more", F.array().cast("array<struct<rank:int,start:int,end:int>>"))
+    return out.withColumn("__spans", F.array_sort(F.concat("__base", more))).select(*keep, "__base", "__spans")
 
 
 def written(column: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL))
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.element_at(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and all spans as text."""
-    found = spans(docs)
+def digest(docs: DataFrame, literals: int = LITERALS) -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256, all spans as text, and their number n_spans."""
+    found = spans(docs, literals=literals)
     number = lambda rank: F.size(F.filter("__base", lambda s: s["rank"] == rank)).cast("long")
     counts = [number(k + 1).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(written("__base").cast("binary"), 256).alias("base_sha256"), written("__spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written("__base").cast("binary"), 256).alias("base_sha256"), written("__spans").alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
     columns = docs.columns
     found = spans(docs, columns)
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
 
     def step(s: Column, x: Column) -> Column:
