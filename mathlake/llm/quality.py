@@ -1,21 +1,29 @@
 """Line-first cleaning.
 
 Each line with a word is judged on its own: navigation (separators between short items), symbols, shouting, one word over
-and over, boilerplate phrases, short fragments that end without punctuation, and copies of an earlier line. Failing lines
+and over, boilerplate, short fragments that end without punctuation, and copies of an earlier line. Failing lines
 are removed; a document that loses more than a share of its words is rejected, as is one that fails the base rules (too few
 words, or too many words in repeated three-word windows).
 
+Boilerplate is learned from the whole corpus, whatever its languages: a line of fewer than LONG words that stands between many
+different pairs of neighbouring lines, at least LEAST and a share SHARE of the number of documents. Copies of a document
+repeat its lines between the same neighbours, so they make few pairs; and a text most of whose words are in such lines is
+a copy itself, not boilerplate, and keeps them. At most (lines of the corpus / that number) lines qualify, so what is
+sent to the tasks stays within (lines a document / SHARE) hashes. A few common phrases are known from the start.
+
 Defined cases: null text has no words, is its own cleaned text and is rejected as too short; a text of any length is
 judged whole; repeated rows are judged each on its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +31,9 @@ from .common import ship, tidied
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_LOST = 0.4
+#: Words of a line that may be boilerplate, and the pairs of neighbours that it needs: a number, and a share of the documents.
+LONG, LEAST, SHARE = 40, 20, 1e-4
+NONE = np.empty(0, np.int64)
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 SEPARATORS = {b"|", b">", b"\xc2\xbb", b"\xc2\xb7", b"\xe2\x80\xa2", b"/"}
@@ -71,19 +82,53 @@ def fails(line: bytes, words: list[bytes]) -> str | None:
     return None
 
 
-def judge(data: bytes, max_lost: float = MAX_LOST) -> tuple[list[int], bool, bool, bytes]:
+def line_hash(words: list[bytes]) -> int:
+    """A signed 64-bit hash of a line's words, lower-cased."""
+    h = xxhash.xxh64_intdigest(b" ".join(words).lower())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def common_lines(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> np.ndarray:
+    """The sorted hashes of lines that the whole corpus shows to be boilerplate."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for text in batch.column(0).cast(pa.binary()):
+                lines = [w for x in (text.as_py() or b"").split(b"\n") if (w := x.split())]
+                hashes = [0, *map(line_hash, lines), 0]
+                for k, words in enumerate(lines, 1):
+                    if len(words) < LONG:
+                        pairs.add((hashes[k], hash((hashes[k - 1], hashes[k + 1]))))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["line", "between"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    seen = texts.mapInArrow(tidied(run), "line long, between long").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    rows = seen.filter(F.col("n") >= max(least, math.ceil(share * docs.count()))).select("line").toArrow()
+    return np.sort(rows.column(0).to_numpy())
+
+
+def judge(data: bytes, max_lost: float = MAX_LOST, common: np.ndarray = NONE) -> tuple[list[int], bool, bool, bytes]:
     """The counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed, kept, and the cleaned text."""
     text, words = data.decode("utf-8", "replace"), data.split()
     repeats, lost, dups, seen, left = repeat_words(words), 0, 0, set(), []
-    for line in data.split(b"\n"):
-        inside = line.split()
+    lines = [(line, line.split()) for line in data.split(b"\n")]
+    known = [False] * len(lines)
+    if len(common):
+        hashes = np.array([line_hash(w) if w else 0 for _, w in lines], np.int64)
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = ((common[at] == hashes) & np.array([0 < len(w) < LONG for _, w in lines])).tolist()
+        if 2 * sum(len(w) for (_, w), k in zip(lines, known, strict=True) if k) > len(words):
+            known = [False] * len(lines)
+    for (line, inside), boilerplate in zip(lines, known, strict=True):
         if not inside:
             left.append(line)
             continue
         copy = line in seen
         seen.add(line)
         dups += copy
-        if copy or fails(line, inside):
+        if copy or boilerplate or fails(line, inside):
             lost += len(inside)
         else:
             left.append(line)
@@ -93,14 +138,15 @@ def judge(data: bytes, max_lost: float = MAX_LOST) -> tuple[list[int], bool, boo
     return counts, base, not base and lost <= max_lost * n, b"\n".join(left)
 
 
-def clean(docs: DataFrame, max_lost: float = MAX_LOST, keep_text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, max_lost: float = MAX_LOST, keep_text: bool = True, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept, and with keep_text its text without failing lines."""
     ship(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    common = docs.sparkSession.sparkContext.broadcast(common_lines(docs, least, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(t.as_py() or b"", max_lost) for t in batch.column(1).cast(pa.binary())]
+            found = [judge(t.as_py() or b"", max_lost, common.value) for t in batch.column(1).cast(pa.binary())]
             columns = [batch.column(0), *(pa.array([f[0][k] for f in found], pa.int64()) for k in range(len(names)))]
             columns += [pa.array([f[k] for f in found], pa.bool_()) for k in (1, 2)]
             if keep_text:

@@ -157,6 +157,19 @@ def test_quality(spark):
     assert quality.clean(table(spark, docs).limit(0)).count() == 0
 
 
+def test_lines_between_many_neighbours_are_boilerplate(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
+    stamp, own = "Tous droits réservés par la maison.", [f"{prose(30)}\n{prose(30)}" for _ in range(60)]
+    copied = "\n".join(prose(12) for _ in range(8))
+    docs = [(i, f"{t.split(chr(10))[0]}\n{stamp}\n{t.split(chr(10))[1]}") for i, t in enumerate(own)] + [(100 + i, copied) for i in range(80)] + [(200, f"{stamp}\n" + prose(3)), (201, None)]
+    df = table(spark, docs)
+    assert quality.common_lines(df, 20).tolist() == [quality.line_hash(stamp.encode().split())]
+    rows = {r.doc_id: r for r in quality.clean(df).collect()}
+    assert all(stamp not in rows[i].text and rows[i].kept for i in range(60)) and all(rows[100 + i].text == copied and rows[100 + i].kept for i in range(80))
+    assert stamp in rows[200].text
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -197,6 +210,17 @@ def test_patterns_find_unseen_identifiers_and_masks_keep_columns(spark):
     assert pii.digest(df.limit(0)).count() == 0 and pii.mask(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("literals", [pii.LITERALS, 0])
+def test_secrets_are_found_by_what_stands_before_them(spark, literals):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    docs = [(i, f'w {i} set api_key = "{key(i)}"; done\n') for i in range(40)] + [(50, "set api_key = 'A-7'."), (51, f"commit {key(99)} of {key(98)}"), (52, "api_key = 12 34 56, no"), (53, "x1 " * 2600 + "api_key = B9")]
+    rows = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret:")] for r in pii.digest(table(spark, docs), literals).collect()}
+    text = dict(docs)
+    assert all([text[i][a:b] for a, b in rows[i]] == [key(i)] for i in range(40))
+    assert [text[50][a:b] for a, b in rows[50]] == ["A-7"] and not rows[51] and [text[52][a:b] for a, b in rows[52]] == ["12 34 56"]
+    assert [text[53][a:b] for a, b in rows[53]] == ["B9"]
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
