@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def held(want: np.ndarray, sorted_: np.ndarray) -> int:
+    """How many of the wanted hashes are among the sorted ones."""
+    return int((sorted_[np.minimum(np.searchsorted(sorted_, want), len(sorted_) - 1)] == want).sum())
+
+
 class Index:
     """The items of one block: sketches by partition, and the exact shingles for verification."""
 
@@ -88,13 +94,13 @@ class Index:
             some = mine[self.maybe[(mine >> np.uint64(64 - BITS)).astype(np.int64)]]
             if not len(some):
                 continue
-            some = np.unique(some)
+            some, sorted_ = np.unique(some), np.unique(mine)
             low, high = np.searchsorted(self.hashes, some, "left"), np.searchsorted(self.hashes, some, "right")
             candidates = sorted({int(o) for a, b in zip(low, high, strict=True) for o in self.owners[a:b]})
             exact = None
             for c in candidates:
                 _, its_width, want, want_hashes, need = self.items[c]
-                if its_width != width or np.isin(want_hashes, mine).sum() < min(need, len(want_hashes)):
+                if its_width != width or held(want_hashes, sorted_) < min(need, len(want_hashes)):
                     continue
                 exact = exact if exact is not None else set(shingles(words, width))
                 if (shared := len(want & exact)) >= need:
@@ -102,6 +108,13 @@ class Index:
         return out
 
 
+def index_of(shared: Broadcast, threshold: float) -> Index:
+    """The index of a block, built once a worker process."""
+    if getattr(shared, "_index", None) is None:
+        shared._index = Index(shared.value, threshold)
+    return shared._index
+
+
 def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[list[tuple]]:
     """The test set in blocks of about `size` items, each small enough to be shipped to every task."""
     items = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
@@ -121,7 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, memo = Index(shared.value, threshold), WordHashes()
+            index, memo = index_of(shared, threshold), WordHashes()
             for batch in batches:
                 row, hit = [], []
                 for i, text in enumerate(batch.column(1).cast(pa.binary())):
@@ -144,7 +157,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, memo = Index(shared.value, threshold), WordHashes()
+            index, memo = index_of(shared, threshold), WordHashes()
             for batch in batches:
                 clean = [not index.search(t.as_py() or b"", memo) for t in batch.column(place).cast(pa.binary())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
