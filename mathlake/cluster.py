@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -62,15 +63,23 @@ def tidied(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: the session names it, but for local sessions, which get a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="mathlake-shared-")
         atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as the session's JVM knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder, in folders by `by`, and reads it back.
 
@@ -81,12 +90,13 @@ def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)  # what nobody discards goes with the session
     return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of materialise() that nothing lazy reads any more."""
     for df in frames:
-        jvm, path = df.sparkSession._jvm, df.written_to
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _place(df.sparkSession, df.written_to)
+        fs.delete(at, True)
