@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import materialise, ship
 from ..config import ENGINE_SECTIONS
 from ..functions.gates import empty_reason, usable
 from ..functions.text import clean_latex
@@ -107,6 +107,20 @@ def run_engines(work: DataFrame, engines: dict[str, Engine], keys: list[str], im
     return out.withColumn("validation_error", why).withColumn("validation_status", F.when(why.isNotNull(), "error").otherwise("pending")).drop("__error")
 
 
+def run_with_originals(work: DataFrame, engines: dict[str, Engine], keys: list[str], retry: list[str], image: str = "png_path", original: str = "original_png") -> DataFrame:
+    """run_engines, and once more with the original image where an engine of `retry` made nothing of another one.
+
+    Adds retried. A failure of the engine itself is not tried again.
+    """
+    on = [*keys, "source", "variant"]
+    first = materialise(run_engines(work, engines, keys, image), "recognised-first")
+    nothing = first.filter(F.col("source").isin(retry) & F.col("raw").isNotNull() & (F.col("validation_status") == "error")).select(*on)
+    again = work.join(nothing, on, "left_semi").filter(F.col(image) != F.col(original)).withColumn(image, F.col(original))
+    second = materialise(run_engines(again, engines, keys, image), "recognised-again")
+    kept = first.join(second.select(*on), on, "left_anti")
+    return kept.withColumn("retried", F.lit(False)).unionByName(second.withColumn("retried", F.lit(True)))
+
+
 def purge_source(candidates: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """A re-run replaces a source's candidates of a formula: the old ones that remain, then the fresh."""
     kept = candidates.join(fresh.select(*keys, "source").distinct(), [*keys, "source"], "left_anti")

@@ -113,6 +113,19 @@ def add_manual(candidates: DataFrame, manual: DataFrame, keys: list[str]) -> Dat
     return candidates.unionByName(new, allowMissingColumns=True)
 
 
+def choose(formulas: DataFrame, candidates: DataFrame, choices: DataFrame, keys: list[str]) -> DataFrame:
+    """formulas with the candidates that choices (keys, candidate_key) name selected, and choice_error where there is none.
+
+    A choice takes the candidate's text, source and status as they are; other formulas stay as they were.
+    """
+    c = candidates.select(*keys, "candidate_key", F.struct(F.col("latex").alias("selected_latex"), F.col("source").alias("selected_source"), F.col("candidate_key").alias("selected_candidate_key"), "validation_status").alias("__c"))
+    asked = choices.groupBy(*keys).agg(F.min("candidate_key").alias("candidate_key")).join(c, [*keys, "candidate_key"], "left").withColumnRenamed("candidate_key", "__asked")
+    rows = formulas.join(asked, keys, "left")
+    new = [F.coalesce(F.col(f"__c.{n}"), F.col(n)).alias(n) if n in ("selected_latex", "selected_source", "selected_candidate_key", "validation_status") else F.col(n) for n in formulas.columns]
+    error = F.when(F.col("__asked").isNotNull() & F.col("__c").isNull(), F.concat(F.lit("candidate not found: "), F.col("__asked")))
+    return rows.select(*new, error.alias("choice_error"))
+
+
 def apply_overrides(formulas: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:
     """Edits (keys, edited_at, and columns of formulas): of each formula the latest edit's columns that are not null win."""
     columns = [c for c in overrides.columns if c in formulas.columns and c not in keys]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -45,14 +46,25 @@ def work(candidates: DataFrame, force: bool = False) -> DataFrame:
     return rows.withColumn("todo", F.lit(True) if force else needs_validation(F.col("validation_status"), F.col("latex"), is_stale))
 
 
+def artifact_currency(rendered: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, current: whether the files of a compile exist and its TeX is what would be written now.
+
+    rendered has the document of each row; artifacts the TeX that was compiled and whether its PDF and log exist.
+    """
+    there = artifacts.select(*keys, F.sha2(F.col("tex").cast("binary"), 256).alias("__old"), (F.col("has_pdf") & F.col("has_log")).alias("__files"))
+    rows = rendered.select(*keys, F.sha2(F.col("document").cast("binary"), 256).alias("__now")).join(there, keys, "left")
+    return rows.select(*keys, F.coalesce(F.col("__files") & (F.col("__now") == F.col("__old")), F.lit(False)).alias("current"))
+
+
+ESCAPED = re.compile(r"\\.", re.S)
+
+
 def structural(bodies: pd.Series) -> list[tuple[bool, str | None]]:
     """A stand-in for a TeX run: a body whose braces close compiles."""
     out = []
     for body in bodies:
         depth, ok = 0, True
-        for i, c in enumerate(body):
-            if i and body[i - 1] == "\\":
-                continue
+        for c in ESCAPED.sub("", body):  # an escaped backslash escapes nothing
             depth += (c == "{") - (c == "}")
             ok &= depth >= 0
         out.append((True, None) if ok and not depth else (False, "! Missing } inserted."))

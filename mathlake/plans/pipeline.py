@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -20,9 +21,11 @@ def build_formulas(docs: DataFrame, settings: dict[str, Any]) -> DataFrame:
     return rows.select("*", empty.alias("display_type_manual"), empty.alias("selected_latex"), empty.alias("selected_source"), empty.alias("selected_candidate_key"), F.lit("pending").alias("validation_status"))
 
 
-def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, Any], validator: validate.Validator = validate.structural, strict: bool = False) -> dict[str, DataFrame]:
+def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, Any], validator: validate.Validator = validate.structural, strict: bool = False, visual: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every table of a whole run: formulas, candidates, merged, issues, summary.
 
+    visual gives validated candidates their visual_score, by comparing previews with the formulas' rasters.
+
     Stages that call engines or validators are written to the shared folder, so they run once.
     """
     keys = ["doc_id", "id"]
@@ -33,7 +36,7 @@ def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, An
     candidates = raw.withColumn("idx", place).withColumn("latex_hash", F.lit(None).cast("string")).withColumn("visual_score", F.lit(None).cast("double"))
     repaired = materialise(validate.with_repairs(candidates, keys), "repaired")
     judged, _ = validate.validate(repaired, keys, validator)
-    judged = materialise(judged, "validated")
+    judged = materialise(visual(judged) if visual else judged, "validated")
     chosen = select.select_candidates(formulas, judged, settings, keys)
     chosen = materialise(select.drop_invalid_selections(chosen, settings["merge"]["allow_invalid_formula_fallback"]), "selected")
     text = merge_text(F.col("selected_latex"), effective_display(F.col("display_type_manual"), F.col("display_type_auto")), F.col("png_path"), F.col("id"), settings["merge"])

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import gates, latex, logs, paths, text
-from ..operators import audit, extract, merge, ocr, select, validate
-from ..sources import corpus, markdown
+from ..operators import audit, external, extract, merge, ocr, select, validate
+from ..sources import corpus, markdown, tables
 from ..sources.corpus import table
 from . import pipeline
 
@@ -558,3 +558,128 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_engine(rows):
     """A deterministic engine for whole runs: a formula made of the raster's name."""
     return rows["png_path"].str.extract(r"(\d+)\.png")[0].map(lambda n: rf"\( x_{{{int(n)}}} \)")
+
+
+MERGED_RUN = r"select doc_id, concat(substr(replace(text, chr(10), ' '), 1, 40), ' \({0}1}}\) mid', chr(10), chr(10), '\[', chr(10), '{0}2}}', chr(10), '\]', chr(10), chr(10), 'See ![fig](media/photo', doc_id % 7, '.png) and \({0}3}}\)', chr(10), substr(replace(text, chr(10), ' '), 41, 40), substr(text, 81)) as merged from documents"
+
+
+@query(MERGED_RUN.replace("{0}", "x_{").replace("}}", "}"))
+def full_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.full(corpus.docs_md(spark, sf_dir), {"pix2tex": path_engine}, settings())["merged"].select("doc_id", "merged")
+
+
+@query(MERGED_RUN.replace("{0}", "v_{").replace("}}", "}"))
+def full_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines: the one that the priority list puts last has the better visual score."""
+    engines = {"pix2tex": path_engine, "texteller": lambda rows: path_engine(rows).str.replace("x_", "v_")}
+    score = lambda c: c.withColumn("visual_score", F.when(F.col("source") == "texteller", 0.9).otherwise(0.75))
+    return pipeline.full(corpus.docs_md(spark, sf_dir), engines, settings(), visual=score)["merged"].select("doc_id", "merged")
+
+
+@query(r"with n as (select p_partkey as cand_id, p_size, p_partkey % 3 as k, p_partkey % 2 as e from part) select cand_id, case e when 0 then 'pix2tex' else 'ollama_qwen' end as source, case when k = 0 and e = 0 then '' when k = 2 then null else concat('x_', p_size) end as latex, k = 0 and e = 1 as retried, case when k = 2 then 'error' when k = 0 and e = 0 then 'error' else 'pending' end as validation_status from n")
+def retried_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image in three is a small copy that gives nothing, one makes the engine fail; one of two engines asks again."""
+    part = table(spark, sf_dir, "part")
+    kind, whole = F.col("p_partkey") % 3, F.concat(F.lit("x_"), F.col("p_size").cast("string"))
+    image = F.when(kind == 0, "small").when(kind == 2, "broken").otherwise(whole)
+    source = F.when(F.col("p_partkey") % 2 == 0, "pix2tex").otherwise("ollama_qwen")
+    work = part.select(F.col("p_partkey").alias("cand_id"), source.alias("source"), F.lit("original").alias("variant"), image.alias("png_path"), F.when(kind == 2, "broken").otherwise(whole).alias("original_png"))
+    out = ocr.run_with_originals(work, {"pix2tex": small_engine, "ollama_qwen": small_engine}, ["cand_id"], ["ollama_qwen"])
+    return out.select("cand_id", "source", F.when(F.col("raw").isNotNull(), F.col("latex")).alias("latex"), "retried", "validation_status")
+
+
+def small_engine(rows):
+    """A deterministic engine: nothing for small images, a failure for a batch with a broken one."""
+    if (rows["png_path"] == "broken").any():
+        raise RuntimeError("broken image")
+    return rows["png_path"].where(rows["png_path"] != "small", "")
+
+
+@query("with " + FORM + CAND + "k as (select *, concat(source, ':', variant, ':', idx) as ck from c), a as (select formula_id, case when formula_id % 5 = 0 then 'none:none:9' else min(ck) end as asked from k group by 1), j as (select a.formula_id, a.asked, k.* exclude (formula_id) from a left join k on k.formula_id = a.formula_id and k.ck = a.asked) select f.formula_id, case when j.ck is null then f.selected_latex else j.latex end as selected_latex, coalesce(j.source, f.selected_source) as selected_source, coalesce(j.ck, f.selected_candidate_key) as selected_candidate_key, coalesce(j.validation_status, f.validation_status) as validation_status, case when j.asked is not null and j.ck is null then concat('candidate not found: ', j.asked) end as choice_error from f left join j on f.formula_id = j.formula_id")
+def select_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = _keyed(corpus.candidates(spark, sf_dir))
+    asked = have.groupBy("formula_id").agg(F.min("candidate_key").alias("k")).select("formula_id", F.when(F.col("formula_id") % 5 == 0, "none:none:9").otherwise(F.col("k")).alias("candidate_key"))
+    return select.choose(corpus.formulas(spark, sf_dir), have, asked, ["formula_id"]).drop("doc_id")
+
+
+@query("select c_custkey as id, case c_custkey % 4 when 0 then true else false end as current from customer")
+def artifact_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four compiles one is current, one has other TeX, one has no log and one is not there."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), latex.validation_document(F.col("c_name"), config.DEFAULTS).alias("document"), (F.col("c_custkey") % 4).alias("k"))
+    old = rows.filter("k <> 3").select("id", F.when(F.col("k") == 1, F.concat("document", F.lit(" "))).otherwise(F.col("document")).alias("tex"), F.lit(True).alias("has_pdf"), (F.col("k") != 2).alias("has_log"))
+    return validate.artifact_currency(rows, old, ["id"])
+
+
+@query("select n_nationkey as id, case n_nationkey % 3 when 0 then 0 when 1 then 127 else 3 end as returncode, case n_nationkey % 3 when 0 then n_name else '' end as stdout, false as timed_out from nation")
+def command_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("n_nationkey") % 3
+    argv = F.when(kind == 0, F.array(F.lit("printf"), F.lit("%s"), F.col("n_name"))).when(kind == 1, F.array(F.lit("no-such-program"))).otherwise(F.array(F.lit("sh"), F.lit("-c"), F.lit("exit 3")))
+    return external.run_commands(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), argv.alias("argv")), ["id"]).drop("stderr")
+
+
+@query("with p as (select p_partkey as id, p_name, p_size % 4 as k from part) select id, case k when 0 then 'skipped' when 1 then 'missing' when 2 then 'converted' else 'failed' end as status, case k when 2 then 'second' end as tool, case k when 0 then 'old' when 2 then upper(p_name) end as result, case k when 3 then 'first: no; second: no' end as error from p")
+def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of tools behind documents to Markdown, rasters and previews: the second one serves some."""
+    kind = F.col("p_size") % 4
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(kind == 3, "?").when(kind != 1, F.col("p_name")).alias("source"), F.when(kind == 0, "old").alias("have"))
+    return external.convert(rows, ["id"], "source", {"first": no_tool, "second": upper_tool}, "have")
+
+
+def no_tool(value: str) -> str:
+    raise RuntimeError("no")
+
+
+def upper_tool(value: str) -> str:
+    return no_tool(value) if value == "?" else value.upper()
+
+
+RASTERS = "with r as (select vec_id, list_transform(embedding, lambda x: cast(floor((x + 1) * 127) as int)) as v from embeddings), m as (select *, cast(floor(list_sum(v) / len(v) + 0.5) as int) as mean from r), "
+
+
+@query(RASTERS + "x as (select vec_id, unnest(['original', 'padded', 'grayscale_contrast', 'binarized']) as variant, unnest([v, v, list_transform(v, lambda p: cast(greatest(0, least(255, mean + 2 * (p - mean))) as int)), list_transform(v, lambda p: case when p > 153 then 255 else 0 end)]) as w from m) select vec_id, variant, cast(len(w) + case variant when 'original' then 0 else 6 end as int) as width, case variant when 'original' then 1 else 7 end as height, cast(255 * len(w) - list_sum(w) as bigint) as ink from x")
+def raster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("width"), F.lit(1).alias("height"), pixels.alias("pixels"))
+    out = external.raster_variants(rows, ["vec_id"], ["original", "padded", "grayscale_contrast", "binarized"], padding=3)
+    ink = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + (F.lit(255) - p))
+    return out.select("vec_id", "variant", "width", "height", ink.alias("ink"))
+
+
+@query("select doc_id, case when doc_id % 7 = 0 then 'refused' else 'converted' end as status, case when doc_id % 7 = 0 then '1 forbidden references remain' end as error from documents")
+def build_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, issues = _merged(spark, sf_dir, broken=True)
+    left = merge.forbidden_refs(merged, _chosen(spark, sf_dir), config.DEFAULTS["images"]["formula_extensions"], ["doc_id"])
+    left = left.filter("reason = 'forbidden reference'")
+    return external.build(merged.select("doc_id", "merged"), left, ["doc_id"], "merged", {"tex": wrap_tool}).select("doc_id", "status", "error")
+
+
+def wrap_tool(value: str) -> str:
+    return "\\begin{document}\n" + value + "\n\\end{document}\n"
+
+
+@query("with s as (select o_custkey as doc_id, o_orderkey as id, o_orderkey % 50 - 5 as a, o_orderkey % 50 - 5 + o_orderkey % 7 - 2 as b from orders) select doc_id, 'invalid replacement range' as reason, cast(id as varchar) as formula_ids from s where a < 0 or b < a")
+def invalid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("o_orderkey") % 50 - 5
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + F.col("o_orderkey") % 7 - 2).alias("end"))
+    return merge.span_problems(spans, ["doc_id"]).filter("reason = 'invalid replacement range'").select("doc_id", "reason", _joined("formula_ids"))
+
+
+@query("with d as (select doc_id, text, length(text) // 2 as mid, substr(text, length(text) // 2 + 1, 40) as original from documents where text is not null), s as (select *, case doc_id % 3 when 0 then mid when 1 then strpos(text, original) - 1 end as st from d) select doc_id, 'f0001' as id, cast(st as int) as start, cast(st + length(original) as int) as \"end\" from s where st is not null and length(original) > 0")
+def fallback_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas without an image: found where they were, found elsewhere by their text, or not found."""
+    at, kind = F.floor(F.length("text") / 2).cast("int"), F.col("doc_id") % 3
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").alias("markdown"))
+    original = F.substring("text", at + 1, F.lit(40))
+    forms = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.lit("f0001").alias("id"), F.when(kind == 2, F.lit("\u0001 nowhere \u0001")).otherwise(original).alias("original_match"), F.when(kind == 0, at).otherwise(F.lit(-1)).alias("start"), F.when(kind == 0, at + F.length(original)).otherwise(F.lit(-1)).alias("end"))
+    return merge.fall_back(docs, forms.filter("length(original_match) > 0"), forms.filter("false"), ["doc_id"])
+
+
+@query("with " + CAND + "x as (select concat('w', o_custkey) as workdir, printf('f%04d', o_orderkey) as id, row_number() over (partition by o_orderkey order by c.idx) as idx, c.source, c.latex, c.visual_score from c join orders on formula_id = o_orderkey) select workdir, id, cast(idx as int) as idx, source, latex, visual_score from x")
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas and candidates nested into one document a folder, written as JSON text, read and taken apart again."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("workdir"), F.format_string("f%04d", "o_orderkey").alias("id"), F.col("o_orderkey").alias("formula_id"))
+    have = corpus.candidates(spark, sf_dir).join(orders, "formula_id")
+    nested = tables.assemble_manifests(tables.blank(orders.withColumn("seq", F.col("formula_id")), tables.FORMULA, ["workdir", "seq", "id"]), tables.blank(have, tables.CANDIDATE, ["workdir", "id", "idx"]))
+    text_ = nested.select("workdir", F.to_json(F.struct("formulas")).alias("j"))
+    back = text_.select("workdir", F.from_json("j", f"formulas array<{tables.FORMULA}>").getField("formulas").alias("formulas"))
+    return tables.explode_manifests(back)[1].select("workdir", "id", "idx", "source", "latex", "visual_score")

@@ -39,6 +39,12 @@ def explode_manifests(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return formulas, c.select("workdir", "id", (F.col("q") + 1).alias("idx"), "c.*")
 
 
+def blank(rows: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """rows with the keys and all fields of a manifest's part (FORMULA or CANDIDATE); those that rows lack are null."""
+    have = [f for f in T.StructType.fromDDL(f"x {part}")["x"].dataType.fields if f.name not in keys and f.name != "candidates"]
+    return rows.select(*keys, *(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in have))
+
+
 def _in_order(place: str, item: Column) -> Column:
     """All items by their place alone: their maps cannot be compared."""
     return F.array_sort(F.collect_list(F.struct(place, item)), lambda a, b: (a[place] - b[place]).cast("int"))
