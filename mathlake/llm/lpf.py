@@ -1,8 +1,8 @@
 """Exact removal of repeated byte strings by longest-previous-factor arrays over suffix order.
 
 A byte goes when a string of WIDTH bytes over it also starts anywhere else, in the same document or another one. The same
-machinery over words instead of bytes finds passages of WORDS words and more that stand elsewhere too; they are counted,
-not removed (a passage of over 50 short words may have fewer than WIDTH bytes).
+machinery over words instead of bytes tells the documents that share a passage of WORDS words or more with another document;
+these passages are not removed (over 50 short words may have fewer than WIDTH bytes).
 
 Buckets. A suffix array of a whole corpus fits no task, so suffixes are dealt into buckets that no pair of equal strings
 can straddle: a start's bucket is the least hash of the grams inside its string, a function of that string alone.
@@ -25,7 +25,7 @@ Text moves once, and only of documents with a shared bucket: a bitmap of fixed s
 are hashed where they are read.
 
 Defined cases: null text is empty; texts under the width stay whole; repeated rows are copies of each other; rows that
-share a doc_id but not the text are documents of their own; an empty table gives no rows; other columns are ignored.
+share a doc_id but not the text are documents of their own, and those that share both are one where passages are told; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,18 +175,30 @@ def longest_previous(suffixes: Suffixes, starts: np.ndarray) -> tuple[np.ndarray
     return factor, source
 
 
-def judge(spans: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all starts of the spans: span number, offset, whether an earlier start has its string, whether any other has."""
+def shared_by(rank: np.ndarray, document: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of each start whether its string is another document's too; `others` marks strings that two documents have already."""
+    order = np.lexsort((document, rank))
+    first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+    last = np.append(first[1:], len(order)) - 1
+    many = (document[order][first] != document[order][last]) | np.maximum.reduceat(others[order].astype(np.int8), first).astype(bool)
+    out = np.empty(len(rank), bool)
+    out[order] = np.repeat(many, last - first + 1)
+    return out
+
+
+def judge(spans: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all starts of the spans: span number, offset, whether an earlier start has its string, whether any other has, and the string's rank."""
     lengths = np.fromiter(map(len, spans), np.int64, len(spans))
     counts = lengths - width + 1
     owner = np.repeat(np.arange(len(spans)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.repeat(np.cumsum(lengths) - lengths, counts) + offset
-    factor, source = longest_previous(Suffixes(np.concatenate(spans), width), starts)
+    suffixes = Suffixes(np.concatenate(spans), width)
+    factor, source = longest_previous(suffixes, starts)
     later = factor >= width
     both = later.copy()
     both[source[later]] = True
-    return owner, offset, later, both
+    return owner, offset, later, both, suffixes.rank[starts]
 
 
 def stretches(owner: np.ndarray, offset: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +211,12 @@ def stretches(owner: np.ndarray, offset: np.ndarray, kind: np.ndarray) -> tuple[
 
 def removed(text: bytes, cuts: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs removed, and what is left, for sorted intervals."""
-    merged = union(cuts)
+    merged: list[list[int]] = []
+    for a, b in cuts:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
     left, at = [], 0
     for a, b in merged:
         left.append(text[at:a])
@@ -207,15 +224,8 @@ def removed(text: bytes, cuts: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return sum(b - a for a, b in merged), len(merged), b"".join([*left, text[at:]])
 
 
-def union(cuts: list[tuple[int, int]]) -> list[list[int]]:
-    """Sorted intervals, those that overlap or touch made one."""
-    merged: list[list[int]] = []
-    for a, b in cuts:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return merged
+def is_words() -> Column:
+    return F.col("bucket").bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 class Shape:
@@ -224,8 +234,8 @@ class Shape:
     def __init__(self, width: int = WIDTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM):
         self.width, self.gram = (width, words), (gram, word_gram)
 
-    def of(self, bucket: Column) -> Column:
-        return F.when(bucket.bitwiseAND(F.lit(1).cast("long")) == 1, self.width[1]).otherwise(self.width[0])
+    def of(self) -> Column:
+        return F.when(is_words(), self.width[1]).otherwise(self.width[0])
 
     def symbols(self, span: bytes, kind: int) -> np.ndarray:
         return np.frombuffer(span, (np.uint8, np.uint64)[kind])
@@ -336,8 +346,10 @@ def _locals(items: DataFrame, shape: Shape, hot: bool) -> DataFrame:
 
     def settle(held: list[tuple], kind: int) -> list[tuple]:
         size, width = (1, 8)[kind], shape.width[kind]
-        owner, offset, later, both = judge([shape.symbols(h[7], kind) for h in held], width)
+        owner, offset, later, both, rank = judge([shape.symbols(h[7], kind) for h in held], width)
         asked = np.array([h[2] for h in held], bool)[owner]
+        if kind:
+            both = shared_by(rank, np.array([h[3] for h in held])[owner], ~asked)
         out, met = [], asked & both
         for o, a, n, _ in zip(*(x.tolist() for x in stretches(owner[met], offset[met], met[met])), strict=True):
             _, bucket, _, key, crc, first, _, _ = held[o]
@@ -388,6 +400,16 @@ def _strings(items: DataFrame, shape: Shape) -> DataFrame:
     return items.select("bucket", "open", "key", "crc", "first", "n", "span").mapInArrow(tidied(run), "bucket long, open boolean, key long, crc long, first long, h1 long, h2 long")
 
 
+def _counts(open_: str | None = None) -> list[Column]:
+    """What tells whether a group of spans or strings repeats: their number, their documents, and partners among them."""
+    return [F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi"), (F.min(open_) if open_ else F.lit(True)).alias("all_open")]
+
+
+def _many() -> Column:
+    """Bytes repeat anywhere; words in another document, for which a partner stands."""
+    return F.when(is_words(), (F.col("lo") != F.col("hi")) | ~F.col("all_open")).otherwise(F.col("c") > 1)
+
+
 def _parts(spans: DataFrame, size: Column, bucket: int) -> DataFrame:
     """Distinct spans with the part they go to; buckets without an open span are done."""
     loads = spans.groupBy("bucket").agg(F.sum(size).alias("load"), F.max("open").alias("any")).filter("any").select("bucket", "load")
@@ -400,18 +422,18 @@ def find(docs: DataFrame, shape: Shape, bucket: int = BUCKET, levels: int = LEVE
     ship(docs.sparkSession)
     keyed = _keyed(docs)
     found = materialise(_runs_of(keyed, shape), "lpf-runs")
-    shared = found.groupBy("bucket").agg(F.count("*").alias("c"), F.max("twice").alias("t")).filter("c > 1 or t").select("bucket")
+    shared = found.groupBy("bucket").agg(*_counts(), F.max("twice").alias("t")).filter(_many() | (F.col("t") & ~is_words())).select("bucket")
     kept = materialise(found.join(shared, "bucket"), "lpf-shared")
     discard(found)
     bits = key_bitmap(kept, ["key", "crc"])
 
-    # A row a distinct span: how often it occurs, and where it occurs first.
-    covered = (F.col("n") + shape.of(F.col("bucket")) - 1).alias("n")
-    spans = kept.groupBy("bucket", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("key", "crc", "first", "n")).alias("at"))
-    whole = kept.join(spans.filter("c > 1").select("bucket", "s1", "s2"), ["bucket", "s1", "s2"]).select("bucket", "key", "crc", "first", covered)
-    spans = spans.select("bucket", "s1", "s2", (F.col("c") == 1).alias("open"), "at.*")
-    width = F.when(F.col("bucket").bitwiseAND(F.lit(1).cast("long")) == 1, 8).otherwise(1)
-    wanted = _parts(spans, (F.col("n") + shape.of(F.col("bucket")) - 1) * width, bucket)
+    # A row a distinct span: whether it is repeated, and where it occurs first.
+    covered = (F.col("n") + shape.of() - 1).alias("n")
+    spans = kept.groupBy("bucket", "s1", "s2").agg(*_counts(), F.min(F.struct("key", "crc", "first", "n")).alias("at"))
+    whole = kept.join(spans.filter(_many()).select("bucket", "s1", "s2"), ["bucket", "s1", "s2"]).select("bucket", "key", "crc", "first", covered)
+    spans = spans.select("bucket", "s1", "s2", (~_many()).alias("open"), "at.*")
+    width = F.when(is_words(), 8).otherwise(1)
+    wanted = _parts(spans, (F.col("n") + shape.of() - 1) * width, bucket)
     texts = marked(keyed, ["key", "crc"], bits, True).dropDuplicates(["key", "crc"]).select("key", "crc", "body")
     items = materialise(_cut(texts, wanted, shape), "lpf-spans")
     plain = lambda df: df.filter("span is null").select("bucket", "key", "crc", "first", "n")
@@ -423,31 +445,31 @@ def find(docs: DataFrame, shape: Shape, bucket: int = BUCKET, levels: int = LEVE
         settled = materialise(_locals(hot, shape, True), "lpf-hot")
         intervals = intervals.unionByName(plain(settled))
         again = materialise(_again(settled.filter("span is not null"), shape, level), "lpf-again")
-        shared = again.groupBy("bucket").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.max("open").alias("o")).filter("o and (c > 1 or t)").select("bucket")
+        shared = again.groupBy("bucket").agg(*_counts("open"), F.max("twice").alias("t"), F.max("open").alias("o")).filter(F.col("o") & (_many() | (F.col("t") & ~is_words()))).select("bucket")
         again = again.join(shared, "bucket")
-        spans = again.groupBy("bucket", "s1", "s2").agg(F.count("*").alias("c"), F.max("open").alias("o"), F.min(F.struct("key", "crc", "first", "n")).alias("at"), F.first("span").alias("span"))
-        twice = spans.filter("c > 1 and o").select("bucket", "s1", "s2")
+        spans = again.groupBy("bucket", "s1", "s2").agg(*_counts("open"), F.max("open").alias("o"), F.min(F.struct("key", "crc", "first", "n")).alias("at"), F.first("span").alias("span"))
+        twice = spans.filter(F.col("o") & _many()).select("bucket", "s1", "s2")
         intervals = intervals.unionByName(again.filter("open").join(twice, ["bucket", "s1", "s2"]).select("bucket", "key", "crc", "first", covered))
-        spans = spans.select("bucket", "s1", "s2", (F.col("o") & (F.col("c") == 1)).alias("open"), "at.*", "span")
+        spans = spans.select("bucket", "s1", "s2", (F.col("o") & ~_many()).alias("open"), "at.*", "span")
         items = materialise(_parts(spans, F.octet_length("span"), bucket), "lpf-items")
         intervals = intervals.unionByName(plain(_locals(items.filter("not hot"), shape, False)))
         hot = items.filter("hot")
     else:
         if not hot.isEmpty():
             strings = materialise(_strings(hot, shape), "lpf-strings")
-            twice = strings.groupBy("bucket", "h1", "h2").agg(F.count("*").alias("c"), F.max("open").alias("o")).filter("c > 1 and o").select("bucket", "h1", "h2")
+            twice = strings.groupBy("bucket", "h1", "h2").agg(*_counts("open"), F.max("open").alias("o")).filter(F.col("o") & _many()).select("bucket", "h1", "h2")
             late = strings.filter("open").join(twice, ["bucket", "h1", "h2"])
-            intervals = intervals.unionByName(late.select("bucket", "key", "crc", "first", shape.of(F.col("bucket")).cast("long").alias("n")))
+            intervals = intervals.unionByName(late.select("bucket", "key", "crc", "first", shape.of().cast("long").alias("n")))
     return intervals, bits
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET, keep_text: bool = False, words: int = WORDS, word_gram: int = WORD_GRAM, levels: int = LEVELS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with keep_text what is left (binary).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage, and with keep_text what is left (binary).
 
-    n_passages counts the maximal runs of words covered by passages of at least `words` words that also start elsewhere.
+    shares_passage: whether a passage of at least `words` words is another document's too.
     """
     intervals, bits = find(docs, Shape(width, gram, words, word_gram), bucket, levels)
-    kind = F.col("bucket").bitwiseAND(F.lit(1).cast("long"))
+    kind = F.when(is_words(), 1).otherwise(0)
     cuts = intervals.groupBy("key", "crc").agg(F.array_sort(F.collect_set(F.struct(kind.alias("kind"), "first", "n"))).alias("cuts"))
     keyed = _keyed(docs)
     texts = marked(keyed, ["key", "crc"], bits, True).join(cuts, ["key", "crc"], "left")
@@ -460,14 +482,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
             of, first, n = (items.field(k).to_numpy() for k in range(3))
             for body, (a, b) in zip(batch.column(1), pairwise(bounds.tolist()), strict=True):
                 text, split = body.as_py(), a + int(np.searchsorted(of[a:b], 1))
-                of_kind = [list(zip(first[x:y].tolist(), (first[x:y] + n[x:y]).tolist(), strict=True)) for x, y in ((a, split), (split, b))]
-                m, k, left = removed(text, of_kind[0])
-                out.append((len(text), m, k, hashlib.sha256(left).hexdigest(), len(union(of_kind[1])), left))
-            kinds = [*[pa.int64()] * 3, pa.string(), pa.int64(), *[pa.binary()] * keep_text]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *["text"] * keep_text])
+                m, k, left = removed(text, list(zip(first[a:split].tolist(), (first[a:split] + n[a:split]).tolist(), strict=True)))
+                out.append((len(text), m, k, hashlib.sha256(left).hexdigest(), split < b, left))
+            kinds = [*[pa.int64()] * 3, pa.string(), pa.bool_(), *[pa.binary()] * keep_text]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage", *["text"] * keep_text])
 
-    schema = f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", text binary" * keep_text
+    schema = f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean" + ", text binary" * keep_text
     touched = texts.select("doc_id", "body", "cuts").mapInArrow(tidied(run), schema)
     zero = F.lit(0).cast("long")
-    free = marked(keyed, ["key", "crc"], bits, False).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), zero.alias("n_passages"), *([F.col("body").alias("text")] if keep_text else []))
+    free = marked(keyed, ["key", "crc"], bits, False).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.lit(False).alias("shares_passage"), *([F.col("body").alias("text")] if keep_text else []))
     return touched.unionByName(free)
