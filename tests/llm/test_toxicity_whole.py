@@ -21,7 +21,7 @@ def test_weak_and_ordinary_words_count():
 
 def test_no_strong_word_is_not_an_empty_text():
     evidence = toxicity.Evidence({}, {})
-    scorer = toxicity.Scorer(({}, {}, np.array([-1.0, 1.0, 0.0, 0.0])))
+    scorer = toxicity.Scorer(({}, {}, 0.0, np.array([-1.0, 1.0, 0.0, 0.0, 0.0])))
     scorer.evidence = evidence
     evidence.update({"mild": 1.0, "kind": -1.0})
     mild, kind, none = scorer(pa.array(["mild", "kind", ""]))
