@@ -204,8 +204,9 @@ def digest(docs: DataFrame, literals: int = LITERALS) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
-    columns = docs.columns
-    found = spans(docs, columns)
+    # The other columns travel as one, so their names cannot clash with those used here.
+    rest = [c for c in docs.columns if c != "text"]
+    found = spans(docs.select("text", F.struct(F.lit(0).alias("none"), *rest).alias("rest")), ["text", "rest"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
 
@@ -215,6 +216,6 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(before, F.element_at(names, x["rank"])))).alias("out"))
 
     begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["pos"] + 1, F.length("text")))
-    masked = F.when(F.size("__spans") > 0, F.aggregate(ordered, begin, step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", masked).select(*columns)
+    tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["pos"] + 1, F.length("text")))
+    masked = F.when(F.size("__spans") > 0, F.aggregate(ordered, begin, step, tail)).otherwise(F.col("text"))
+    return found.select(*(masked.alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))

@@ -298,9 +298,12 @@ def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
     named = named.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__leads"))
     touched = materialise(named.filter("__n > 1 or __leads = 0").withColumnRenamed("doc_id", "__doc"), "simhash-touched")
     bits = key_bitmap(touched, ["__doc"])
-    maybe = marked(docs, ["doc_id"], bits, True)
+    # A row's columns travel as one, so their names cannot clash with those used here.
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    maybe = marked(rows, ["doc_id"], bits, True)
     found = maybe.join(touched, maybe["doc_id"] == touched["__doc"], "left")
-    clear = found.filter("__doc is null").select(*docs.columns)
-    repeats = found.filter("__leads = 1 and __n > 1").withColumn("__h", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    one = repeats.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h"))).filter("__k = 1").select(*docs.columns)
-    return marked(docs, ["doc_id"], bits, False).unionByName(clear).unionByName(one)
+    clear = found.filter("__doc is null").select("row")
+    repeats = found.filter("__leads = 1 and __n > 1").withColumn("__h", F.xxhash64("row"))
+    one = repeats.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h"))).filter("__k = 1").select("row")
+    kept = marked(rows, ["doc_id"], bits, False).select("row").unionByName(clear).unionByName(one)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
