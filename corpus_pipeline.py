@@ -6,6 +6,10 @@ as Parquet and read again as the next stage's docs. All stages but the last retu
 A toxic document goes, one document of each near-duplicate component stays (the one with the smallest doc_id), documents
 that hold a benchmark item go, personal data is masked (n_chars follows the text), and what is left is packed into
 sequences with its token ids.
+
+Defined cases: null and empty texts pass (one of them stays, as all have fingerprint zero) and are packed as the end id alone;
+rows without a doc_id pass the near-duplicate stage; repeated rows are one document there, as are rows that share a doc_id;
+texts of any length are read whole; an empty table stays empty; extra columns, whatever their names, are returned as they are.
 """
 
 from __future__ import annotations
@@ -24,20 +28,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: its smallest doc_id, and one row where doc_ids repeat."""
+    """Keeps one row of each component: its smallest doc_id, and one row where doc_ids repeat.
+
+    Components are op3's: three-word shingles, at most 3 bits apart. Copies with more edits than that stay (README).
+    """
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold 0.8 of the five-word shingles of a benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every span; documents stay."""
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece, with its token ids and its place."""
     return packing.pack(docs, keep_ids=True, memo=SMALL_MEMO)
 
 
