@@ -74,7 +74,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
+def place(spark: SparkSession, path: str) -> tuple:
     """The path and its file system, as the session's JVM knows them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -90,7 +90,7 @@ def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    at, fs = _place(spark, path)
+    at, fs = place(spark, path)
     fs.deleteOnExit(at)  # what nobody discards goes with the session
     return out
 
@@ -98,5 +98,5 @@ def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of materialise() that nothing lazy reads any more."""
     for df in frames:
-        at, fs = _place(df.sparkSession, df.written_to)
+        at, fs = place(df.sparkSession, df.written_to)
         fs.delete(at, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..cluster import place
 from ..operators.ocr import latest_attempts
 
 
@@ -22,8 +23,10 @@ def status_counts(attempts: DataFrame, at: str = "ts", status: str = "event_type
 def keep_latest(attempts: DataFrame, root: str, keys: list[str], checkpoint: str):
     """Each batch is reduced to its latest attempt a key and merged into a table written anew per batch id.
 
-    A batch that runs again writes the same version again, so a lost executor or driver repeats no effect.
+    A batch that runs again writes the same version again, so a lost executor or driver repeats no effect; it reads the
+    version before it, and those before that are deleted.
     """
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = latest_attempts(batch, keys)
@@ -34,5 +37,7 @@ def keep_latest(attempts: DataFrame, root: str, keys: list[str], checkpoint: str
             last = F.max_by(F.struct(*rest), F.struct("started_at", *[c for c in rest if c != "started_at"])).alias("l")
             fresh = both.groupBy(*keys).agg(last, F.sum("n_attempts").alias("n_attempts")).select(*keys, "l.*", "n_attempts")
         fresh.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        old_version, fs = place(spark, f"{root}/v{batch_id - 2}")
+        fs.delete(old_version, True)
 
     return attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
