@@ -93,12 +93,6 @@ def report_html(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("<tr class='"), "row_class", F.lit("'><td>"), F.col("formula_id").cast("string"), F.lit("</td><td><pre>"), F.coalesce(escaped, F.lit("")), F.lit("</pre></td></tr>")).alias("value"))
 
 
-def raster_similarity(a: Column, b: Column) -> Column:
-    """One less the mean absolute difference of two equal-size 8-bit rasters, from 0 to 1."""
-    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, d: s + d.cast("long"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - total / (255.0 * F.size(a))))
-
-
 def tag_count(text: Column, tag: str) -> Column:
     """How often a substring stands in a text, without overlaps."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(tag), F.lit("")))) / len(tag)).cast("long")

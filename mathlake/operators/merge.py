@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import materialise, ship
-from ..functions.paths import has_extension, normalise, variants
-from ..functions.text import strip
+from ..functions.paths import basename, has_extension, normalise
+from ..functions.text import let, strip
 from ..sources.markdown import images
 
 FAR = 10**12
 
 
 class MergeError(RuntimeError):
-    """A strict merge that left issues; carries their rows."""
+    """A strict merge that left issues: how many there are, and the first rows of them."""
+
+    def __init__(self, n: int, rows: list):
+        super().__init__(f"{n} merge issues, of which {len(rows)} are given")
+        self.n, self.rows = n, rows
 
-    def __init__(self, rows: list):
-        super().__init__(f"{len(rows)} merge issues")
-        self.rows = rows
+    @classmethod
+    def check(cls, issues: DataFrame, shown: int = 100) -> None:
+        if rows := issues.take(shown):
+            raise cls(len(rows) if len(rows) < shown else issues.count(), rows)
 
 
 def distance(image_start: Column, image_end: Column, start: Column, end: Column) -> Column:
@@ -28,77 +38,202 @@ def distance(image_start: Column, image_end: Column, start: Column, end: Column)
     return F.when(start.isNull(), F.lit(FAR)).otherwise(F.abs(start - image_start) + F.coalesce(F.abs(end - image_end), F.lit(0)))
 
 
-def match(parsed: DataFrame, formulas: DataFrame, keys: list[str], workdir: str = "/work", markdown_dir: str = "/work") -> DataFrame:
-    """(image, formula) pairs of a document that share a spelling of their path: explode and equi-join, never a theta join.
+def name_of(ref: Column) -> Column:
+    """What an image and its formula have in common: the last segment of the path, or all of it where that is empty."""
+    return F.when(basename(ref) != "", basename(ref)).otherwise(normalise(ref))
+
+
+def named(formulas: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, start, end, name: a row for each different name that a formula's paths have."""
+    names = F.array_distinct(F.array(*(name_of(F.col(c)) for c in ("dest", "png_path") if c in formulas.columns)))
+    return formulas.select(*keys, "id", "start", "end", F.explode(names).alias("name")).filter("name <> ''")
 
-    A document's images of one path and its formulas of that path meet; other documents never do.
-    """
-    spell = lambda c: F.explode(variants(F.col(c), workdir, markdown_dir))
-    left = parsed.select(*keys, F.col("start").alias("image_start"), F.col("end").alias("image_end"), "dest", "original", spell("dest").alias("v"))
-    sides = [formulas.select(*keys, "id", "start", "end", spell(c).alias("v")) for c in ("dest", "png_path") if c in formulas.columns]
-    right = sides[0]
-    for s in sides[1:]:
-        right = right.unionByName(s)
-    return left.join(right.distinct(), [*keys, "v"]).drop("v").distinct()
 
+def match(parsed: DataFrame, formulas: DataFrame, keys: list[str]) -> DataFrame:
+    """(image, formula) pairs of a document that name the same file: an equi-join, and never a pair twice.
+
+    Every spelling of a path ends in the same name, so names decide; only formulas have more than one.
+    """
+    left = parsed.select(*keys, F.col("start").alias("image_start"), F.col("end").alias("image_end"), "dest", "original", name_of(F.col("dest")).alias("name"))
+    return left.join(named(formulas, keys), [*keys, "name"]).drop("name")
 
-def assign(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One formula an image, in document order: its exact span first, else the nearest unused one, ties by id.
 
-    A pair of equal spans always goes together, so those are settled by a join; only documents with leftovers are
-    assigned one after the other.
+def take_in_turn(images: list[tuple[int, int, str]], formulas: list[tuple[str, int | None, int | None, str]]) -> Iterator[tuple[int, str]]:
+    """(image start, formula id) of one document: each image in its turn takes the free formula of its name with its own
+    span, else the nearest one, ties by id. images are (start, end, name), formulas (id, start, end, name).
+    """
+    by_name: dict[str, list] = defaultdict(list)
+    for f in sorted(formulas, key=lambda f: f[0]):
+        by_name[f[3]].append(f)
+    spans = {name: np.array([(FAR if s is None else s, -1 if e is None else e) for _, s, e, _ in rows], np.int64) for name, rows in by_name.items()}
+    free = {name: np.ones(len(rows), bool) for name, rows in by_name.items()}
+    where: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    exact: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+    for name, rows in by_name.items():
+        for k, (i, s, e, _) in enumerate(rows):
+            where[i].append((name, k))
+            if s is not None and e is not None:
+                exact[name, s, e].append(k)
+    for start, end, name in sorted(images):
+        if name not in by_name or not free[name].any():
+            continue
+        k = next((k for k in exact.get((name, start, end), ()) if free[name][k]), None)
+        if k is None:
+            s, e = spans[name].T
+            away = np.where(s == FAR, FAR, np.abs(s - start) + np.where(e < 0, 0, np.abs(e - end)))
+            away[~free[name]] = np.iinfo(np.int64).max
+            k = int(away.argmin())
+        taken = by_name[name][k][0]
+        for other, at in where[taken]:
+            free[other][at] = False
+        yield start, taken
+
+
+def assign(parsed: DataFrame, formulas: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, image_start, image_end, id: one formula an image, in document order. Its exact span first, else the nearest
+    free one, ties by id.
+
+    Where every image of a document finds its exact span, joins settle it, as no image can take another's formula; that is
+    every text that was not edited. Only documents with another image are taken in turn, a row of spans each: images and
+    formulas of one name are never paired with each other.
+    """
+    ship(parsed.sparkSession)
+    names = named(formulas, keys)
+    images_ = parsed.select(*keys, F.col("start").alias("image_start"), F.col("end").alias("image_end"), name_of(F.col("dest")).alias("name"))
+    images_ = images_.join(names.select(*keys, "name").distinct(), [*keys, "name"], "left_semi")
+    spans = names.groupBy(*keys, "name", F.col("start").alias("image_start"), F.col("end").alias("image_end")).agg(F.min("id").alias("id"))
+    found = images_.join(spans, [*keys, "name", "image_start", "image_end"], "left")
+    found = materialise(found.withColumn("__open", F.count_if(F.col("id").isNull()).over(Window.partitionBy(*keys)) > 0), "merge-exact", "__open")
+    done = found.filter("not __open").select(*keys, "image_start", "image_end", "id")
+    late = found.filter("__open")
+    lists = late.groupBy(*keys).agg(F.collect_list(F.struct("image_start", "image_end", "name")).alias("__i"))
+    theirs = names.join(late.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("id", "start", "end", "name")).alias("__f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, taken = [], [], []
+            for i, r in enumerate(batch.select(["__i", "__f"]).to_pylist()):
+                for s, f in take_in_turn([tuple(x.values()) for x in r["__i"]], [tuple(x.values()) for x in r["__f"]]):
+                    row.append(i), start.append(s), taken.append(f)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(start, pa.int32()), pa.array(taken, pa.string())], [*keys, "image_start", "id"])
+
+    kinds = dict(found.dtypes)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "image_start int, id string"
+    turns = lists.join(theirs, keys).select(*keys, "__i", "__f").mapInArrow(run, schema)
+    turns = turns.join(late.select(*keys, "image_start", "image_end"), [*keys, "image_start"])
+    return done.unionByName(turns.select(*keys, "image_start", "image_end", "id"))
+
+
+#: Patterns that are searched in one pass over a text; a document with more has its text read once for each so many.
+PATTERNS = 20_000
+
+
+def places(text: str, wanted: list[dict]) -> Iterator[tuple[bool, int | None]]:
+    """Of each wanted (start, end, original): whether it still stands at its span, and its first place in the text.
+
+    One automaton finds the first places of all in one pass; it stops when each was seen.
+    """
+    first: dict[str, int] = {}
+    texts = {w["original"] for w in wanted if w["original"]}
+    if len(texts) <= 4:
+        first = {t: k for t in texts if (k := text.find(t)) >= 0}
+    else:
+        automaton = ahocorasick.Automaton()
+        for t in texts:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        for end, t in automaton.iter(text):
+            if t not in first:
+                first[t] = end - len(t) + 1
+                if len(first) == len(texts):
+                    break
+    for w in wanted:
+        s, e, t = w["start"], w["end"], w["original"]
+        yield s is not None and e is not None and t is not None and 0 <= s <= e and text[s:e] == t, first.get(t)
+
+
+def locate(docs: DataFrame, wanted: DataFrame, keys: list[str], column: str = "markdown") -> DataFrame:
+    """keys, id, start, end, length, same, first of wanted (keys, id, start, end, original_match): whether its text stands at
+    its span, and where it stands first. A text meets its formulas as one row, never one copy a formula.
     """
-    ship(pairs.sparkSession)
-    exact = pairs.filter((F.col("image_start") == F.col("start")) & (F.col("image_end") == F.col("end")))
-    exact = exact.groupBy(*keys, "image_start").agg(F.min(F.struct("id", "image_end", "dest", "original")).alias("p")).select(*keys, "image_start", "p.*")
-    rest = pairs.join(exact.select(*keys, "image_start"), [*keys, "image_start"], "left_anti").join(exact.select(*keys, "id"), [*keys, "id"], "left_anti")
-    rest = rest.withColumn("d", distance(F.col("image_start"), F.col("image_end"), F.col("start"), F.col("end")))
-    names = [*keys, "image_start", "id", "image_end", "dest", "original"]
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, options in rows.sort_values(["image_start", "d", "id"]).groupby("image_start", sort=True):
-            free = options[~options["id"].isin(used)]
-            if len(free):
-                used.add(free.iloc[0]["id"])
-                out.append(free.iloc[0])
-        return pd.DataFrame(out, columns=rows.columns)[names] if out else rows.iloc[:0][names]
-
-    kinds = dict(pairs.dtypes)
-    late = rest.groupBy(*keys).applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in names))
-    return exact.select(*names).unionByName(late)
+    ship(docs.sparkSession)
+    kinds = dict(wanted.dtypes)
+    numbered = wanted.select(*keys, F.struct("id", "start", "end", F.col("original_match").alias("original")).alias("w"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    part = F.pmod(F.xxhash64("w"), F.ceil(F.col("n") / PATTERNS))
+    lists = numbered.groupBy(*keys, part.alias("part")).agg(F.collect_list("w").alias("__w"))
+    rows = lists.join(docs.select(*keys, F.col(column).alias("__t")), keys).select(*keys, "__w", "__t")
+    one = pa.list_(pa.struct([("same", pa.bool_()), ("first", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"same": s, "first": f} for s, f in places(r["__t"] or "", r["__w"])] for r in batch.select(["__w", "__t"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(found, one)], [*keys, "__w", "__p"])
+
+    wanted_type = f"array<struct<id:{kinds['id']},start:{kinds['start']},end:{kinds['end']},original:string>>"
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"__w {wanted_type}, __p array<struct<same:boolean,first:int>>"
+    out = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("__w", "__p")).alias("z"))
+    w, p = F.col("z.__w"), F.col("z.__p")
+    return out.select(*keys, w["id"].alias("id"), w["start"].alias("start"), w["end"].alias("end"), F.length(w["original"]).alias("length"), p["same"].alias("same"), p["first"].alias("first"))
 
 
 def fall_back(docs: DataFrame, formulas: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Formulas without an image: their recorded span where the text there is still the same, else the first place of it."""
-    left = formulas.join(assigned.select(*keys, "id"), [*keys, "id"], "left_anti").join(docs.select(*keys, "markdown"), keys)
-    length = F.length("original_match")
-    same = F.substring(F.col("markdown"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("original_match")
-    found = F.instr(F.col("markdown"), F.col("original_match")) - 1
-    start = F.when(same, F.col("start")).when((length > 0) & (found >= 0), found)
-    return left.select(*keys, "id", start.alias("start"), F.when(same, F.col("end")).otherwise(start + length).alias("end")).filter("start is not null")
+    left = formulas.join(assigned.select(*keys, "id"), [*keys, "id"], "left_anti")
+    found = locate(docs, left, keys)
+    start = F.when(F.col("same"), F.col("start")).otherwise(F.col("first"))
+    end = F.when(F.col("same"), F.col("end")).otherwise(F.col("first") + F.col("length"))
+    return found.select(*keys, "id", start.alias("start"), end.alias("end")).filter("start is not null")
 
 
-def span_problems(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Impossible spans, and neighbours (by start, end) that overlap."""
+def neighbours(spans: DataFrame, keys: list[str], against: str = "neighbour") -> DataFrame:
+    """spans with the earlier span that each is held against, in the order (start, end, id): the one before it, or, against
+    "farthest", the one of all before it that ends last.
+    """
     order = Window.partitionBy(*keys).orderBy("start", "end", "id")
-    rows = spans.select(*keys, "id", "start", "end", *(F.lag(c).over(order).alias(f"prev_{c}") for c in ("id", "start", "end")))
+    one = F.struct("id", "start", "end")
+    before = F.lag(one).over(order)
+    if against == "farthest":
+        before = F.max_by(one, F.struct("end", "start", "id")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.select(*keys, "id", "start", "end", before.alias("prev"))
+
+
+def span_problems(spans: DataFrame, keys: list[str], against: str = "neighbour") -> DataFrame:
+    """Impossible spans, and spans that overlap the one before them by (start, end).
+
+    Against "farthest", each is held against the one that reaches farthest, so a span within a long one is told as well
+    when another stands between them.
+    """
+    rows = neighbours(spans, keys, against)
     impossible = rows.filter("start < 0 or end < start").select(*keys, F.lit("invalid replacement range").alias("reason"), F.array("id").alias("formula_ids"), F.array(F.array("start", "end")).alias("ranges"))
-    overlaps = rows.filter("start < prev_end").select(*keys, F.lit("overlapping replacements").alias("reason"), F.array("prev_id", "id").alias("formula_ids"), F.array(F.array("prev_start", "prev_end"), F.array("start", "end")).alias("ranges"))
+    overlaps = rows.filter("start < prev.end").select(*keys, F.lit("overlapping replacements").alias("reason"), F.array("prev.id", "id").alias("formula_ids"), F.array(F.array("prev.start", "prev.end"), F.array("start", "end")).alias("ranges"))
     return impossible.unionByName(overlaps)
 
 
+#: Characters of the pieces that a text is cut into once, so that a span is cut from a piece and not from the whole text.
+PIECE = 4096
+
+
 def rewrite(docs: DataFrame, replacements: DataFrame, keys: list[str], column: str = "markdown", out: str = "merged") -> DataFrame:
-    """docs with every span replaced; spans must not overlap. One row a document comes together, never its neighbours."""
+    """docs with every span replaced; spans must not overlap. One row a document comes together, never its neighbours.
+
+    The gaps between spans are cut from pieces of bounded size and joined once with the new texts: linear in the spans.
+    """
     spans = replacements.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("__s"))
+    rows = docs.join(spans, keys, "left")
+    piece = lambda n: F.floor(n / PIECE).cast("int")
+
+    def text(cut_up: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            part = lambda k: F.substring(F.get(cut_up, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(F.sequence(piece(a), piece(b - 1)), part), "")).otherwise("")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col(column), s["at"] + 1, x["start"] - s["at"])
-        return F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(gap, x["text"])).alias("out"))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get("__s", i - 1)["end"])
+        segments = F.transform("__s", lambda x, i: F.concat(between(before(i), x["start"]), F.coalesce(x["text"], F.lit(""))))
+        return F.concat(F.array_join(segments, ""), between(F.element_at("__s", -1)["end"], F.length(column)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate("__s", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(column), s["at"] + 1, F.length(column))))
-    return docs.join(spans, keys, "left").withColumn(out, F.when(F.col("__s").isNull(), F.col(column)).otherwise(text)).drop("__s")
+    pieces = F.transform(F.sequence(F.lit(0), piece(F.length(column))), lambda k: F.substring(F.col(column), k * PIECE + 1, F.lit(PIECE)))
+    return rows.withColumn(out, F.when(F.col("__s").isNull(), F.col(column)).otherwise(let(pieces, text))).drop("__s")
 
 
 def forbidden_refs(texts: DataFrame, formulas: DataFrame, extensions: list[str], keys: list[str], column: str = "merged") -> DataFrame:
@@ -107,7 +242,8 @@ def forbidden_refs(texts: DataFrame, formulas: DataFrame, extensions: list[str],
     held = match(parsed, formulas, keys).groupBy(*keys, "image_start", "dest", "original").agg(F.array_sort(F.collect_set("id")).alias("formula_ids"))
     held = held.select(*keys, F.lit("forbidden reference").alias("reason"), "dest", "original", "formula_ids")
     done = formulas.filter((strip(F.coalesce("selected_latex", F.lit(""))) != "") & (F.coalesce("original_match", F.lit("")) != ""))
-    remains = done.join(texts.select(*keys, column), keys).filter(F.contains(F.col(column), F.col("original_match")))
+    here = locate(texts, done, keys, column).filter("first is not null").select(*keys, "id")
+    remains = done.join(here, [*keys, "id"], "left_semi")
     return held.unionByName(remains.select(*keys, F.lit("selected formula original_match remains").alias("reason"), "dest", F.col("original_match").alias("original"), F.array("id").alias("formula_ids")))
 
 
@@ -118,8 +254,7 @@ def merge(docs: DataFrame, formulas: DataFrame, text_of: Column, extensions: lis
     Spans that overlap are not applied: their ids become issues.
     """
     formulas = materialise(formulas.withColumn("__text", text_of), "merge-formulas")
-    pairs = materialise(match(images(docs.select(*keys, "markdown")), formulas, keys), "merge-pairs")
-    taken = materialise(assign(pairs, keys), "merge-taken")
+    taken = materialise(assign(images(docs.select(*keys, "markdown")), formulas, keys), "merge-taken")
     spans = taken.select(*keys, "id", F.col("image_start").alias("start"), F.col("image_end").alias("end"))
     spans = materialise(spans.unionByName(fall_back(docs, formulas, taken, keys)), "merge-spans")
     problems = span_problems(spans, keys)
@@ -130,11 +265,10 @@ def merge(docs: DataFrame, formulas: DataFrame, text_of: Column, extensions: lis
     none = F.lit(None).cast("string")
     missing = formulas.join(spans.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, F.lit("formula image match not found during merge").alias("reason"), none.alias("dest"), none.alias("original"), F.array("id").alias("formula_ids"))
     issues = problems.select(*keys, "reason", none.alias("dest"), none.alias("original"), "formula_ids").unionByName(forbidden_refs(merged, formulas, extensions, keys)).unionByName(missing)
-    if strict and (rows := issues.take(100)):
-        raise MergeError(rows)
+    if strict:
+        MergeError.check(issues)
     return merged, issues
 
 
 def assert_no_forbidden(texts: DataFrame, formulas: DataFrame, extensions: list[str], keys: list[str], column: str = "merged") -> None:
-    if rows := forbidden_refs(texts, formulas, extensions, keys, column).take(100):
-        raise MergeError(rows)
+    MergeError.check(forbidden_refs(texts, formulas, extensions, keys, column))

@@ -103,27 +103,34 @@ def drop_invalid_selections(formulas: DataFrame, allow: bool = True) -> DataFram
     return out.withColumn("validation_status", F.when(F.col("__bad"), "invalid").otherwise(F.col("validation_status"))).drop("__bad")
 
 
-def add_manual(candidates: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:
-    """Appends manual LaTeX (keys, latex) as pending candidates, numbered after the manual ones a formula has."""
+def manual_rows(candidates: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:
+    """Manual LaTeX (keys, latex) as pending candidates, numbered after the manual ones that a formula has."""
     had = candidates.groupBy(*keys).agg(F.count_if(F.col("source") == "manual").alias("__m"), F.max("idx").alias("__i"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("latex"))
     rows = manual.join(had, keys, "left").withColumn("__n", place)
     number = F.coalesce("__m", F.lit(0)) + F.col("__n")
-    new = rows.select(*keys, (F.coalesce("__i", F.lit(0)) + F.col("__n")).alias("idx"), F.lit("manual").alias("source"), F.lit("manual").alias("variant"), F.col("latex").alias("raw"), strip(F.col("latex")).alias("latex"), F.lit("pending").alias("validation_status"), F.concat(F.lit("manual:manual:"), number.cast("string")).alias("candidate_key"))
-    return candidates.unionByName(new, allowMissingColumns=True)
+    return rows.select(*keys, (F.coalesce("__i", F.lit(0)) + F.col("__n")).alias("idx"), F.lit("manual").alias("source"), F.lit("manual").alias("variant"), F.col("latex").alias("raw"), strip(F.col("latex")).alias("latex"), F.lit("pending").alias("validation_status"), F.concat(F.lit("manual:manual:"), number.cast("string")).alias("candidate_key"))
+
+
+def add_manual(candidates: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates with the manual ones appended."""
+    return candidates.unionByName(manual_rows(candidates, manual, keys), allowMissingColumns=True)
 
 
 def choose(formulas: DataFrame, candidates: DataFrame, choices: DataFrame, keys: list[str]) -> DataFrame:
     """formulas with the candidates that choices (keys, candidate_key) name selected, and choice_error where there is none.
 
-    A choice takes the candidate's text, source and status as they are; other formulas stay as they were.
+    A choice takes the candidate's text, source, key, status and error whole, null text included; a status of null is
+    pending. Formulas without a choice, or with one that is not found, stay as they were.
     """
-    c = candidates.select(*keys, "candidate_key", F.struct(F.col("latex").alias("selected_latex"), F.col("source").alias("selected_source"), F.col("candidate_key").alias("selected_candidate_key"), "validation_status").alias("__c"))
+    error = F.col("validation_error") if "validation_error" in candidates.columns else F.lit(None).cast("string")
+    taken = {"selected_latex": F.col("latex"), "selected_source": F.col("source"), "selected_candidate_key": F.col("candidate_key"), "validation_status": F.coalesce("validation_status", F.lit("pending")), "validation_error": error}
+    c = candidates.select(*keys, "candidate_key", F.struct(*(v.alias(k) for k, v in taken.items())).alias("__c"))
     asked = choices.groupBy(*keys).agg(F.min("candidate_key").alias("candidate_key")).join(c, [*keys, "candidate_key"], "left").withColumnRenamed("candidate_key", "__asked")
-    rows = formulas.join(asked, keys, "left")
-    new = [F.coalesce(F.col(f"__c.{n}"), F.col(n)).alias(n) if n in ("selected_latex", "selected_source", "selected_candidate_key", "validation_status") else F.col(n) for n in formulas.columns]
-    error = F.when(F.col("__asked").isNotNull() & F.col("__c").isNull(), F.concat(F.lit("candidate not found: "), F.col("__asked")))
-    return rows.select(*new, error.alias("choice_error"))
+    rows, found = formulas.join(asked, keys, "left"), F.col("__c").isNotNull()
+    new = [F.when(found, F.col(f"__c.{n}")).otherwise(F.col(n)).alias(n) if n in taken else F.col(n) for n in formulas.columns]
+    missing = F.when(F.col("__asked").isNotNull() & ~found, F.concat(F.lit("candidate not found: "), F.col("__asked")))
+    return rows.select(*new, missing.alias("choice_error"))
 
 
 def apply_overrides(formulas: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import ship
+from ..cluster import materialise, ship
 from ..functions.gates import balanced, embedded_wrappers, needs_validation, stale
-from ..functions.latex import candidate_key, latex_hash, validation_body
+from ..functions.latex import candidate_key, effective_display, latex_hash, validation_body
 from ..functions.text import clean_latex, repairs
+from .select import choose, manual_rows
 
 Validator = Callable[[pd.Series], list[tuple[bool, str | None]]]
 
@@ -103,6 +104,20 @@ def validate(candidates: DataFrame, keys: list[str], validator: Validator = stru
     return out.select(*names, status.alias("validation_status"), error.alias("validation_error"), hash_.alias("latex_hash"), balanced(F.col("clean")).alias("is_balanced")), known
 
 
+def compile_and_choose(formulas: DataFrame, candidates: DataFrame, manual: DataFrame, keys: list[str], validator: Validator = structural, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """formulas and candidates after manual LaTeX (keys, latex) was added, compiled and selected, valid or not.
+
+    Only the new candidates are compiled, each text once; of several for one formula the last one is selected.
+    """
+    shown = {c: F.col(c) if c in formulas.columns else F.lit(None).cast("string") for c in ("display_type_manual", "display_type_auto")}
+    new = manual_rows(candidates, manual, keys).withColumn("latex_hash", F.lit(None).cast("string"))
+    new = new.join(formulas.select(*keys, effective_display(*shown.values()).alias("display")), keys)
+    done = materialise(validate(new, keys, validator, force=True, mode=mode)[0], "compiled")
+    both = candidates.unionByName(done.drop("display", "is_balanced"), allowMissingColumns=True)
+    last = done.groupBy(*keys).agg(F.max_by("candidate_key", "idx").alias("candidate_key"))
+    return choose(formulas, both, last, keys), both
+
+
 def compile_runs(tex: DataFrame, runner: Callable[[str], tuple[int, str]], most: int = 2) -> DataFrame:
     """Final compiles: a second pass only if the first asks for it; one row a pass."""
     ship(tex.sparkSession)

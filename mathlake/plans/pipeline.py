@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..cluster import materialise
 from ..functions.latex import effective_display, merge_text
 from ..operators import audit as audits
-from ..operators import extract, merge, ocr, select, validate
+from ..operators import extract, merge, ocr, select, validate, visual
 
 
 def build_formulas(docs: DataFrame, settings: dict[str, Any]) -> DataFrame:
@@ -21,10 +21,11 @@ def build_formulas(docs: DataFrame, settings: dict[str, Any]) -> DataFrame:
     return rows.select("*", empty.alias("display_type_manual"), empty.alias("selected_latex"), empty.alias("selected_source"), empty.alias("selected_candidate_key"), F.lit("pending").alias("validation_status"))
 
 
-def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, Any], validator: validate.Validator = validate.structural, strict: bool = False, visual: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, Any], validator: validate.Validator = validate.structural, strict: bool = False, rasters: DataFrame | None = None, renderer: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every table of a whole run: formulas, candidates, merged, issues, summary.
 
-    visual gives validated candidates their visual_score, by comparing previews with the formulas' rasters.
+    rasters holds the formulas' images (doc_id, id, width, height, pixels); renderer draws texts (latex_hash, latex) as
+    previews (latex_hash, width, height, pixels). With both, valid candidates get their visual_score from them.
 
     Stages that call engines or validators are written to the shared folder, so they run once.
     """
@@ -36,7 +37,10 @@ def full(docs: DataFrame, engines: dict[str, ocr.Engine], settings: dict[str, An
     candidates = raw.withColumn("idx", place).withColumn("latex_hash", F.lit(None).cast("string")).withColumn("visual_score", F.lit(None).cast("double"))
     repaired = materialise(validate.with_repairs(candidates, keys), "repaired")
     judged, _ = validate.validate(repaired, keys, validator)
-    judged = materialise(visual(judged) if visual else judged, "validated")
+    judged = materialise(judged, "validated")
+    if rasters is not None and renderer is not None:
+        previews = materialise(renderer(visual.texts_to_draw(judged)), "previews")
+        judged = materialise(visual.score_candidates(judged, rasters, previews, keys), "scored")
     chosen = select.select_candidates(formulas, judged, settings, keys)
     chosen = materialise(select.drop_invalid_selections(chosen, settings["merge"]["allow_invalid_formula_fallback"]), "selected")
     text = merge_text(F.col("selected_latex"), effective_display(F.col("display_type_manual"), F.col("display_type_auto")), F.col("png_path"), F.col("id"), settings["merge"])

@@ -159,13 +159,6 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *(audit.tag_count(F.col("html"), t).alias(c) for t, c in (("<p", "tag_p"), ("<div", "tag_div"), ("</", "tag_close"))))
 
 
-@query("with r as (select vec_id, list_transform(embedding, lambda x: cast(floor((x + 1) * 127) as int)) as v from embeddings) select a.vec_id, round(1 - list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / (255.0 * len(a.v)), 6) as visual_score from r a join r b on b.vec_id = a.vec_id + 1")
-def raster_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int")).alias("v"))
-    pairs = r.join(r.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
-    return pairs.select("vec_id", F.round(audit.raster_similarity(F.col("v"), F.col("w")), 6).alias("visual_score"))
-
-
 @query("select user_id, arg_max(event_type, row(ts, event_id)) as status, max(ts) as started_at, arg_max(value, row(ts, event_id)) as elapsed_seconds, count(*) as n_attempts from events group by 1")
 def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("started_at"), "event_id", F.col("event_type").alias("status"), F.col("value").alias("elapsed_seconds"))
@@ -568,14 +561,6 @@ def full_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.full(corpus.docs_md(spark, sf_dir), {"pix2tex": path_engine}, settings())["merged"].select("doc_id", "merged")
 
 
-@query(MERGED_RUN.replace("{0}", "v_{").replace("}}", "}"))
-def full_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two engines: the one that the priority list puts last has the better visual score."""
-    engines = {"pix2tex": path_engine, "texteller": lambda rows: path_engine(rows).str.replace("x_", "v_")}
-    score = lambda c: c.withColumn("visual_score", F.when(F.col("source") == "texteller", 0.9).otherwise(0.75))
-    return pipeline.full(corpus.docs_md(spark, sf_dir), engines, settings(), visual=score)["merged"].select("doc_id", "merged")
-
-
 @query(r"with n as (select p_partkey as cand_id, p_size, p_partkey % 3 as k, p_partkey % 2 as e from part) select cand_id, case e when 0 then 'pix2tex' else 'ollama_qwen' end as source, case when k = 0 and e = 0 then '' when k = 2 then null else concat('x_', p_size) end as latex, k = 0 and e = 1 as retried, case when k = 2 then 'error' when k = 0 and e = 0 then 'error' else 'pending' end as validation_status from n")
 def retried_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image in three is a small copy that gives nothing, one makes the engine fail; one of two engines asks again."""

@@ -47,7 +47,7 @@ def blank(rows: DataFrame, part: str, keys: list[str]) -> DataFrame:
 
 def _in_order(place: str, item: Column) -> Column:
     """All items by their place alone: their maps cannot be compared."""
-    return F.array_sort(F.collect_list(F.struct(place, item)), lambda a, b: (a[place] - b[place]).cast("int"))
+    return F.array_sort(F.collect_list(F.struct(place, item)), lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))
 
 
 def assemble_manifests(formulas: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Image links, path matching, assignment, rewriting and issues."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,9 +80,89 @@ def test_overlap_and_impossible_spans(spark):
 
 
 def test_leftovers_take_the_nearest(spark):
-    pairs = [(1, 100, 110, "d", "o", "f2", 90, 100), (1, 100, 110, "d", "o", "f1", 500, 510), (1, 480, 490, "d", "o", "f1", 500, 510), (1, 480, 490, "d", "o", "f2", 90, 100)]
-    df = spark.createDataFrame(pairs, "doc_id long, image_start int, image_end int, dest string, original string, id string, start int, end int")
-    assert sorted((r.image_start, r.id) for r in merge.assign(df, ["doc_id"]).collect()) == [(100, "f2"), (480, "f1")]
+    shown = spark.createDataFrame([(1, 100, 110, "m/a.wmf", "o"), (1, 480, 490, "a.wmf", "o")], "doc_id long, start int, end int, dest string, original string")
+    f = spark.createDataFrame([(1, "f2", 90, 100, "a.wmf"), (1, "f1", 500, 510, "x/A.WMF")], "doc_id long, id string, start int, end int, dest string")
+    assert sorted((r.image_start, r.id) for r in merge.assign(shown, f, ["doc_id"]).collect()) == [(100, "f2"), (480, "f1")]
+
+
+def one_after_the_other(shown, formulas):
+    """The rule as it is told: each image takes the free formula of its name with its span, else the nearest."""
+    used, out = set(), []
+    for doc, start, end, name in sorted(shown):
+        mine = sorted(f for f in formulas if f[0] == doc and name in (f[4], f[5]) and (doc, f[1]) not in used)
+        exact = [f for f in mine if (f[2], f[3]) == (start, end)]
+        away = lambda f, start=start, end=end: (10**12 if f[2] is None else abs(f[2] - start) + (abs(f[3] - end) if f[3] is not None else 0), f[1])
+        if mine:
+            taken = exact[0] if exact else min(mine, key=away)
+            used.add((doc, taken[1])), out.append((doc, start, taken[1]))
+    return sorted(out)
+
+
+def test_images_in_their_turn_equal_the_rule(spark):
+    rng, shown, forms = random.Random(11), [], []
+    for doc in range(60):
+        names, at = [f"n{k}.wmf" for k in range(rng.randrange(1, 4))], sorted(rng.sample(range(400), 12))
+        shown += [(doc, s, s + 5, rng.choice(names)) for s in at]
+        moved = 0 if doc % 3 == 0 else rng.choice([0, 3, 40])  # a third of the texts is as it was
+        for k, s in enumerate(at + [rng.randrange(400) for _ in range(rng.randrange(4))]):
+            start = None if doc % 3 == 1 and rng.random() < 0.3 else s + moved
+            end = None if start is None or doc % 3 == 2 and rng.random() < 0.2 else start + 5
+            mine = next((i[3] for i in shown if i[0] == doc and i[1] == s), rng.choice(names)) if doc % 3 == 0 else rng.choice(names)
+            forms.append((doc, f"f{k:04d}", start, end, mine, rng.choice([*names, "p.png"]) if doc % 3 else "p.png"))
+    i = spark.createDataFrame([(d, s, e, n, "o") for d, s, e, n in shown], "doc_id long, start int, end int, dest string, original string")
+    f = spark.createDataFrame(forms, "doc_id long, id string, start int, end int, dest string, png_path string")
+    assert sorted((r.doc_id, r.image_start, r.id) for r in merge.assign(i, f, ["doc_id"]).collect()) == one_after_the_other(shown, forms)
+
+
+def test_ten_thousand_images_of_one_path(spark):
+    n = 10_000
+    i = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 30).cast("int").alias("start"), (F.col("id") * 30 + 9).cast("int").alias("end"), F.lit("a.wmf").alias("dest"), F.lit("o").alias("original"))
+    f = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.format_string("f%05d", F.col("id")).alias("id"), (F.col("id") * 30 + 70).cast("int").alias("start"), (F.col("id") * 30 + 79).cast("int").alias("end"), F.lit("a.wmf").alias("dest"))
+    got = sorted((r.image_start, r.id) for r in merge.assign(i, f, ["doc_id"]).collect())
+    assert got == [(30 * k, f"f{k:05d}") for k in range(n)]
+
+
+def test_places_of_many_formulas(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = {1: "".join(rng.choice("ab😀\n") for _ in range(3000)), 2: None, 3: "x"}
+    rows = [(1, f"f{k}", s, s + n, texts[1][s : s + n]) for k, (s, n) in enumerate((rng.randrange(2990), rng.randrange(1, 9)) for _ in range(300))]
+    rows += [(1, "g1", 5, 8, "nowhere"), (1, "g2", None, None, texts[1][50:57]), (1, "g3", 0, 0, ""), (1, "g4", 1, 2, None), (1, "g5", 9, 4, "a"), (2, "h", 0, 1, "x"), (3, "i", 7, 8, "x"), (9, "j", 0, 1, "x")]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, markdown string")
+    wanted = spark.createDataFrame(rows, "doc_id long, id string, start int, end int, original_match string")
+    for most in (20_000, 7):
+        monkeypatch.setattr(merge, "PATTERNS", most)
+        got = {(r.doc_id, r.id): (r.same, r.first) for r in merge.locate(docs, wanted, ["doc_id"]).collect()}
+        assert set(got) == {(d, i) for d, i, *_ in rows if d != 9}
+        for d, i, s, e, t in rows[:-1]:
+            text = texts[d] or ""
+            first = text.find(t) if t else -1
+            assert got[d, i] == (s is not None and t is not None and s <= e and text[s:e] == t, first if first >= 0 else None), i
+
+
+def test_spans_against_the_farthest(spark):
+    s = spark.createDataFrame([(1, "a", 0, 100), (1, "b", 5, 10), (1, "c", 20, 30), (1, "d", 100, 101), (2, "e", 0, 4), (2, "f", 4, 5)], "doc_id long, id string, start int, end int")
+    pairs = lambda how: sorted(tuple(r.formula_ids) for r in merge.span_problems(s, ["doc_id"], how).collect())
+    assert pairs("neighbour") == [("a", "b")] and pairs("farthest") == [("a", "b"), ("a", "c")]
+
+
+def test_twenty_thousand_spans_in_one_text(spark):
+    n = 20_000
+    text = "".join(f"é{k:06d} " for k in range(n))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "ab" * 4096)], "doc_id long, markdown string")
+    reps = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 8 + 1).cast("int").alias("start"), (F.col("id") * 8 + 7).cast("int").alias("end"), F.lit("x").alias("text"))
+    edges = spark.createDataFrame([(4, 0, 0, "<"), (4, 4095, 4097, None), (4, 8192, 8192, ">")], "doc_id long, start int, end int, text string")
+    began = time.time()
+    got = {r.doc_id: r.merged for r in merge.rewrite(docs, reps.unionByName(edges), ["doc_id"]).collect()}
+    assert got == {1: "éx " * n, 2: "", 3: None, 4: "<" + ("ab" * 4096)[:4095] + ("ab" * 4096)[4097:] + ">"}
+    assert time.time() - began < 60
+
+
+def test_a_strict_merge_tells_how_many_issues_there_are(spark):
+    issues = spark.range(250)
+    with pytest.raises(merge.MergeError) as e:
+        merge.MergeError.check(issues)
+    assert e.value.n == 250 and len(e.value.rows) == 100
+    merge.MergeError.check(issues.limit(0))
 
 
 def test_rewrite_equals_splicing(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mathlake.plans.queries import ORACLE_SQL, QUERIES
+from mathlake.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
