@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import relative
 from ..functions.text import strip
 
 
@@ -85,12 +86,40 @@ def report_rows(formulas: DataFrame, candidates: DataFrame, keys: list[str]) ->
     return rows.select(*keys, F.when(status.isin("valid", "invalid"), status).otherwise("pending").alias("row_class"), "selected_latex", F.col("candidate_preview").alias("selected_preview"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def report_html(rows: DataFrame) -> DataFrame:
-    """One line of HTML a report row, escaped, for a text sink."""
-    escaped = F.col("selected_latex")
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        escaped = F.replace(escaped, F.lit(a), F.lit(b))
-    return rows.select(F.concat(F.lit("<tr class='"), "row_class", F.lit("'><td>"), F.col("formula_id").cast("string"), F.lit("</td><td><pre>"), F.coalesce(escaped, F.lit("")), F.lit("</pre></td></tr>")).alias("value"))
+def escaped(text: Column) -> Column:
+    """Text for HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&#34;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def artifact_links(candidates: DataFrame, keys: list[str], report_dir: str, artifacts: str = "artifacts") -> DataFrame:
+    """keys, idx, label, href: a row for each artifact of each candidate, its path seen from the report's folder.
+
+    A path under the folder, or else under the one above it, is relative to that; others stay as they are.
+    """
+    above = report_dir.rstrip("/").rpartition("/")[0]
+    rows = candidates.select(*keys, "idx", "source", F.explode(artifacts).alias("name", "path")).filter("path is not null")
+    return rows.select(*keys, "idx", F.concat_ws(" ", "source", "name").alias("label"), relative(relative(F.col("path"), report_dir), above).alias("href"))
+
+
+def report_html(rows: DataFrame, links: DataFrame | None = None, keys: list[str] | None = None, key: str = "formula_id") -> DataFrame:
+    """rows (as report_rows gives them) with html: a line of HTML a formula, with the links to its artifacts in order."""
+    cells = [F.lit("<tr class='"), F.col("row_class"), F.lit("'><td>"), F.col(key).cast("string"), F.lit("</td><td><pre>"), F.coalesce(escaped(F.col("selected_latex")), F.lit("")), F.lit("</pre></td>")]
+    if links is not None:
+        one = F.concat(F.lit("<a href='"), escaped(F.col("href")), F.lit("'>"), escaped(F.col("label")), F.lit("</a>"))
+        lists = links.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "label", one.alias("a")))).alias("__l"))
+        rows = rows.join(lists, keys, "left")
+        cells += [F.lit("<td>"), F.coalesce(F.array_join(F.transform("__l", lambda x: x["a"]), " "), F.lit("")), F.lit("</td>")]
+    return rows.withColumn("html", F.concat(*cells, F.lit("</tr>"))).drop("__l")
+
+
+def report_pages(rows: DataFrame, docs: list[str], order: str) -> DataFrame:
+    """docs, page: one page of HTML a document, the rows (html) of its formulas in order."""
+    lines = F.array_sort(F.collect_list(F.struct(order, "html")))
+    pages = rows.groupBy(*docs).agg(lines.alias("__r"))
+    body = F.array_join(F.transform("__r", lambda x: x["html"]), "\n")
+    return pages.select(*docs, F.concat(F.lit("<!doctype html><meta charset='utf-8'><table>\n"), body, F.lit("\n</table>")).alias("page"))
 
 
 def tag_count(text: Column, tag: str) -> Column:

@@ -1 +1,92 @@
-"""Queries about putting formulas back."""
+"""Queries about putting formulas back: where they stand, where their files are, which spans clash, and what is told of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..cluster import materialise
+from ..operators import audit, merge, resolve, search
+from ..sources import corpus
+from ..sources.corpus import table
+from .queries import CAND, FORM, _joined, _keyed, query
+
+# ---- spans -------------------------------------------------------------------------------------------------------
+
+
+@query("with s as (select o_custkey as doc_id, o_orderkey as id, o_orderkey % 997 as a, o_orderkey % 997 + case when o_orderkey % 5 = 0 then 300 else 20 end as b from orders), l as (select *, arg_max(row(id, b), row(b, a, id)) over (partition by doc_id order by a, b, id rows between unbounded preceding and 1 preceding) as p from s) select doc_id, 'overlapping replacements' as reason, concat(p[1], ',', id) as formula_ids from l where a < p[2]")
+def reaching_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span against the one before it that reaches farthest; one in five is long."""
+    at, key = F.col("o_orderkey") % 997, F.col("o_orderkey")
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.alias("id"), at.alias("start"), (at + F.when(key % 5 == 0, 300).otherwise(20)).alias("end"))
+    return merge.span_problems(spans, ["doc_id"], "farthest").select("doc_id", "reason", _joined("formula_ids"))
+
+
+WORDS = r"[^A-Za-z0-9]+"
+
+
+@query("with w as (select distinct doc_id, text, unnest(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> '')) as id from documents) select doc_id, id, starts_with(text, id) as same, cast(strpos(text, id) - 1 as int) as first from w")
+def located_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very many formulas a text: each different word of a document, said to stand at the beginning, searched in all of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("markdown", WORDS))).alias("id")).filter("id <> ''")
+    wanted = words.select("doc_id", "id", F.lit(0).alias("start"), F.length("id").alias("end"), F.col("id").alias("original_match"))
+    return merge.locate(docs, wanted, ["doc_id"]).select("doc_id", "id", "same", "first")
+
+
+# ---- paths -------------------------------------------------------------------------------------------------------
+
+LISTED = """l as (select concat('/work/md/media/image', doc_id, '.wmf') as path from documents where doc_id % 3 = 0 union all select concat('/work/media/image', doc_id, '.wmf') from documents where doc_id % 3 <> 2 union all select distinct concat('/work/media/photo', doc_id % 7, '.png') from documents where doc_id % 7 <> 3),
+ r as (select doc_id, 1 as k, concat('media/image', doc_id, '.wmf') as dest, concat('/work/md/media/image', doc_id, '.wmf') as a, concat('/work/media/image', doc_id, '.wmf') as b from documents
+ union all select doc_id, 2, concat('"../media/./image', doc_id, '.wmf"'), concat('/work/media/image', doc_id, '.wmf'), concat('/media/image', doc_id, '.wmf') from documents
+ union all select doc_id, 3, concat('/abs/../x', doc_id, '.emf'), null, null from documents
+ union all select doc_id, 4, concat(' media/photo', doc_id % 7, '.png '), concat('/work/md/media/photo', doc_id % 7, '.png'), concat('/work/media/photo', doc_id % 7, '.png') from documents) """
+
+
+@query("with " + LISTED + "select doc_id, k, case when k = 3 then dest when a in (select path from l) or b not in (select path from l) then a else b end as resolved, case when k = 3 then 'absolute' when a in (select path from l) then 'markdown' when b in (select path from l) then 'workdir' else 'nowhere' end as found_in from r")
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four references a document against a listing of files: beside the text, in the working folder, absolute, nowhere."""
+    docs, d = table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id").cast("string")
+    photo = (F.col("doc_id") % 7).cast("string")
+    some = lambda keep, *parts: docs.filter(keep).select(F.concat(*parts).alias("path"))
+    files = some("doc_id % 3 = 0", F.lit("/work/md/media/image"), d, F.lit(".wmf")).unionByName(some("doc_id % 3 <> 2", F.lit("/work/media/image"), d, F.lit(".wmf"))).unionByName(some("doc_id % 7 <> 3", F.lit("/work/media/photo"), photo, F.lit(".png")))
+    dests = [F.concat(F.lit("media/image"), d, F.lit(".wmf")), F.concat(F.lit('"../media/./image'), d, F.lit('.wmf"')), F.concat(F.lit("/abs/../x"), d, F.lit(".emf")), F.concat(F.lit(" media/photo"), photo, F.lit(".png "))]
+    refs = docs.select("doc_id", F.posexplode(F.array(*dests)).alias("k", "dest")).withColumn("k", F.col("k") + 1)
+    return resolve.resolve(refs, files, ["doc_id", "k"], markdown_dir="/work/md", workdir="/work/").select("doc_id", "k", "resolved", "found_in")
+
+
+# ---- review and report -------------------------------------------------------------------------------------------
+
+SEARCHED = "x_{77"
+
+
+@query("with " + FORM + CAND + f"k as (select formula_id, bool_or(contains(lower(latex), '{SEARCHED}')) as hit from c group by 1) select f.formula_id from f left join k using (formula_id) where contains(lower(concat(formula_id, ' ', selected_latex)), '{SEARCHED}') or coalesce(hit, false)")
+def review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the review's search finds in the candidates of a formula, by postings that are written once."""
+    keys = ["formula_id"]
+    known = materialise(search.texts(corpus.formulas(spark, sf_dir), _keyed(corpus.candidates(spark, sf_dir)), keys), "search-texts")
+    posted = materialise(search.postings(known, keys), "search-postings")
+    return search.search(posted, known, keys, SEARCHED.upper())
+
+
+#: Three artifacts a candidate: in the report's folder, beside it, and elsewhere.
+ARTIFACTS = "a as (select formula_id, idx, source, unnest(['log', 'pdf', 'tex']) as name, unnest([concat('/other/c', formula_id, '.log'), concat('pdf/c', formula_id, '_', idx, '.pdf'), concat('c', formula_id, '_', idx, '.tex')]) as href from c) "
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, i = F.col("formula_id").cast("string"), F.col("idx").cast("string")
+    own = F.create_map(F.lit("tex"), F.concat(F.lit("/w/report/c"), f, F.lit("_"), i, F.lit(".tex")), F.lit("pdf"), F.concat(F.lit("/w/pdf/c"), f, F.lit("_"), i, F.lit(".pdf")), F.lit("log"), F.concat(F.lit("/other/c"), f, F.lit(".log")), F.lit("preview_png"), F.lit(None).cast("string"))
+    return audit.artifact_links(corpus.candidates(spark, sf_dir).withColumn("artifacts", own), ["formula_id"], "/w/report")
+
+
+@query("with " + CAND + ARTIFACTS + "select formula_id, idx, concat(source, ' ', name) as label, href from a")
+def artifact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
+@query("with " + FORM + CAND + ARTIFACTS + ", h as (select formula_id, string_agg(concat('<a href=''', href, '''>', source, ' ', name, '</a>'), ' ' order by idx, concat(source, ' ', name)) as links from a group by 1), r as (select doc_id, f.formula_id, concat('<tr class=''', case when validation_status in ('valid', 'invalid') then validation_status else 'pending' end, '''><td>', f.formula_id, '</td><td><pre>', selected_latex, '</pre></td><td>', coalesce(links, ''), '</td></tr>') as html from f left join h on f.formula_id = h.formula_id) select doc_id, concat('<!doctype html><meta charset=''utf-8''><table>', chr(10), string_agg(html, chr(10) order by formula_id), chr(10), '</table>') as page from r group by 1")
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page a document: its formulas in order, each with the links to its artifacts."""
+    forms = corpus.formulas(spark, sf_dir)
+    rows = audit.report_rows(forms, _keyed(corpus.candidates(spark, sf_dir)), ["formula_id"]).join(forms.select("doc_id", "formula_id"), "formula_id")
+    return audit.report_pages(audit.report_html(rows, _links(spark, sf_dir), ["formula_id"]), ["doc_id"], "formula_id")

@@ -53,7 +53,7 @@ TEX_LOG = """case p_partkey % 4
 ORDER = "l_linenumber,l_partkey,l_suppkey,l_shipdate,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus"
 CANDIDATES = f"""cast(row_number() over (partition by l_orderkey order by {ORDER}) as bigint) as idx, l_orderkey as formula_id,
  case l_returnflag when 'A' then 'pix2tex' when 'N' then 'texteller' else 'ollama_qwen' end as source, 'original' as variant,
- case when l_linenumber = 7 then '' else concat('x_{',cast(l_partkey as varchar(20)),'}') end as latex,
+ case when l_linenumber = 7 then '' else concat('x_{{',cast(l_partkey as varchar(20)),'}}') end as latex,
  case when l_linestatus='F' or l_linenumber%2=0 then 'valid' else 'invalid' end as validation_status,
  case when l_suppkey%11=0 then null else cast(100-5*cast(round(l_discount*100) as int) as double)/100 end as visual_score,
  case when l_quantity<3 then 'old' else 'now' end as latex_hash, case when l_tax<0.02 then null else 'preview' end as preview_png"""
