@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ship
+from .archives import members
 
 CANDIDATE = "struct<source:string,variant:string,raw:string,latex:string,score:double,validation_status:string,validation_error:string,artifacts:map<string,string>,latex_hash:string,candidate_key:string,repair_of:string,visual_score:double>"
 FORMULA = f"struct<id:string,original_match:string,alt:string,markdown_path:string,image_path:string,png_path:string,display_type_auto:string,display_type_manual:string,position:struct<start:int,end:int>,candidates:array<{CANDIDATE}>,selected_latex:string,selected_source:string,selected_candidate_key:string,validation_status:string,validation_error:string>"
@@ -62,20 +58,10 @@ def assemble_manifests(formulas: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """One row a member of every zip archive: path, name, and the tag counts of its XML."""
-    ship(spark)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for p, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        xml = z.read(name).decode("utf-8", "ignore") if name.startswith("word/") and name.endswith(".xml") else ""
-                        rows.append((p, name, xml.count("<m:oMath"), xml.count("<m:oMathPara")))
-            yield pd.DataFrame(rows, columns=["path", "name", "omath", "omath_para"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, omath long, omath_para long")
+    """One row a member of every zip archive: path, name, and the tag counts of its XML; no other member is opened."""
+    xml = F.make_valid_utf8(F.coalesce(F.col("content"), F.lit("").cast("binary")).cast("string"))
+    count = lambda tag: F.floor((F.length(xml) - F.length(F.replace(xml, F.lit(tag), F.lit("")))) / len(tag)).cast("long")
+    return members(spark, path, "word/*.xml").select("path", "name", count("<m:oMath").alias("omath"), count("<m:oMathPara").alias("omath_para"))
 
 
 def inspect_archives(members: DataFrame) -> DataFrame:

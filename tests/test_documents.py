@@ -217,6 +217,29 @@ def test_archive_counts_and_texts(spark, tmp_path):
     assert tables.read_texts(spark, str(tmp_path / "t.md")).first().text == "é\ufffd\nb"
 
 
+def test_members_that_nobody_asks_for_are_not_opened(spark, tmp_path):
+    import zipfile
+
+    from mathlake.sources import archives
+
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("word/good.xml", f"<a>{k}</a>")
+            z.writestr("word/bad.xml", b"broken" * 10)
+            z.writestr("media/x.png", b"p" * k)
+        data = (tmp_path / f"{k}.zip").read_bytes()
+        (tmp_path / f"{k}.zip").write_bytes(data.replace(b"broken" * 10, b"BROKEN" * 10, 1))  # its checksum is wrong now
+    rows = archives.members(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="Bad CRC-32"):
+        rows.collect()
+    good = rows.filter("name = 'word/good.xml'")
+    assert sorted((r.path, r.content) for r in good.collect()) == [(f"{tmp_path}/{k}.zip", f"<a>{k}</a>".encode()) for k in range(3)]
+    assert rows.filter("size < 5 and name like 'media/%'").count() == 3
+    listed = archives.members(spark, str(tmp_path), "word/g*").collect()
+    assert sorted((r.name, r.size, r.content is None) for r in listed if r.path.endswith("2.zip")) == [("media/x.png", 2, True), ("word/bad.xml", 60, True), ("word/good.xml", 8, False)]
+
+
 def test_versions_and_create_if_absent(spark, tmp_path):
     root = str(tmp_path / "v")
     tables.write_version(spark.range(3).toDF("a"), root)

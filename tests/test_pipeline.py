@@ -153,18 +153,30 @@ def test_only_local_addresses():
 
 
 def test_attempt_stream(spark, tmp_path):
-    src, root = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "formula_id string, status string, started_at timestamp"
-    rows = lambda *r: spark.createDataFrame(r, "formula_id string, status string, at string").select("formula_id", "status", F.to_timestamp("at").alias("started_at"))
-    rows(("a", "running", "2024-01-01 00:00:00"), ("b", "error", "2024-01-01 00:05:00")).write.parquet(src)
-    spec = spark.createDataFrame([], schema).schema
-    for _ in range(2):
-        q = attempts.keep_latest(attempts.read(spark, src, spec), root, ["formula_id"], str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination(60)
-        rows(("a", "done", "2024-01-01 00:10:00")).write.mode("append").parquet(src)
-    got = {r.formula_id: (r.status, r.n_attempts) for r in spark.read.parquet(f"{root}/v1").collect()}
-    assert got == {"a": ("done", 2), "b": ("error", 1)}
+    src, root, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    spec = spark.createDataFrame([], "formula_id string, status string, started_at timestamp").schema
+    table = "formula_id string, status string, started_at timestamp, n_attempts long"
+
+    def batch(*r):
+        spark.createDataFrame(r, "formula_id string, status string, at string").select("formula_id", "status", F.to_timestamp("at").alias("started_at")).write.mode("append").parquet(src)
+        q = attempts.keep_latest(attempts.read(spark, src, spec), root, ["formula_id"], ck, ranges=8).trigger(availableNow=True).start()  # a new query each time: a restart
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return attempts.versions(spark, root)
+
+    first = batch(*((f"k{i}", "running", "2024-01-01 00:00:00") for i in range(40)), ("a", "running", "2024-01-01 00:00:00"))
+    assert len(first) == 8 and set(first.values()) == {0}
+    second = batch(("a", "done", "2024-01-01 00:10:00"), ("a", "late", "2023-01-01 00:00:00"))
+    assert sorted(second.values()) == [0] * 7 + [1]  # one key, one range
+    got = {r.formula_id: (r.status, r.n_attempts) for r in attempts.current(spark, root, table).collect()}
+    assert got == {"a": ("done", 3)} | {f"k{i}": ("running", 1) for i in range(40)}
+    batch(("a", "again", "2024-01-02 00:00:00"))
+    kept = sorted(p.parent.name + "/" + p.name for p in (tmp_path / "out" / "data").glob("*/range=*"))
+    (mine,) = (r for r, b in second.items() if b == 1)
+    assert f"0/range={mine}" not in kept and f"1/range={mine}" in kept and f"2/range={mine}" in kept
+    got = {r.formula_id: (r.status, r.n_attempts) for r in attempts.current(spark, root, table).collect()}
+    assert got["a"] == ("again", 4) and len(got) == 41
     counts = attempts.status_counts(attempts.read(spark, src, spec), "started_at", "status")
     q = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert spark.sql("select sum(n) from counts").first()[0] == 4
+    assert spark.sql("select sum(n) from counts").first()[0] == 44
