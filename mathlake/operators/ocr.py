@@ -42,6 +42,17 @@ def priority_warnings(plan: DataFrame, priority: list[str]) -> DataFrame:
     return listed.join(plan, "engine").withColumn("warning", text).filter("warning is not null").select("place", "engine", "warning")
 
 
+def with_candidates(plan: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """A plan's rows with usable, how many usable candidates its engine has, and of how many formulas.
+
+    Candidates are counted by engine and formula before they are counted by engine, so no engine is a hot key.
+    """
+    good = candidates.filter(usable(F.col("latex"), F.col("validation_status")))
+    each = good.groupBy(F.col("source").alias("engine"), *keys).agg(F.count("*").alias("n"))
+    counts = each.groupBy("engine").agg(F.sum("n").alias("usable"), F.count("*").alias("formulas"))
+    return plan.join(counts, "engine", "left").na.fill(0, ["usable", "formulas"]).select(*plan.columns, "usable", "formulas")
+
+
 def tasks(formulas: DataFrame, engines: list[str], variants: list[str] | None = None) -> DataFrame:
     """formulas x engines x variants, as two literal arrays exploded: no join at all."""
     variants = [v for v in variants or ["original"] if v.strip()] or ["original"]

@@ -91,9 +91,9 @@ def manual_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.add_manual(have, new, ["formula_id"]).filter("source = 'manual'").select("formula_id", "idx", "source", "latex", "validation_status", "candidate_key")
 
 
-@query("with " + FORM + "e as (select l_orderkey as formula_id, arg_max(concat('edit_', l_partkey), row(l_shipdate, concat('edit_', l_partkey))) as t from lineitem where l_linenumber = 1 group by 1) select f.formula_id, coalesce(t, selected_latex) as selected_latex, selected_source from f left join e using (formula_id)")
+@query("with " + FORM + "e as (select l_orderkey as formula_id, arg_max(concat('edit_', l_partkey), row(l_shipdate, concat('edit_', l_partkey))) as t from lineitem group by 1) select f.formula_id, coalesce(t, selected_latex) as selected_latex, selected_source from f left join e using (formula_id)")
 def latest_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("formula_id"), F.col("l_shipdate").alias("edited_at"), F.concat(F.lit("edit_"), F.col("l_partkey").cast("string")).alias("selected_latex"))
+    edits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("formula_id"), F.col("l_shipdate").alias("edited_at"), F.concat(F.lit("edit_"), F.col("l_partkey").cast("string")).alias("selected_latex"))
     return select.apply_overrides(corpus.formulas(spark, sf_dir), edits, ["formula_id"]).select("formula_id", "selected_latex", "selected_source")
 
 
@@ -172,14 +172,23 @@ ASKED["ocr"]["engines"] = ["pix2tex", "texteller", "ollama_qwen", "nougat"]
 ASKED["ollama"]["enabled"] = True
 
 
-@query("select * from (values (0, 'pix2tex', 'will_run', null), (1, 'texteller', 'disabled', null), (2, 'ollama_qwen', 'unavailable', 'no server'), (3, 'nougat', 'unknown', 'unknown OCR engine')) as t(position, engine, status, reason)")
-def engine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+PLANNED = "p as (select * from (values (0, 'pix2tex', 'will_run', null), (1, 'texteller', 'disabled', null), (2, 'ollama_qwen', 'unavailable', 'no server'), (3, 'nougat', 'unknown', 'unknown OCR engine')) as t(position, engine, status, reason)), n as (select source as engine, count(*) as n, count(distinct formula_id) as f from c where trim(latex) <> '' and validation_status <> 'error' group by 1) "
+
+
+def _planned(spark: SparkSession) -> DataFrame:
     return ocr.engine_plan(spark, ASKED, {"ollama_qwen": (False, "no server")})
 
 
-@query("select * from (values (1, 'texteller', 'priority lists the disabled engine texteller; its existing candidates can still be selected'), (2, 'ollama_qwen', 'priority lists the unavailable engine ollama_qwen: no server')) as t(place, engine, warning)")
+@query("with " + CAND + PLANNED + "select position, engine, status, reason, coalesce(n, 0) as usable, coalesce(f, 0) as formulas from p left join n using (engine)")
+def engine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan with what each engine has left in the candidates."""
+    return ocr.with_candidates(_planned(spark), corpus.candidates(spark, sf_dir), ["formula_id"])
+
+
+@query("with " + CAND + PLANNED + "select place, w.engine, warning, coalesce(n, 0) as usable, coalesce(f, 0) as formulas from (values (1, 'texteller', 'priority lists the disabled engine texteller; its existing candidates can still be selected'), (2, 'ollama_qwen', 'priority lists the unavailable engine ollama_qwen: no server')) as w(place, engine, warning) left join n using (engine)")
 def priority_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.priority_warnings(engine_plan(spark, sf_dir), PRIORITY)
+    """Warnings with the candidates that can still be selected."""
+    return ocr.with_candidates(ocr.priority_warnings(_planned(spark), PRIORITY), corpus.candidates(spark, sf_dir), ["formula_id"])
 
 
 TODO = "e as (select unnest(['pix2tex', 'texteller', 'ollama_qwen']) as source), t as (select o_orderkey as formula_id, o_custkey as doc_id, source from orders, e), todo as (select t.* from t where not exists (select 1 from c where c.formula_id = t.formula_id and c.source = t.source and trim(c.latex) <> '' and c.validation_status <> 'error')) "
