@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,28 +130,30 @@ def assign(parsed: DataFrame, formulas: DataFrame, keys: list[str]) -> DataFrame
 PATTERNS = 20_000
 
 
-def places(text: str, wanted: list[dict]) -> Iterator[tuple[bool, int | None]]:
-    """Of each wanted (start, end, original): whether it still stands at its span, and its first place in the text.
+#: Texts up to this length are searched one by one: there are few of them, and an automaton would tell each of their very many places.
+SHORT = 2
 
-    One automaton finds the first places of all in one pass; it stops when each was seen.
+
+def first_places(text: str, wanted: set[str]) -> dict[str, int]:
+    """The first place of each wanted text that is there.
+
+    One automaton finds those of all in one pass; it stops when each was seen.
     """
-    first: dict[str, int] = {}
-    texts = {w["original"] for w in wanted if w["original"]}
-    if len(texts) <= 4:
-        first = {t: k for t in texts if (k := text.find(t)) >= 0}
-    else:
+    alone = {t for t in wanted if len(t) <= SHORT or len(wanted) <= 4}
+    first = {t: k for t in alone if (k := text.find(t)) >= 0}
+    if rest := wanted - alone:
         automaton = ahocorasick.Automaton()
-        for t in texts:
+        for t in rest:
             automaton.add_word(t, t)
         automaton.make_automaton()
+        missing = len(rest)
         for end, t in automaton.iter(text):
             if t not in first:
                 first[t] = end - len(t) + 1
-                if len(first) == len(texts):
+                missing -= 1
+                if not missing:
                     break
-    for w in wanted:
-        s, e, t = w["start"], w["end"], w["original"]
-        yield s is not None and e is not None and t is not None and 0 <= s <= e and text[s:e] == t, first.get(t)
+    return first
 
 
 def locate(docs: DataFrame, wanted: DataFrame, keys: list[str], column: str = "markdown") -> DataFrame:
@@ -167,8 +170,19 @@ def locate(docs: DataFrame, wanted: DataFrame, keys: list[str], column: str = "m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"same": s, "first": f} for s, f in places(r["__t"] or "", r["__w"])] for r in batch.select(["__w", "__t"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(found, one)], [*keys, "__w", "__p"])
+            lists, texts = batch.column(len(keys)), batch.column(len(keys) + 1).to_pylist()
+            w = lists.flatten()
+            original, start, end = (w.field(c).to_pylist() for c in ("original", "start", "end"))
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+            same, first, at = [], [], 0
+            for text, to in zip(texts, ends, strict=True):
+                text, mine = text or "", original[at:to]
+                found = first_places(text, {t for t in mine if t})
+                first += map(found.get, mine)
+                same += (s is not None and e is not None and t is not None and 0 <= s <= e and text.startswith(t, s) and text[s:e] == t for s, e, t in zip(start[at:to], end[at:to], mine, strict=True))
+                at = to
+            flat = pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array(first, pa.int32())], fields=list(one.value_type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), flat)], [*keys, "__w", "__p"])
 
     wanted_type = f"array<struct<id:{kinds['id']},start:{kinds['start']},end:{kinds['end']},original:string>>"
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"__w {wanted_type}, __p array<struct<same:boolean,first:int>>"
