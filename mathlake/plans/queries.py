@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import gates, latex, logs, paths, text
 from ..operators import audit, external, extract, merge, ocr, select, validate
-from ..sources import corpus, markdown, tables
+from ..sources import brackets, corpus, markdown, tables
 from ..sources.corpus import table
 from . import pipeline
 
@@ -512,6 +512,17 @@ def image_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.images(corpus.docs_whole(spark, sf_dir))
 
 
+NESTED = f"""p as (select doc_id, text, {corpus.CUT} as cut, concat('![a', chr(92), ']](media/eq (', doc_id, ')/f(x).wmf) {{w={{1}}}}') as o1, concat('![b ![c](<a (', doc_id, '>c.emf>)') as o2, concat('![d](e ![f', doc_id, ')') as o3 from documents),
+ i as (select doc_id, concat('a', chr(92), ']') as alt, concat('media/eq (', doc_id, ')/f(x).wmf') as dest, '{{w={{1}}}}' as attrs, o1 as original, cut + 1 as st from p
+ union all select doc_id, 'b ![c', concat('a (', doc_id, '>c.emf'), '', o2, length(text) + length(o1) + 6 from p union all select doc_id, 'd', concat('e ![f', doc_id), '', o3, length(text) + length(o1) + length(o2) + 12 from p) """
+
+
+@query("with " + NESTED + "select doc_id, alt, dest, attrs, original, cast(st as int) as start, cast(st + length(original) as int) as \"end\" from i")
+def image_parse_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of whole texts by bracket depths, without Python."""
+    return brackets.images_balanced(corpus.docs_nested(spark, sf_dir), ["doc_id"])
+
+
 @query("with " + WHOLE + "select doc_id, printf('f%04d', case k when 4 then 3 else k end) as id, dest, cast(st as int) as start, case k when 2 then 'display' else 'inline' end as display_type_auto from i where k <> 3")
 def formula_images_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _formulas(spark, sf_dir, corpus.docs_whole).select("doc_id", "id", "dest", "start", "display_type_auto")

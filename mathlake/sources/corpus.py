@@ -32,6 +32,9 @@ CUT = "case when instr(substr(text,cast(floor(length(text)/2) as int)+1),chr(10)
 #: Markdown of the whole text, newlines kept: one formula image at the end of a line in its middle, the others after its end.
 DOCS_WHOLE = f"""concat(substr(text,1,{CUT}),' ![](media/image',cast(doc_id as varchar(20)),'.wmf) mid',substr(text,{CUT}+1),chr(10),chr(10),'![alt](media',chr(92),'Eq',cast(doc_id as varchar(20)),'.EMF){{width=1in}}',chr(10),chr(10),'See ![fig](media/photo',cast(doc_id%7 as varchar(20)),'.png) and ![](<media/sp ace',cast(doc_id as varchar(20)),'.wmf>)',chr(10))"""
 
+#: Whole texts with links whose brackets nest, escape each other, stay open or reach into the next link.
+DOCS_NESTED = f"""concat(substr(text,1,{CUT}),' ![a',chr(92),']](media/eq (',cast(doc_id as varchar(20)),')/f(x).wmf) {{w={{1}}}} mid',substr(text,{CUT}+1),chr(10),'![b ![c](<a (',cast(doc_id as varchar(20)),'>c.emf>){{open',chr(10),'![d](e ![f',cast(doc_id as varchar(20)),') ](g)',chr(10))"""
+
 #: TeX with fragments of four kinds per document, then its whole text with dollars escaped as TeX needs them; the
 #: single-dollar pattern also matches inside the double dollars.
 DOCS_TEX = """concat('Start ',chr(92),'[ a_',cast(doc_id as varchar(20)),' ',chr(92),'] then $$b+',cast(doc_id%5 as varchar(20)),'$$ and ',chr(92),'begin{align*}c=',cast(doc_id as varchar(20)),chr(92),'end{align*} or ',chr(92),'(d_1',chr(92),') end',chr(10),replace(text,'$',concat(chr(92),'$')))"""
@@ -88,6 +91,10 @@ def docs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_WHOLE} as markdown")
 
 
+def docs_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "documents", "doc_id", f"{DOCS_NESTED} as markdown")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "lineitem", CANDIDATES)
 

@@ -1,7 +1,7 @@
 """Image links of Markdown text as rows.
 
-Balanced parentheses are not regular, so a pandas-free Arrow pass parses whole texts; `images_native` is the JVM path
-for texts without nesting, escapes and angle brackets.
+Balanced parentheses are not regular, so a pandas-free Arrow pass parses whole texts; `brackets.images_balanced` gives the
+same rows with DataFrame functions, and `images_native` is a column for texts without nesting, escapes and angle brackets.
 """
 
 from __future__ import annotations
