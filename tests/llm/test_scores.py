@@ -164,10 +164,28 @@ def test_lines_between_many_neighbours_are_boilerplate(spark):
     copied = "\n".join(prose(12) for _ in range(8))
     docs = [(i, f"{t.split(chr(10))[0]}\n{stamp}\n{t.split(chr(10))[1]}") for i, t in enumerate(own)] + [(100 + i, copied) for i in range(80)] + [(200, f"{stamp}\n" + prose(3)), (201, None)]
     df = table(spark, docs)
-    assert quality.common_lines(df, 20).tolist() == [quality.line_hash(stamp.encode().split())]
+    assert [r.line for r in quality.common_lines(df, 20).collect()] == [quality.line_hash(stamp.encode().split())]
     rows = {r.doc_id: r for r in quality.clean(df).collect()}
     assert all(stamp not in rows[i].text and rows[i].kept for i in range(60)) and all(rows[100 + i].text == copied and rows[100 + i].kept for i in range(80))
     assert stamp in rows[200].text
+    # Joined instead of sent, and in a corpus of twenty times as many rows, each document is judged alike.
+    of = lambda d, **k: {(r.doc_id, r.kept, r.base_failed, r.text) for r in quality.clean(d, **k).collect()}
+    once = of(df)
+    assert of(df, sent=0) == once and of(df.crossJoin(spark.range(20)).drop("id")) == once
+
+
+def test_boilerplate_may_be_long_and_near_copies_are_none(spark):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
+    notice, lines = prose(90), [prose(20) for _ in range(9)]
+    near = ["\n".join(prose(20) if k == i % 9 and i < 207 else x for k, x in enumerate(lines)) for i in range(400)]
+    near = [f"{t}\n{prose(5)}" for t in near]
+    df = table(spark, [(i, f"{prose(150)}\n{notice}\n{prose(150)}") for i in range(40)] + [(1000 + i, t) for i, t in enumerate(near)])
+    rows = {r.doc_id: r for r in quality.clean(df).collect()}
+    assert all(notice not in rows[i].text and rows[i].kept for i in range(40))
+    # Edits give each line over 20 pairs, but few of its texts; only the line beside the one that always differs has many.
+    assert all(rows[1000 + i].text.split("\n")[:8] == t.split("\n")[:8] for i, t in enumerate(near))
+
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
