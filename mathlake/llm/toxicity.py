@@ -3,12 +3,12 @@
 Each class has counts of letter n-grams (up to ORDER letters with word bounds), taken once per document and word. Both
 interpolate, with absolute discounting, with one shared lower-order model made of continuation counts over both classes:
 a rare expression that neither class knows more of gets the same probability from both, so it decides nothing. A word's
-evidence is the difference of its two log-likelihoods. Two hypotheses are compared over the whole text: that all words
-come from one class, by the sum of all words' evidence over their number; and that a toxic text is an ordinary one whose
-words may each come from the toxic model at a price of MARGIN, by the sum of what exceeds the margin, less what as many words
-of an ordinary text exceed it by, over the square root of the length, and by its three strongest words against the logarithm of
-the length, as the strongest words of a longer text are stronger by chance. A logistic curve fitted on cross-fitted evidence
-(models that have not seen the row) turns that into a score from 0 to 1.
+evidence is the difference of its two log-likelihoods. A toxic text's words are mostly ordinary: each comes from the toxic
+model with probability SHARE, else from the ordinary one. The log-likelihood of the whole text so, less that in the ordinary
+model alone, over the number of its words is compared; beside it the evidence of its three strongest words, against the
+logarithm of the length, as the strongest words of a longer text are stronger by chance. A logistic curve fitted on
+cross-fitted evidence (models that have not seen the row) turns that into a score from 0 to 1; the weight of the whole text's
+difference is at least zero, so that a text likelier under the toxic model never scores lower for it.
 
 Learning uses labelled rows only: a share of each class by hash, expected to hold MAX_TOXIC and MAX_ORDINARY rows (all
 where there are fewer), and every n-gram of these rows' whole texts. The bound on rows is the bound of what is collected and
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import discard, learns, materialise, ship, tidied
 
 ORDER, DISCOUNT = 5, 0.75
-MARGIN = 3.0
+#: The share of a toxic text's words that the toxic model makes, and the evidence from which a word is a strong one.
+SHARE, MARGIN = 0.02, 3.0
 MAX_TOXIC, MAX_ORDINARY = 8_000, 12_000
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
@@ -63,14 +64,14 @@ class Evidence(dict):
         self[word] = total
         return total
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The whole text's difference of log-likelihoods a word, the strongest words' evidence, and the number of words."""
         words = WORDS.findall(text.lower())
         if not words:
-            return 0.0, 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0
         v = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-        strong = v[v > MARGIN]
-        # First the whole text's log-likelihoods, one less the other, a word; ordinary words count against toxic ones.
-        return float(v.mean()), float((strong - MARGIN).sum()), float(np.clip(np.sort(strong)[-3:], 0, 10).sum()), float(len(words))
+        whole = np.logaddexp(math.log(1 - SHARE), math.log(SHARE) + v).mean()
+        return float(whole), float(np.clip(np.sort(v[v > MARGIN])[-3:], 0, 10).sum()), float(len(words))
 
 
 def kneser_ney(ordinary: dict[str, int], toxic: dict[str, int], order: int = ORDER, discount: float = DISCOUNT) -> tuple[dict[str, float], dict[str, float]]:
@@ -115,10 +116,19 @@ def kneser_ney(ordinary: dict[str, int], toxic: dict[str, int], order: int = ORD
     return seen, back
 
 
-def evidence_of(features: np.ndarray, excess: float) -> np.ndarray:
-    """What the curve is over: mean, excess beyond that of ordinary words, strongest words, logarithm of the length."""
-    n = np.maximum(features[:, 3], 1.0)
-    return np.c_[features[:, 0], (features[:, 1] - excess * features[:, 3]) / np.sqrt(n), features[:, 2], np.log(n)]
+#: The whole text's difference is a few hundredths; the curve is over hundredths, so that its ridge weighs on all alike.
+UNIT = 0.01
+
+
+def evidence_of(features: np.ndarray) -> np.ndarray:
+    """What the curve is over: the whole text's difference a word, its strongest words, the logarithm of its length."""
+    return np.c_[features[:, 0] / UNIT, features[:, 1], np.log(np.maximum(features[:, 2], 1.0))]
+
+
+def curve_of(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the curve (first: intercept); the difference's is at least zero, and the others are fitted without it then."""
+    w = logistic(x, y, weight)
+    return w if w[1] >= 0 else np.insert(logistic(x[:, 1:], y, weight), 1, 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -182,7 +192,7 @@ def count_grams(texts: DataFrame) -> dict[str, list[int]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY):
-    """The model: (seen, back, excess of an ordinary word, weights of the curve), or the share of toxic rows where a class is missing."""
+    """The model: (seen, back, weights of the curve), or the share of toxic rows where a class is missing."""
     ship(docs.sparkSession)
     texts, weights = sample(docs, labels, max_toxic, max_ordinary)
     rows = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -201,14 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
         models = [Evidence(*m) for m in crossed.value]
         for batch in batches:
             found = [models[fold_of(t or "")].features(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in range(4)), batch.column(1)], ["a", "b", "c", "n", "toxic"])
-
-    got = texts.select("text", "toxic").mapInArrow(tidied(run), "a double, b double, c double, n double, toxic int").toArrow()
-    x, y = np.stack([got.column(n).to_numpy() for n in ("a", "b", "c", "n")], 1), got.column("toxic").to_numpy()
-    ordinary = x[y == 0].sum(0)
-    excess = float(ordinary[1] / max(1.0, ordinary[3]))
-    curve = logistic(evidence_of(x, excess), y.astype(float), np.where(y == 1, weights[1], weights[0]))
-    model = (*fit((0, 1)), excess, curve)
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), batch.column(1)], ["whole", "strong", "n", "toxic"])
+
+    got = texts.select("text", "toxic").mapInArrow(tidied(run), "whole double, strong double, n double, toxic int").toArrow()
+    x, y = np.stack([got.column(n).to_numpy() for n in ("whole", "strong", "n")], 1), got.column("toxic").to_numpy()
+    curve = curve_of(evidence_of(x), y.astype(float), np.where(y == 1, weights[1], weights[0]))
+    model = (*fit((0, 1)), curve)
     crossed.destroy()
     discard(texts)
     return model
@@ -220,13 +228,13 @@ class Scorer:
     def __init__(self, model):
         self.flat = model if isinstance(model, float) else None
         if self.flat is None:
-            seen, back, self.excess, self.curve = model
+            seen, back, self.curve = model
             self.evidence = Evidence(seen, back)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if self.flat is not None:
             return np.full(len(texts), self.flat)
-        x = evidence_of(np.array([self.evidence.features(t or "") for t in texts.cast(pa.string()).to_pylist()]).reshape(-1, 4), self.excess)
+        x = evidence_of(np.array([self.evidence.features(t or "") for t in texts.cast(pa.string()).to_pylist()]).reshape(-1, 3))
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
 
 

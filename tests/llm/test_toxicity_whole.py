@@ -14,20 +14,46 @@ from mathlake.llm import toxicity
 def test_weak_and_ordinary_words_count():
     evidence = toxicity.Evidence({}, {})
     evidence.update({"mild": 1.0, "kind": -1.0, "foul": 9.0})
-    mild, kind, none = (evidence.features(t)[0] for t in ("mild mild", "kind mild kind", ""))
+    mild, kind, none = (evidence.features(t)[0] for t in ("mild mild", "kind " * 3 + "mild", ""))
     assert kind < none < mild
     assert evidence.features("foul " + "kind " * 999)[0] < 0 < evidence.features("foul kind")[0]
 
 
 def test_no_strong_word_is_not_an_empty_text():
     evidence = toxicity.Evidence({}, {})
-    scorer = toxicity.Scorer(({}, {}, 0.0, np.array([-1.0, 1.0, 0.0, 0.0, 0.0])))
+    scorer = toxicity.Scorer(({}, {}, np.array([-1.0, 1.0, 0.0, 0.0])))
     scorer.evidence = evidence
     evidence.update({"mild": 1.0, "kind": -1.0})
     mild, kind, none = scorer(pa.array(["mild", "kind", ""]))
     assert kind < none < mild
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_score_equals_its_definition(seed):
+    """Likelihoods as products of each word's share of both models, ratios of them a word, and the curve over that."""
+    rng = random.Random(seed)
+    ratio = {w: math.exp(rng.gauss(0, 4)) for w in ("alba", "bero", "cilu", "dapo", "efra")}
+    curve = np.array([rng.gauss(0, 1), 0.3, 0.2, -0.1])
+    scorer = toxicity.Scorer(({}, {}, curve))
+    scorer.evidence.update({w: math.log(r) for w, r in ratio.items()})
+    texts = [" ".join(rng.choice(list(ratio)) for _ in range(n)) for n in (0, 1, 2, 5, 40)]
+    for text, got in zip(texts, scorer(pa.array(texts)), strict=True):
+        words = text.split()
+        whole = math.prod(1 - toxicity.SHARE + toxicity.SHARE * ratio[w] for w in words)
+        strong = sorted((math.log(ratio[w]) for w in words if math.log(ratio[w]) > toxicity.MARGIN), reverse=True)[:3]
+        n = max(1, len(words))
+        z = curve[0] + curve[1] * math.log(whole) / n / toxicity.UNIT + curve[2] * sum(min(v, 10) for v in strong) + curve[3] * math.log(n)
+        assert math.isclose(got, 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+
+
+def test_difference_never_counts_against():
+    rng = np.random.default_rng(0)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.c_[-y + rng.normal(0, 1, 400), y + rng.normal(0, 0.5, 400), rng.normal(0, 1, 400)]
+    w = toxicity.curve_of(x, y, np.ones(400))
+    assert w[1] == 0 and w[2] > 0 and toxicity.logistic(x, y, np.ones(400))[1] < 0
+
+
 def plain_kneser_ney(classes, order, d):
     """The two models from their definition: interpolated absolute discounting over one lower-order model of both classes."""
     both = set().union(*classes)
