@@ -1,12 +1,13 @@
 """Personal data by base patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
 Base patterns find emails, addresses of machines, cards and phones; tokens of 32 hexadecimal digits and more, letters among
-them, are seeds of a fifth kind, secrets. The words before a seed are its lexical patterns (the last word and the
-last two of the 256 characters before it, quotes and opening brackets left out). Every other token with a digit, groups of
-digits joined, is a candidate with patterns of its own.
+them, are seeds of a fifth kind, secrets. A seed's patterns are the last word before it, the last two, the last one with the
+seed's shape (runs of digits and of letters told apart, whatever their length), and the word after it; quotes and brackets
+are left out, and white space is one space. Every other token with a digit, groups of digits joined, is a candidate with
+patterns of its own.
 Patterns and instances form a graph that is scored in rounds: a pattern's confidence is the share of its distinct
 instances that are known, an instance's confidence one less the product of its patterns' doubts; confident instances
-become known and feed the next round. The patterns that are confident at the end mark candidates that no base pattern
+become known and feed the next round, until none is added. The patterns that are confident then mark candidates that no base pattern
 sees, the seeds of secrets among them: a long number without such a pattern before it is left alone. Base spans always stay.
 
 The graph is pre-aggregated to distinct (pattern, instance) pairs before each shuffle and holds a hash of each instance, so a
@@ -14,6 +15,7 @@ frequent word before many identifiers is one counted group, never a list. Regula
 which neither back-track nor recurse over long runs.
 
 Defined cases: null text has no spans; spans of different kinds may overlap; positions are code points, ends exclusive;
+a word counts by the WORD characters next to the match;
 repeated rows and null doc_ids are rows of their own; an empty table gives no rows; `mask` keeps all other columns.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ["email", "ip", "card", "phone"]
 ALL = [*KINDS, "secret"]
@@ -38,9 +40,12 @@ PATTERNS = {
 GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 CANDIDATE = r"(?<![A-Za-z0-9])(?:[A-Za-z]++[-_.:/])*+[A-Za-z]*+[0-9](?:[-_./+:=]?[A-Za-z0-9]|\x20[0-9])*+"
 SECRET = r"\A(?=[0-9a-fA-F]*+\z)(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F]).{32,}\z"
-ROUNDS, SUPPORT, SURE = 2, 5, 0.9
-#: Characters before a match that its patterns come from, and matches of a text that are folded at once.
-CONTEXT, BLOCK = 256, 1000
+#: Known instances that a pattern needs at least, and the confidence from which patterns and instances are sure.
+SUPPORT, SURE = 5, 0.9
+#: Characters of a word that count, characters kept before a match (two such words and more), matches of a text folded at once.
+WORD, CONTEXT, BLOCK = 100, 256, 1000
+QUOTES = r"\"'`(\[{<"
+AFTER = r"\A[\s\"'`)\]}>.,;:!?]*+([^\s\"'`)\]}>.,;:!?]++)"
 #: Confident patterns that are written into the plan at most; more are joined.
 LITERALS = 256
 SPAN = "array<struct<start:int,end:int,found:long,secret:boolean,patterns:array<string>>>"
@@ -73,11 +78,31 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def patterns_of(context: Column) -> Column:
-    """The last word and the last two."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(context), r"[\s\"'`(\[{<]+\z", "")), r"\s+")
-    two = lambda w: F.array(F.array_join(F.slice(F.concat(F.array(F.lit("")), w), -2, 2), " "), F.element_at(w, -1))
-    return F.filter(F.array_distinct(F.transform(let(words, two), F.trim)), lambda p: p != "")
+def squeezed(s: Column) -> Column:
+    return F.regexp_replace(s, r"\s++", " ")
+
+
+def shape(m: Column) -> Column:
+    """A match with each run of digits alone as 9, each other run of letters and digits as x."""
+    return F.regexp_replace(F.regexp_replace(F.lower(m), "[0-9]*+[a-z][a-z0-9]*+", "x"), "[0-9]++", "9")
+
+
+def patterns_of(before: Column, m: Column, after: Column) -> Column:
+    """The last word before, the last two, the last with the match's shape, the first after. Tabs, which no word has, tell
+    the kinds of patterns apart.
+    """
+    bare = F.rtrim(F.regexp_replace(F.lower(before), rf"[\s{QUOTES}]+\z", ""))
+    words = F.transform(F.split(F.trim(bare), " "), lambda w: F.right(w, F.lit(WORD)))
+    next_ = F.lower(F.left(F.regexp_extract(after, AFTER, 1), F.lit(WORD)))
+
+    def all_(w: Column) -> Column:
+        last = F.element_at(w, -1)
+        two = F.array_join(F.slice(F.concat(F.array(F.lit("")), w), -2, 2), " ")
+        shaped = F.when(last != "", F.concat(last, F.lit("\t"), F.xxhash64(shape(m)).cast("string")))
+        follows = let(next_, lambda n: F.when(n != "", F.concat(F.lit("\t"), n)))
+        return F.array_distinct(F.filter(F.array(F.trim(two), last, shaped, follows), lambda p: p != ""))
+
+    return let(words, all_)
 
 
 def located(text: Column, pattern: str, ok, guard: Column, secret=None) -> Column:
@@ -87,20 +112,25 @@ def located(text: Column, pattern: str, ok, guard: Column, secret=None) -> Colum
     folded in blocks, so that the list that grows in a fold stays short.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
+    gaps = F.split(text, pattern, -1)
+    pieces = let(gaps, lambda g: F.arrays_zip(found.alias("m"), F.slice(g, F.lit(1), F.size(found)).alias("g"), F.slice(g, F.lit(2), F.size(found)).alias("a")))
     nothing = F.array().cast(SPAN)
 
     def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + F.length(x["g"])
-        end, before = start + F.length(x["m"]), F.concat(s["tail"], x["g"])
-        of = (secret or (lambda m: F.lit(False)))(x["m"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.xxhash64(x["m"]).alias("found"), of.alias("secret"), patterns_of(F.right(before, F.lit(CONTEXT))).alias("patterns")))
-        return F.struct(end.alias("pos"), F.right(F.concat(before, x["m"]), F.lit(CONTEXT)).alias("tail"), F.when(ok(x["m"]), F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+        def put(before: Column) -> Column:
+            start = s["pos"] + F.length(x["g"])
+            end = start + F.length(x["m"])
+            of = (secret or (lambda m: F.lit(False)))(x["m"])
+            one = F.struct(start.alias("start"), end.alias("end"), F.xxhash64(x["m"]).alias("found"), of.alias("secret"), patterns_of(before, x["m"], x["a"]).alias("patterns"))
+            tail = F.right(squeezed(F.concat(before, x["m"])), F.lit(CONTEXT))
+            return F.struct(end.alias("pos"), tail.alias("tail"), F.when(ok(x["m"]), F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+
+        return let(F.right(squeezed(F.concat(s["tail"], x["g"])), F.lit(CONTEXT)), put)
 
     def blocks(p: Column) -> Column:
         def fold(b: Column) -> Column:
             earlier = F.transform(F.slice(p, b * BLOCK - (CONTEXT - 1), F.lit(CONTEXT)), lambda x: F.concat(x["g"], x["m"]))
-            tail = F.when(b > 0, F.right(F.array_join(earlier, ""), F.lit(CONTEXT))).otherwise("")
+            tail = F.when(b > 0, F.right(squeezed(F.array_join(earlier, "")), F.lit(CONTEXT))).otherwise("")
             begin = F.struct(F.lit(0).alias("pos"), tail.alias("tail"), nothing.alias("out"))
             return F.aggregate(F.slice(p, b * BLOCK + 1, F.lit(BLOCK)), begin, step, lambda s: F.struct(s["pos"].alias("size"), s["out"].alias("out")))
 
@@ -150,18 +180,22 @@ def score_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
     return counts.select("pattern", kind.alias("kind"), (best / F.col("n")).alias("confidence"), best.alias("support"))
 
 
-def learn(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
-    """The confident patterns (pattern, kind) after the rounds."""
+def learn(rows: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+    """The patterns (pattern, kind) that are confident once no round adds an instance; each round adds one at least."""
     edges = materialise(graph(rows), "pii-graph")
     pairs = edges.select("pattern", "instance").distinct()
-    known = edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"))
-    for _ in range(rounds):
-        strong = score_patterns(pairs, known).filter((F.col("support") >= support) & (F.col("confidence") >= sure))
+    known = materialise(edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "pii-known")
+    while True:
+        strong = materialise(score_patterns(pairs, known).filter((F.col("support") >= support) & (F.col("confidence") >= sure)), "pii-patterns")
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
         fresh = pairs.join(strong, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"), F.min_by("kind", F.struct(-F.col("confidence"), "kind")).alias("known"))
-        promoted = fresh.filter(F.col("score") >= sure).select("instance", "known").join(known.select("instance"), "instance", "left_anti")
-        known = materialise(known.unionByName(promoted), "pii-known")
-    return materialise(score_patterns(pairs, known).filter((F.col("support") >= support) & (F.col("confidence") >= sure)).select("pattern", "kind"), "pii-patterns")
+        promoted = materialise(fresh.filter(F.col("score") >= sure).select("instance", "known").join(known.select("instance"), "instance", "left_anti"), "pii-promoted")
+        if promoted.isEmpty():
+            discard(edges, known, promoted)
+            return strong.select("pattern", "kind")
+        more = materialise(known.unionByName(promoted), "pii-known")
+        discard(known, strong, promoted)
+        known = more
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None, literals: int = LITERALS) -> DataFrame:

@@ -239,6 +239,55 @@ def test_secrets_are_found_by_what_stands_before_them(spark, literals):
     assert [text[53][a:b] for a, b in rows[53]] == ["B9"]
 
 
+def checked(digits):
+    """digits with a last one that makes Luhn's sum a multiple of ten."""
+    total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def test_words_after_and_shapes_find_unseen_identifiers(spark):
+    """Of each kind 30 seeds, three identifiers without a base form in the same context, and 30 like them elsewhere."""
+    kinds = {
+        "email": (lambda i: f"u{i}x@host{i}.org", lambda i: f"u{i:02d}x"),
+        "ip": (lambda i: f"10.1.{i}.7", lambda i: f"10.{i:02d}"),
+        "card": (lambda i: checked(f"4539148803436467{i:02d}"), lambda i: f"45391488{i:02d}"),
+        "phone": (lambda i: f"+1 555 1234{i:03d}", lambda i: f"555-99{i:02d}"),
+    }
+    docs, planted, word = [], {}, lambda i: "w" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
+    for n, (kind, (seed, unseen)) in enumerate(kinds.items()):
+        for i in range(30):
+            docs += [(1000 * n + i, f"{word(i)} {seed(i)} zu{kind}"), (1000 * n + 500 + i, f"misc {unseen(i + 40)} else")]
+        for i in range(3):
+            planted[1000 * n + 100 + i] = f"{kind}:4:{4 + len(unseen(i))}"
+            docs.append((1000 * n + 100 + i, f"any, {unseen(i)} zu{kind}".replace("any,", word(i + 40)[:2] + "y")))
+    for i in range(30):  # a word alone is no pattern where half of what stands behind it are numbers; word and shape are
+        docs += [(9000 + i, f"use {hashlib.sha1(str(i).encode()).hexdigest()}."), (9100 + i, f"use {i + 1000}.")]
+    docs += [(9200 + i, f"use a{i}b{i}c.") for i in range(3)]
+    planted |= {9200 + i: "secret:4:9" for i in range(3)}
+    rows = {r.doc_id: r for r in pii.digest(table(spark, docs)).collect()}
+    assert all(r.spans == "secret:4:44" for i, r in rows.items() if 9000 <= i < 9100)
+    assert {i: r.spans for i, r in rows.items() if r.n_spans and not sum(r[f"n_{k}"] for k in BASE) and not 9000 <= i < 9100} == planted
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """Each context is confident only once the six tokens are known that the context before it makes known: five rounds."""
+    docs, token = [], lambda c, i: f"{c}{i}-{c}{i}"
+    contexts = "abcdef"
+    for k, c in enumerate(contexts):
+        held = [f"+{k + 1} 555 1234{i:03d}" for i in range(54 if k else 60)]
+        held += [token(c, i) for i in range(6 if k else 0)] + [token(chr(ord(c) + 1), i) for i in range(6)]
+        docs += [(1000 * k + i, f"{c}word {h}") for i, h in enumerate(held)]
+    rows = {r.doc_id: r.spans for r in pii.digest(table(spark, docs)).collect()}
+    assert all(rows[i].startswith("phone:6:") for i, _ in docs) and len(rows) == len(docs)
+
+
+def test_long_words_count_by_their_ends(spark):
+    long = lambda c: c * 700 + "z" * pii.WORD
+    docs = [(i, f"{long('ab'[i % 2])}{' ' * 600}+1 555 1234{i:03d} w{i}") for i in range(20)] + [(50, f"{long('c')}\n\n555-1234 x"), (51, f"{'z' * 50} 555-1235 y")]
+    rows = {r.doc_id: r.spans for r in pii.digest(table(spark, docs)).collect()}
+    assert rows[50] == f"phone:{702 + pii.WORD}:{710 + pii.WORD}" and rows[51] == ""
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
