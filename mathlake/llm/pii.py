@@ -169,21 +169,24 @@ def graph(rows: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """pattern, kind, confidence and support of every pattern: known instances of its best kind over all instances.
+    """pattern, kind, confidence and support of every pattern: known instances of its best kind over all instances; and
+    whether it has a candidate that it could mark.
 
     An instance counts under one kind at most, its seed kind or the one it was promoted to.
     """
     label = edges.join(known, "instance", "left")
-    counts = label.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(k) for k in ALL))
+    counts = label.groupBy("pattern").agg(F.count("*").alias("n"), F.bool_or("free").alias("marks"), *(F.count_if(F.col("known") == k).alias(k) for k in ALL))
     best = F.greatest(*ALL)
     kind = F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in ALL))
-    return counts.select("pattern", kind.alias("kind"), (best / F.col("n")).alias("confidence"), best.alias("support"))
+    return counts.select("pattern", kind.alias("kind"), (best / F.col("n")).alias("confidence"), best.alias("support"), "marks")
 
 
 def learn(rows: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
-    """The patterns (pattern, kind) that are confident once no round adds an instance; each round adds one at least."""
+    """The patterns (pattern, kind) that are confident once no round adds an instance, and that mark candidates. Each round
+    but the last adds an instance at least.
+    """
     edges = materialise(graph(rows), "pii-graph")
-    pairs = edges.select("pattern", "instance").distinct()
+    pairs = edges.groupBy("pattern", "instance").agg(F.bool_or(F.col("kind").isNull() | (F.col("kind") == "secret")).alias("free"))
     known = materialise(edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "pii-known")
     while True:
         strong = materialise(score_patterns(pairs, known).filter((F.col("support") >= support) & (F.col("confidence") >= sure)), "pii-patterns")
@@ -192,7 +195,7 @@ def learn(rows: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFr
         promoted = materialise(fresh.filter(F.col("score") >= sure).select("instance", "known").join(known.select("instance"), "instance", "left_anti"), "pii-promoted")
         if promoted.isEmpty():
             discard(edges, known, promoted)
-            return strong.select("pattern", "kind")
+            return strong.filter("marks").select("pattern", "kind")
         more = materialise(known.unionByName(promoted), "pii-known")
         discard(known, strong, promoted)
         known = more
