@@ -18,12 +18,8 @@ PAIRS = """r as (select vec_id, list_transform(embedding, lambda x: cast(floor((
  p as (select a.vec_id, case when a.vec_id % 6 = 5 then cast([] as int[]) else a.v end as a, case a.vec_id % 6 when 3 then null when 4 then b.v[1:40] when 5 then cast([] as int[]) else b.v end as b from r a join r b on b.vec_id = a.vec_id + 1)"""
 
 
-def _grey(c: str) -> Column:
-    return F.transform(c, lambda x: F.floor((x + 1) * 127).cast("int"))
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "embeddings").select("vec_id", _grey("embedding").alias("a"))
+    r = table(spark, sf_dir, "embeddings").select("vec_id", corpus.grey("embedding").alias("a"))
     both = r.join(r.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     kind, none = F.col("vec_id") % 6, F.array().cast("array<int>")
     second = F.when(kind == 4, F.slice("b", 1, 40)).when(kind == 5, none).when(kind != 3, F.col("b"))
@@ -59,7 +55,7 @@ SHAPED = """with e as (select vec_id, list_transform(embedding, lambda x: cast(f
 
 @query(SHAPED)
 def visual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", _grey("embedding").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", corpus.grey("embedding").alias("v"))
     kind = F.col("vec_id") % 3
     width, height = F.when(kind == 0, 64).when(kind == 1, 8).otherwise(5), F.when(kind == 0, 1).when(kind == 1, 8).otherwise(4)
     rasters = e.select("vec_id", width.alias("width"), height.alias("height"), F.slice("v", F.lit(1), width * height).alias("pixels"))

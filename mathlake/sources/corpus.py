@@ -5,7 +5,8 @@ chr(92) is a backslash, chr(10) a newline, chr(96) a back-tick: so spelt they me
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One raw engine response per part; twelve kinds, one per branch of cleaning and gates.
 OCR_RAW = """case p_partkey % 12
@@ -79,6 +80,12 @@ def derived(spark: SparkSession, sf_dir: str, name: str, *expressions: str) -> D
     return spark.sql(f"select {', '.join(expressions)} from {view}")
 
 
+def grey(c: str) -> Column:
+    """Vectors of single precision as grey values, in single precision as in the SQL: Spark takes whole numbers beside it for doubles."""
+    one = lambda n: F.lit(n).cast("float")
+    return F.transform(c, lambda x: F.floor((x + one(1)) * one(127)).cast("int"))
+
+
 def ocr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "part", "p_partkey as cand_id", "p_size", f"{OCR_RAW} as raw")
 

@@ -35,3 +35,18 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     assert len(got)
+
+
+@pytest.fixture(scope="module")
+def edges(tmp_path_factory):
+    """Vectors whose grey values differ between single and double precision."""
+    folder = str(tmp_path_factory.mktemp("edges"))
+    duckdb.sql(f"copy (select i as vec_id, list_transform(range(64), lambda k: case when (i + k) % 2 = 0 then -0.094488225877285::float else 0.3::float end) as embedding, 0 as label from range(60) t(i)) to '{folder}/embeddings.parquet' (format parquet)")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["difference_histogram", "raster_similarity", "visual_scores"])
+def test_grey_values_in_single_precision(spark, edges, name):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{edges}/embeddings.parquet'")
+    assert rows(QUERIES[name](spark, edges).toPandas()) == rows(con.sql(ORACLE_SQL[name]).df())
