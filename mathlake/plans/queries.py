@@ -643,8 +643,7 @@ RASTERS = "with r as (select vec_id, list_transform(embedding, lambda x: cast(fl
 
 @query(RASTERS + "x as (select vec_id, unnest(['original', 'padded', 'grayscale_contrast', 'binarized']) as variant, unnest([v, v, list_transform(v, lambda p: cast(greatest(0, least(255, mean + 2 * (p - mean))) as int)), list_transform(v, lambda p: case when p > 153 then 255 else 0 end)]) as w from m) select vec_id, variant, cast(len(w) + case variant when 'original' then 0 else 6 end as int) as width, case variant when 'original' then 1 else 7 end as height, cast(255 * len(w) - list_sum(w) as bigint) as ink from x")
 def raster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("width"), F.lit(1).alias("height"), pixels.alias("pixels"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("width"), F.lit(1).alias("height"), corpus.grey("embedding").alias("pixels"))
     out = external.raster_variants(rows, ["vec_id"], ["original", "padded", "grayscale_contrast", "binarized"], padding=3)
     ink = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + (F.lit(255) - p))
     return out.select("vec_id", "variant", "width", "height", ink.alias("ink"))

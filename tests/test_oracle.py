@@ -45,7 +45,7 @@ def edges(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["difference_histogram", "raster_similarity", "visual_scores"])
+@pytest.mark.parametrize("name", ["difference_histogram", "raster_similarity", "visual_scores", "raster_variants"])
 def test_grey_values_in_single_precision(spark, edges, name):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{edges}/embeddings.parquet'")
