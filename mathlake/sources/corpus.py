@@ -103,7 +103,12 @@ def docs_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "lineitem", CANDIDATES)
+    """The place first and the other columns from it: only what is stored is dealt out, and what groups by formula stays where it is."""
+    place = f"row_number() over (partition by l_orderkey order by {ORDER})"
+    rows = table(spark, sf_dir, "lineitem").withColumn("__n", F.expr(place))
+    rows.createOrReplaceTempView("mathlake_lineitem")
+    out = CANDIDATES.replace(place, "__n").replace("l_orderkey as formula_id", "l_orderkey")
+    return spark.sql(f"select {out} from mathlake_lineitem").withColumnRenamed("l_orderkey", "formula_id")
 
 
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:

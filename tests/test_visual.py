@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathlake.operators import audit, resolve, search, select, validate, visual
+from mathlake.sources import corpus
 
 RASTER = "struct<width:int,height:int,pixels:array<int>>"
 
@@ -108,6 +109,24 @@ def test_search_equals_contains(spark, query):
     assert got == [r.k for r in known.collect() if query.lower() in r.text]
 
 
+def test_candidates_are_dealt_once(spark, sf):
+    """What groups candidates by formula needs no exchange beside the one that numbers them."""
+    lists = corpus.candidates(spark, sf).groupBy("formula_id").agg(F.max("latex"))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_postings_are_few_and_whole(spark):
+    texts = ["formula source original %03d é" % (k * 7 % 500) if k % 9 else None for k in range(200)] + ["x" * 5000 + "end"]
+    known = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    posted = search.postings(known, ["k"]).cache()
+    rows = posted.count()
+    assert rows < sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts if t) / 5  # a row for each gram of each text before
+    for query in ("formula", "l 07", "77 é", "xxx", "xend", "none", " é"):
+        assert sorted(r.k for r in search.search(posted, known, ["k"], query).collect()) == [k for k, t in enumerate(texts) if t and query in t]
+    posted.unpersist()
+
+
 def test_pages_are_escaped_and_linked(spark):
     rows = spark.createDataFrame([(1, "f2", "valid", "a < b", None, 1), (1, "f1", "invalid", None, None, 0)], "doc_id int, formula_id string, row_class string, selected_latex string, selected_preview string, n_candidates int")
     c = spark.createDataFrame([("f2", 2, "p", {"tex": "/w/r/t 'x'.tex"}), ("f2", 1, "p", {"png": "/w/png/a.png", "none": None})], "formula_id string, idx int, source string, artifacts map<string,string>")
