@@ -105,3 +105,11 @@ def test_error_summary_takes_eight_lines_or_the_tail(spark):
     many, long = "\n".join(f"! e{i}" for i in range(20)), "x" * 3000
     got = column(spark, [many, long, "", None], lambda c: logs.latex_error(c, F.lit(""), F.lit(None).cast("string")))
     assert got == ["\n".join(f"! e{i}" for i in range(8)), "x" * 1200, "xelatex failed", "xelatex failed"]
+
+
+def test_repairs_of_one_file_are_many_tasks(spark):
+    """One partition of short texts is dealt out before it is cleaned; nothing else changes."""
+    rows = spark.createDataFrame([(i, ("htarrow A^{}", "x", "\\[ y \\]", None)[i % 4]) for i in range(40)], "k int, s string")
+    found = text.repairs(rows.coalesce(1), ["k"], "s")
+    assert found.rdd.getNumPartitions() > 1
+    assert sorted(r.k for r in found.select("k").distinct().collect()) == [i for i in range(40) if i % 4 == 0]
