@@ -15,6 +15,8 @@ from ..functions.gates import empty_reason, usable
 from ..functions.text import clean_latex
 
 Engine = Callable[[pd.DataFrame], pd.Series]
+#: The index of a batch of one row.
+ALONE = pd.RangeIndex(1)
 
 
 def engine_plan(spark: SparkSession, settings: dict[str, Any], availability: dict[str, tuple[bool, str | None]] | None = None) -> DataFrame:
@@ -90,26 +92,31 @@ def run_engines(work: DataFrame, engines: dict[str, Engine], keys: list[str], im
 
         for rows in parts:
             rows = rows.reset_index(drop=True)
-            out = rows[names].assign(raw=None, __error=None, elapsed_seconds=0.0)
+            raw, error, took = [None] * len(rows), [None] * len(rows), [0.0] * len(rows)
 
-            def call(mine: pd.DataFrame, source: str, out=out) -> None:
+            def call(mine: pd.DataFrame, source: str, at: list[int], raw=raw, error=error, took=took) -> None:
                 began = time.time()
                 try:
-                    found = [str(x) for x in engines[source](mine.reset_index(drop=True))]
+                    found = [str(x) for x in engines[source](mine)]
                     if len(found) != len(mine):
                         raise ValueError(f"{len(found)} results for {len(mine)} tasks")
-                    out.loc[mine.index, "raw"] = found
+                    for i, x in zip(at, found, strict=True):
+                        raw[i] = x
                 except Exception as e:  # noqa: BLE001  a row's failure is data
                     if len(mine) > 1:
-                        for i in mine.index:
-                            call(mine.loc[[i]], source)
+                        for k, i in enumerate(at):
+                            one = mine.iloc[k : k + 1]
+                            one.index = ALONE
+                            call(one, source, [i])
                         return
-                    out.loc[mine.index, "__error"] = f"{type(e).__name__}: {e}"
-                out.loc[mine.index, "elapsed_seconds"] = (time.time() - began) / len(mine)
+                    error[at[0]] = f"{type(e).__name__}: {e}"
+                each = (time.time() - began) / len(mine)
+                for i in at:
+                    took[i] = each
 
             for source, mine in rows.groupby("source", sort=False):
-                call(mine, source)
-            yield out
+                call(mine.reset_index(drop=True), source, list(mine.index))
+            yield rows[names].assign(raw=raw, __error=error, elapsed_seconds=took)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", raw string, __error string, elapsed_seconds double"
     dealt = work.select(*names, *([image] if image in work.columns else [])).repartition(partitions or work.sparkSession.sparkContext.defaultParallelism, *names)
