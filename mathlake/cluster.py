@@ -95,6 +95,14 @@ def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return out
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join with rows for each formula or document: sorted, never broadcast.
+
+    Its file is compressed many times over, so by its size it looks small enough to be sent whole to every executor.
+    """
+    return df.hint("merge")
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of materialise() that nothing lazy reads any more."""
     for df in frames:

@@ -29,14 +29,15 @@ def display_guess(alone: Column, width: Column | None = None, height: Column | N
     return F.when(alone | large, "display").otherwise("inline")
 
 
-def formulas_of(docs: DataFrame, extensions: list[str], keys: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def formulas_of(docs: DataFrame, extensions: list[str], keys: list[str] | None = None, sizes: DataFrame | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """One row a formula image: keys, seq, id, dest, alt, original_match, position, display_type_auto, png_path.
 
     docs holds the keys and markdown. Ids number formula images only, in document order; no text leaves the task
-    that parses it.
+    that parses it. parsed has the texts' images (with alone) where they were parsed before.
     """
     keys = keys or ["doc_id"]
-    rows = images(docs.select(*keys, "markdown"), alone=True).filter(has_extension(F.col("dest"), extensions))
+    found = images(docs.select(*keys, "markdown"), alone=True) if parsed is None else parsed
+    rows = found.filter(has_extension(F.col("dest"), extensions))
     if sizes is not None:
         rows = rows.join(sizes.select(*keys, "dest", "width", "height"), [*keys, "dest"], "left")
     guess = display_guess(F.col("alone"), *((F.col("width"), F.col("height")) if sizes is not None else ()))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import materialise, ship
+from ..cluster import growing, materialise, ship
 from ..functions.paths import basename, has_extension, normalise
 from ..functions.text import let, strip
 from ..sources.markdown import images
@@ -101,9 +101,9 @@ def assign(parsed: DataFrame, formulas: DataFrame, keys: list[str]) -> DataFrame
     ship(parsed.sparkSession)
     names = named(formulas, keys)
     images_ = parsed.select(*keys, F.col("start").alias("image_start"), F.col("end").alias("image_end"), name_of(F.col("dest")).alias("name"))
-    images_ = images_.join(names.select(*keys, "name").distinct(), [*keys, "name"], "left_semi")
+    images_ = images_.join(growing(names.select(*keys, "name").distinct()), [*keys, "name"], "left_semi")
     spans = names.groupBy(*keys, "name", F.col("start").alias("image_start"), F.col("end").alias("image_end")).agg(F.min("id").alias("id"))
-    found = images_.join(spans, [*keys, "name", "image_start", "image_end"], "left")
+    found = images_.join(growing(spans), [*keys, "name", "image_start", "image_end"], "left")
     found = materialise(found.withColumn("__open", F.count_if(F.col("id").isNull()).over(Window.partitionBy(*keys)) > 0), "merge-exact", "__open")
     done = found.filter("not __open").select(*keys, "image_start", "image_end", "id")
     late = found.filter("__open")
@@ -193,7 +193,7 @@ def locate(docs: DataFrame, wanted: DataFrame, keys: list[str], column: str = "m
 
 def fall_back(docs: DataFrame, formulas: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Formulas without an image: their recorded span where the text there is still the same, else the first place of it."""
-    left = formulas.join(assigned.select(*keys, "id"), [*keys, "id"], "left_anti")
+    left = formulas.join(growing(assigned.select(*keys, "id")), [*keys, "id"], "left_anti")
     found = locate(docs, left, keys)
     start = F.when(F.col("same"), F.col("start")).otherwise(F.col("first"))
     end = F.when(F.col("same"), F.col("end")).otherwise(F.col("first") + F.col("length"))
@@ -232,9 +232,10 @@ def rewrite(docs: DataFrame, replacements: DataFrame, keys: list[str], column: s
     """docs with every span replaced; spans must not overlap. One row a document comes together, never its neighbours.
 
     The gaps between spans are cut from pieces of bounded size and joined once with the new texts: linear in the spans.
+    Spans are looked up by their document, so no text is sorted.
     """
     spans = replacements.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("__s"))
-    rows = docs.join(spans, keys, "left")
+    rows = docs.join(spans.hint("shuffle_hash"), keys, "left")
     piece = lambda n: F.floor(n / PIECE).cast("int")
 
     def text(cut_up: Column) -> Column:
@@ -261,23 +262,24 @@ def forbidden_refs(texts: DataFrame, formulas: DataFrame, extensions: list[str],
     return held.unionByName(remains.select(*keys, F.lit("selected formula original_match remains").alias("reason"), "dest", F.col("original_match").alias("original"), F.array("id").alias("formula_ids")))
 
 
-def merge(docs: DataFrame, formulas: DataFrame, text_of: Column, extensions: list[str], keys: list[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def merge(docs: DataFrame, formulas: DataFrame, text_of: Column, extensions: list[str], keys: list[str], strict: bool = True, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Merged texts and the issues left. text_of is the replacement of a formula row. Strict raises on any issue.
-    Each step is written once to the shared folder, as several later ones read it.
+    Each step is written once to the shared folder, as several later ones read it. parsed has the texts' images where they
+    were parsed before.
 
     Spans that overlap are not applied: their ids become issues.
     """
     formulas = materialise(formulas.withColumn("__text", text_of), "merge-formulas")
-    taken = materialise(assign(images(docs.select(*keys, "markdown")), formulas, keys), "merge-taken")
+    taken = materialise(assign(images(docs.select(*keys, "markdown")) if parsed is None else parsed, formulas, keys), "merge-taken")
     spans = taken.select(*keys, "id", F.col("image_start").alias("start"), F.col("image_end").alias("end"))
     spans = materialise(spans.unionByName(fall_back(docs, formulas, taken, keys)), "merge-spans")
     problems = span_problems(spans, keys)
     bad = problems.select(*keys, F.explode("formula_ids").alias("id")).distinct()
     texts = formulas.select(*keys, "id", F.col("__text").alias("text"))
-    applied = spans.join(bad, [*keys, "id"], "left_anti").join(texts, [*keys, "id"])
+    applied = spans.join(bad, [*keys, "id"], "left_anti").join(growing(texts), [*keys, "id"])
     merged = materialise(rewrite(docs, applied, keys), "merged")
     none = F.lit(None).cast("string")
-    missing = formulas.join(spans.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, F.lit("formula image match not found during merge").alias("reason"), none.alias("dest"), none.alias("original"), F.array("id").alias("formula_ids"))
+    missing = formulas.join(growing(spans.select(*keys, "id")), [*keys, "id"], "left_anti").select(*keys, F.lit("formula image match not found during merge").alias("reason"), none.alias("dest"), none.alias("original"), F.array("id").alias("formula_ids"))
     issues = problems.select(*keys, "reason", none.alias("dest"), none.alias("original"), "formula_ids").unionByName(forbidden_refs(merged, formulas, extensions, keys)).unionByName(missing)
     if strict:
         MergeError.check(issues)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import growing
 from ..functions.gates import gate_reason
 from ..functions.latex import candidate_key
 from ..functions.text import strip
@@ -54,7 +55,7 @@ def select_candidates(formulas: DataFrame, candidates: DataFrame, settings: dict
     formula is invalid.
     """
     sticky = F.lit(False) if force else (F.coalesce(F.col("selected_source") == "manual", F.lit(False)) & (strip(F.coalesce("selected_latex", F.lit(""))) != ""))
-    rows = formulas.join(best(candidates, settings, keys), keys, "left")
+    rows = formulas.join(growing(best(candidates, settings, keys)), keys, "left")
     has = F.col("w").isNotNull()
     old = F.lit(None).cast("string") if force else F.when(F.col("selected_latex") != "", F.col("selected_latex"))
 

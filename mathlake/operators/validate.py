@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import materialise, ship
+from ..cluster import growing, materialise, ship
 from ..functions.gates import balanced, embedded_wrappers, needs_validation, stale
 from ..functions.latex import candidate_key, effective_display, latex_hash, validation_body
 from ..functions.text import clean_latex, repairs
@@ -27,15 +27,14 @@ def with_repairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """
     own = candidates.filter(F.col("repair_of").isNull()) if "repair_of" in candidates.columns else candidates
     text = F.when(F.coalesce("latex", F.lit("")) != "", F.col("latex")).otherwise(F.col("raw") if "raw" in candidates.columns else F.lit(""))
-    found = repairs(own.select(*keys, "idx", text.alias("text")), [*keys, "idx"], "text")
     key = candidate_key(F.col("candidate_key") if "candidate_key" in candidates.columns else F.lit(None), F.col("source"), F.col("variant"), F.col("idx"))
-    rows = found.join(own.select(*keys, "idx", "source", "variant", key.alias("repair_of")), [*keys, "idx"])
+    rows = repairs(own.select(*keys, "idx", "source", "variant", key.alias("repair_of"), text.alias("text")), [*keys, "idx", "source", "variant", "repair_of"], "text")
     rows = rows.withColumn("source", F.concat(F.coalesce("source", F.lit("unknown")), F.lit("_repair"))).withColumnRenamed("repaired", "latex")
     first = rows.groupBy(*keys, "source", "latex").agg(F.min(F.struct("idx", "repair_pos", "variant", "repair_of")).alias("f"))
-    fresh = first.join(candidates.select(*keys, "source", "latex").distinct(), [*keys, "source", "latex"], "left_anti")
+    fresh = first.join(growing(candidates.select(*keys, "source", "latex").distinct()), [*keys, "source", "latex"], "left_anti")
     last = candidates.groupBy(*keys).agg(F.max("idx").alias("__last"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("f.idx", "f.repair_pos"))
-    new = fresh.withColumn("__p", place).join(last, keys).select(*keys, (F.col("__last") + F.col("__p")).alias("idx"), "source", "f.variant", "latex", "f.repair_of", F.lit("pending").alias("validation_status"))
+    new = fresh.withColumn("__p", place).join(growing(last), keys).select(*keys, (F.col("__last") + F.col("__p")).alias("idx"), "source", "f.variant", "latex", "f.repair_of", F.lit("pending").alias("validation_status"))
     return candidates.unionByName(new, allowMissingColumns=True)
 
 
@@ -79,12 +78,13 @@ def validate(candidates: DataFrame, keys: list[str], validator: Validator = stru
     reaches the validator. Write the verdicts to a table and pass it as the cache of the next run, which then does no work.
     """
     ship(candidates.sparkSession)
-    rows = work(candidates, force)
-    shown = F.col(display) if display in rows.columns else F.lit(display)
-    rows = rows.withColumn("__display", shown)
+    shown = F.col(display) if display in candidates.columns else F.lit(display)
     early = F.when(F.col("clean") == "", "empty candidate").when(embedded_wrappers(F.col("clean")), "embedded math wrappers in candidate")
-    rows = rows.withColumn("__early", early)
-    jobs = rows.filter("todo and __early is null").groupBy("current_hash", F.col("__display").alias("display")).agg(F.first("clean").alias("clean"))
+    seen = lambda some: work(some, force).withColumn("__display", shown).withColumn("__early", early)
+    rows = seen(candidates)
+    # What candidates have in common is cleaned once for the validator.
+    told_by = [c for c in dict.fromkeys(("latex", "validation_status", "latex_hash", "artifact_hash", display)) if c in candidates.columns]
+    jobs = (rows if force else seen(candidates.select(*told_by).distinct())).filter("todo and __early is null").select("current_hash", F.col("__display").alias("display"), "clean").distinct()
     if cache is not None and not force:
         jobs = jobs.join(cache.select("current_hash", "display"), ["current_hash", "display"], "left_anti")
     jobs = jobs.select("current_hash", "display", validation_body(F.col("clean"), F.col("display"), mode).alias("body"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_latex, let
+from ..cluster import growing
+from ..functions.text import TASKS, clean_latex, let
 
 #: The canvas, its background, and the decimals of a stored score.
 CANVAS, WHITE, DECIMALS = (160, 80), 255, 4
@@ -136,19 +137,21 @@ def score_candidates(candidates: DataFrame, rasters: DataFrame, previews: DataFr
     """candidates whose valid rows without a visual_score have it, where the formula's raster and the preview are there.
 
     rasters has one raster for each formula's keys, previews one for each latex_hash: what several candidates render is
-    drawn once, and a formula's candidates of one text are compared once.
+    drawn once, and a formula's candidates of one text are compared once. Pairs are dealt out before: comparing costs far
+    more than reading, and very many small rasters would be one task.
     """
+    tasks = TASKS * candidates.sparkSession.sparkContext.defaultParallelism
     wanted = F.when((F.col("validation_status") == "valid") & F.col("visual_score").isNull(), F.col("latex_hash"))
     rows = candidates.withColumn("__hash", wanted)
-    todo = rows.filter("__hash is not null").select(*keys, "__hash").distinct()
-    left = rasters.select(*keys, placed(raster(), canvas).alias("__a"))
+    todo = rows.filter("__hash is not null").select(*keys, "__hash").repartition(tasks, *keys).distinct()
+    left = rasters.select(*keys, placed(raster(), canvas).alias("__a")).repartition(tasks, *keys)
     right = previews.select(F.col("latex_hash").alias("__hash"), placed(raster(), canvas).alias("__b"))
-    scored = todo.join(left, keys).join(right, "__hash").select(*keys, "__hash", F.round(canvas_similarity(F.col("__a"), F.col("__b"), canvas), DECIMALS).alias("__score"))
-    out = rows.join(scored, [*keys, "__hash"], "left")
+    scored = todo.join(growing(left), keys).join(right, "__hash").select(*keys, "__hash", F.round(canvas_similarity(F.col("__a"), F.col("__b"), canvas), DECIMALS).alias("__score"))
+    out = rows.join(growing(scored), [*keys, "__hash"], "left")
     return out.select(*(F.coalesce("visual_score", "__score").alias(c) if c == "visual_score" else c for c in candidates.columns))
 
 
 def texts_to_draw(candidates: DataFrame) -> DataFrame:
-    """latex_hash, latex of the valid candidates, each text once: what a renderer has to draw."""
-    rows = clean_latex(candidates.filter("validation_status = 'valid'").select("latex_hash", "latex"), "latex", "clean")
+    """latex_hash, latex of the valid candidates, each text once: what a renderer has to draw. Equal texts are cleaned once."""
+    rows = clean_latex(candidates.filter("validation_status = 'valid'").select("latex_hash", "latex").distinct(), "latex", "clean")
     return rows.groupBy("latex_hash").agg(F.first("clean").alias("latex"))

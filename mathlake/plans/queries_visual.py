@@ -83,8 +83,8 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Two engines read x_{n} and v_{n}; the images show v_{n}, so the one that the priority list puts last looks right."""
     docs = corpus.docs_md(spark, sf_dir)
     engines = {"pix2tex": path_engine, "texteller": lambda rows: path_engine(rows).str.replace("x_", "v_")}
-    shown = pipeline.build_formulas(docs, settings()).select("doc_id", "id", F.concat(F.lit("v_{"), F.regexp_extract("png_path", r"(\d+)\.png", 1).cast("int").cast("string"), F.lit("}")).alias("t"))
-    rasters = shown.select("doc_id", "id", *_drawn(F.col("t")))
+    shown = F.concat(F.lit("v_{"), F.regexp_extract("png_path", r"(\d+)\.png", 1).cast("int").cast("string"), F.lit("}"))
+    rasters = lambda formulas: formulas.select("doc_id", "id", shown.alias("t")).select("doc_id", "id", *_drawn(F.col("t")))
     renderer = lambda texts: texts.select("latex_hash", *_drawn(F.col("latex")))
     return pipeline.full(docs, engines, settings(), rasters=rasters, renderer=renderer)
 

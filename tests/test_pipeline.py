@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathlake import config
-from mathlake.operators import audit, ocr, select, validate
+from mathlake.cluster import materialise
+from mathlake.operators import audit, merge, ocr, select, validate
 from mathlake.plans import pipeline
 from mathlake.streaming import attempts
 
@@ -124,6 +125,28 @@ def test_full_run(spark):
     assert [tuple(r) for r in out["summary"].collect()] == [(1, 2, 2, 0, [])]
 
 
+def test_a_whole_run_parses_its_texts_once(spark, monkeypatch):
+    seen, parse = [], merge.images
+    monkeypatch.setattr(merge, "images", lambda docs, *a, **k: seen.append(docs.columns) or parse(docs, *a, **k))
+    docs = spark.createDataFrame([(1, "a ![](m/a.wmf) b\n\n![](m/b.emf)\n")], "doc_id long, markdown string")
+    out = pipeline.full(docs, {"pix2tex": name_engine}, config.DEFAULTS)
+    assert out["merged"].first().merged == "a \\(x_{1}\\) b\n\n\\[\nx_{2}\n\\]\n"
+    assert len(seen) == 1  # the merged text, for what is left in it
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """Small compressed files are read as large tables: rows for each formula are never sent whole to every executor."""
+    c = materialise(spark.range(9).selectExpr("id as doc_id", "'f' as id", "1 as idx", "'p' as source", "'o' as variant", "'x' as raw", "'x' as latex", "'valid' as validation_status", "cast(null as double) as visual_score"), "test-candidates")
+    f = materialise(spark.range(9).selectExpr("id as doc_id", "'f' as id", "'' as selected_latex", "'' as selected_source", "'' as selected_candidate_key", "'pending' as validation_status"), "test-formulas")
+    docs = materialise(spark.range(9).selectExpr("id as doc_id", "'abc' as markdown"), "test-docs")
+    spans = materialise(spark.range(9).selectExpr("id as doc_id", "0 as start", "1 as end", "'y' as text"), "test-spans")
+    keys = ["doc_id", "id"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (validate.with_repairs(c, keys), select.select_candidates(f, c, config.DEFAULTS, keys), merge.rewrite(docs, spans, ["doc_id"])):
+        assert "Join" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    assert "ShuffledHashJoin" in plan(merge.rewrite(docs, spans, ["doc_id"]))  # no text is sorted
+
+
 def test_overlay_and_header():
     c = config.overlay(config.DEFAULTS, {"latex": {"mainfont": "X"}, "candidate_selection": {"priority": ["a"]}})
     assert c["latex"]["mainfont"] == "X" and c["latex"]["engine"] == "xelatex" and c["candidate_selection"]["priority"] == ["a"]

@@ -64,6 +64,14 @@ def test_a_missing_preview_wins_nothing(spark):
     assert got == {("f", 1): 1.0, ("f", 2): None, ("f", 3): None, ("f", 4): 0.5, ("g", 1): None, ("h", 1): None}
 
 
+def test_pairs_are_dealt_out_before_they_are_compared(spark):
+    c = spark.range(4).selectExpr("cast(id as string) as id", "1 as idx", "'valid' as validation_status", "cast(null as double) as visual_score", "'h' as latex_hash")
+    r, p = spark.range(4).selectExpr("cast(id as string) as id", "1 as width", "1 as height", "array(0) as pixels"), spark.range(1).selectExpr("'h' as latex_hash", "1 as width", "1 as height", "array(255) as pixels")
+    scored = visual.score_candidates(c, r, p, ["id"])
+    assert scored._jdf.queryExecution().executedPlan().toString().count(f", {4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM") == 2
+    assert [x.visual_score for x in scored.collect()] == [round(1 - 255 / (255 * 160 * 80), 4)] * 4
+
+
 FORM = "id string, selected_latex string, selected_source string, selected_candidate_key string, validation_status string, validation_error string"
 
 
