@@ -107,7 +107,8 @@ def validate(candidates: DataFrame, keys: list[str], validator: Validator = stru
 def compile_and_choose(formulas: DataFrame, candidates: DataFrame, manual: DataFrame, keys: list[str], validator: Validator = structural, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
     """formulas and candidates after manual LaTeX (keys, latex) was added, compiled and selected, valid or not.
 
-    Only the new candidates are compiled, each text once; of several for one formula the last one is selected.
+    Only the new candidates are compiled, each text once; of several for one formula the last one is selected. It is looked
+    up among the new ones: an older candidate of the same key is not meant, and the others stay where they are.
     """
     shown = {c: F.col(c) if c in formulas.columns else F.lit(None).cast("string") for c in ("display_type_manual", "display_type_auto")}
     new = manual_rows(candidates, manual, keys).withColumn("latex_hash", F.lit(None).cast("string"))
@@ -115,7 +116,7 @@ def compile_and_choose(formulas: DataFrame, candidates: DataFrame, manual: DataF
     done = materialise(validate(new, keys, validator, force=True, mode=mode)[0], "compiled")
     both = candidates.unionByName(done.drop("display", "is_balanced"), allowMissingColumns=True)
     last = done.groupBy(*keys).agg(F.max_by("candidate_key", "idx").alias("candidate_key"))
-    return choose(formulas, both, last, keys), both
+    return choose(formulas, done, last, keys), both
 
 
 def compile_runs(tex: DataFrame, runner: Callable[[str], tuple[int, str]], most: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import materialise
 from ..operators import select, validate, visual
 from ..sources import corpus
 from ..sources.corpus import table
@@ -121,6 +122,8 @@ def compiled_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = F.when(kind == 0, F.concat(F.lit(" m_{"), name, F.lit("}"))).when(kind == 1, F.concat(F.lit("m_{"), name)).when(kind == 2, " ").otherwise(F.concat(F.lit("a $$ "), name))
     forms = corpus.formulas(spark, sf_dir).withColumn("validation_error", F.lit(None).cast("string"))
     manual = forms.select("formula_id", typed.alias("latex"))
-    chosen, both = validate.compile_and_choose(forms, _keyed(corpus.candidates(spark, sf_dir)), manual, ["formula_id"])
-    place = both.select("formula_id", F.col("candidate_key").alias("selected_candidate_key"), "idx")
+    # Written once, as several steps read them: numbering moves every row.
+    have = materialise(_keyed(corpus.candidates(spark, sf_dir)), "candidates")
+    chosen, both = validate.compile_and_choose(forms, have, manual, ["formula_id"])
+    place = both.filter("source = 'manual'").select("formula_id", F.col("candidate_key").alias("selected_candidate_key"), "idx")
     return chosen.join(place, ["formula_id", "selected_candidate_key"]).select("formula_id", "selected_latex", "selected_source", "selected_candidate_key", "idx", "validation_status", "validation_error")

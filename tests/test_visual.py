@@ -96,6 +96,14 @@ def test_manual_text_is_compiled_before_it_is_selected(spark):
     assert sorted((r.id, r.idx, r.validation_status) for r in both.collect()) == [("a", 1, "valid"), ("a", 2, "valid"), ("b", 1, "invalid"), ("b", 2, "valid")]
 
 
+def test_what_was_typed_is_selected_among_the_new(spark):
+    """The first of two manual candidates is gone: the new one gets the key of the other, and is the one that is meant."""
+    f = spark.createDataFrame([("a", None, None, None, "pending", None)], FORM)
+    c = spark.createDataFrame([("a", 1, "manual", "manual", "old", "valid", "manual:manual:2")], "id string, idx int, source string, variant string, latex string, validation_status string, candidate_key string")
+    chosen, both = validate.compile_and_choose(f, c, spark.createDataFrame([("a", "new")], "id string, latex string"), ["id"])
+    assert [(r.id, r.selected_latex) for r in chosen.collect()] == [("a", "new")] and both.count() == 2
+
+
 def test_references_against_real_files(spark, tmp_path):
     (tmp_path / "md" / "m").mkdir(parents=True)
     (tmp_path / "m").mkdir()
