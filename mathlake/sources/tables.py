@@ -41,20 +41,26 @@ def blank(rows: DataFrame, part: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in have))
 
 
-def _in_order(place: str, item: Column) -> Column:
+def _in_order(items: Column, place: str) -> Column:
     """All items by their place alone: their maps cannot be compared."""
-    return F.array_sort(F.collect_list(F.struct(place, item)), lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))
+    return F.array_sort(F.collect_list(items), lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0))
 
 
 def assemble_manifests(formulas: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The inverse: one row a workdir with its formulas in order, each with its candidates in order."""
+    """The inverse: one row a workdir with its formulas in order, each with its candidates in order.
+
+    Formulas and candidates are dealt out once, by workdir, and meet by grouping: neither lists nor rows move again.
+    """
     inner = [f.name for f in T.StructType.fromDDL(f"c {CANDIDATE}")["c"].dataType.fields]
-    lists = candidates.groupBy("workdir", "id").agg(_in_order("idx", F.struct(*inner).alias("c")).alias("l"))
-    lists = lists.select("workdir", "id", F.transform("l", lambda x: x["c"]).alias("candidates"))
     names = [f.name for f in T.StructType.fromDDL(f"f {FORMULA}")["f"].dataType.fields]
-    rows = formulas.join(lists, ["workdir", "id"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE}>")))
-    sorted_ = rows.groupBy("workdir").agg(_in_order("seq", F.struct(*names).alias("f")).alias("l"))
-    return sorted_.select("workdir", F.transform("l", lambda x: x["f"]).alias("formulas"))
+    ids, none = ["workdir", "id"], F.lit(None)
+    own = formulas.select(*ids, F.struct("seq", *(n for n in names if n not in ("id", "candidates"))).alias("f"), none.alias("c"))
+    theirs = candidates.filter("workdir is not null and id is not null").select(*ids, none.alias("f"), F.struct("idx", F.struct(*inner).alias("c")).alias("c"))
+    met = own.unionByName(theirs).repartition("workdir").groupBy(*ids).agg(F.collect_list("f").alias("fs"), _in_order(F.col("c"), "idx").alias("l"))
+    rows = met.select(*ids, F.explode("fs").alias("x"), F.transform("l", lambda c: c["c"]).alias("candidates"))
+    item = F.struct(*(F.col(n) if n in ("id", "candidates") else F.col(f"x.{n}") for n in names))
+    lists = rows.groupBy("workdir").agg(_in_order(F.struct(F.col("x.seq").alias("seq"), item.alias("f")), "seq").alias("l"))
+    return lists.select("workdir", F.transform("l", lambda x: x["f"]).alias("formulas"))
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:

@@ -204,6 +204,15 @@ def test_manifest_round_trip(spark, tmp_path):
     assert second.id == "f0002" and second.position.end == 2 and second.candidates == []
 
 
+def test_manifests_are_dealt_out_once(spark):
+    f = spark.range(4).selectExpr("concat('w', id % 2) as workdir", "id as seq", "if(id = 3, null, concat('f', id)) as id")
+    c = spark.range(6).selectExpr("concat('w', id % 2) as workdir", "if(id = 5, null, concat('f', id % 3)) as id", "10 - id as idx", "concat('x_', id) as latex")
+    nested = tables.assemble_manifests(tables.blank(f, tables.FORMULA, ["workdir", "seq", "id"]), tables.blank(c, tables.CANDIDATE, ["workdir", "id", "idx"]))
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.workdir: [(x.id, [y.latex for y in x.candidates]) for x in r.formulas] for r in nested.collect()}
+    assert got == {"w0": [("f0", ["x_0"]), ("f2", ["x_2"])], "w1": [("f1", ["x_1"]), (None, [])]}
+
+
 def test_archive_counts_and_texts(spark, tmp_path):
     import zipfile
 
