@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -126,7 +127,7 @@ def assign(parsed: DataFrame, formulas: DataFrame, keys: list[str]) -> DataFrame
     return done.unionByName(turns.select(*keys, "image_start", "image_end", "id"))
 
 
-#: Patterns that are searched in one pass over a text; a document with more has its text read once for each so many.
+#: Patterns that are searched in one pass over a text; a text with more is read once for each so many.
 PATTERNS = 20_000
 
 
@@ -137,16 +138,17 @@ SHORT = 2
 def first_places(text: str, wanted: set[str]) -> dict[str, int]:
     """The first place of each wanted text that is there.
 
-    One automaton finds those of all in one pass; it stops when each was seen.
+    One automaton finds those of up to PATTERNS in one pass; it stops when each was seen.
     """
     alone = {t for t in wanted if len(t) <= SHORT or len(wanted) <= 4}
     first = {t: k for t in alone if (k := text.find(t)) >= 0}
-    if rest := wanted - alone:
+    rest = iter(wanted - alone)
+    while part := list(islice(rest, PATTERNS)):
         automaton = ahocorasick.Automaton()
-        for t in rest:
+        for t in part:
             automaton.add_word(t, t)
         automaton.make_automaton()
-        missing = len(rest)
+        missing = len(part)
         for end, t in automaton.iter(text):
             if t not in first:
                 first[t] = end - len(t) + 1
@@ -160,35 +162,42 @@ def locate(docs: DataFrame, wanted: DataFrame, keys: list[str], column: str = "m
     """keys, id, start, end, length, same, first of wanted (keys, id, start, end, original_match): whether its text stands at
     its span, and where it stands first. A text meets its formulas as one row, never one copy a formula.
     """
-    ship(docs.sparkSession)
-    kinds = dict(wanted.dtypes)
     numbered = wanted.select(*keys, F.struct("id", "start", "end", F.col("original_match").alias("original")).alias("w"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     part = F.pmod(F.xxhash64("w"), F.ceil(F.col("n") / PATTERNS))
     lists = numbered.groupBy(*keys, part.alias("part")).agg(F.collect_list("w").alias("__w"))
-    rows = lists.join(docs.select(*keys, F.col(column).alias("__t")), keys).select(*keys, "__w", "__t")
-    one = pa.list_(pa.struct([("same", pa.bool_()), ("first", pa.int32())]))
+    return locate_listed(lists.join(docs.select(*keys, F.col(column).alias("__t")), keys), keys, "__w", "__t")
+
+
+def locate_listed(rows: DataFrame, keys: list[str], listed: str, column: str = "markdown") -> DataFrame:
+    """What locate() returns, for rows whose formulas are already a list of (id, start, end, original) beside their text.
+
+    Each row is looked at where it lies: nothing is dealt out, sorted or joined, and formulas return as rows, not as lists.
+    """
+    ship(rows.sparkSession)
+    rows = rows.select(*keys, listed, column)
+    kinds = dict(rows.dtypes) | dict(rows.select(F.inline(listed)).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, texts = batch.column(len(keys)), batch.column(len(keys) + 1).to_pylist()
-            w = lists.flatten()
-            original, start, end = (w.field(c).to_pylist() for c in ("original", "start", "end"))
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+            lists, texts = batch.column(len(keys)), batch.column(len(keys) + 1).fill_null("")
+            counts = pc.list_value_length(lists).fill_null(0).to_numpy()
+            row = np.repeat(np.arange(len(batch)), counts)
+            ids, start, end, original = (lists.flatten().field(c) for c in ("id", "start", "end", "original"))
+            length = pc.utf8_length(original)
+            s, e, n = (c.fill_null(-1).to_numpy() for c in (start, end, length))
+            fits = ((0 <= s) & (s <= e) & (n >= 0) & (np.minimum(e, pc.utf8_length(texts).to_numpy()[row]) - s == n)).tolist()
+            s, wanted = s.tolist(), original.to_numpy(zero_copy_only=False).tolist()
             same, first, at = [], [], 0
-            for text, to in zip(texts, ends, strict=True):
-                text, mine = text or "", original[at:to]
-                found = first_places(text, {t for t in mine if t})
-                first += map(found.get, mine)
-                same += (s is not None and e is not None and t is not None and 0 <= s <= e and text.startswith(t, s) and text[s:e] == t for s, e, t in zip(start[at:to], end[at:to], mine, strict=True))
+            for text, to in zip(texts.to_pylist(), np.cumsum(counts).tolist(), strict=True):
+                mine = wanted[at:to]
+                first += map(first_places(text, {t for t in mine if t}).get, mine)
+                same += [ok and text.startswith(t, k) for ok, t, k in zip(fits[at:to], mine, s[at:to], strict=True)]
                 at = to
-            flat = pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array(first, pa.int32())], fields=list(one.value_type))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), flat)], [*keys, "__w", "__p"])
-
-    wanted_type = f"array<struct<id:{kinds['id']},start:{kinds['start']},end:{kinds['end']},original:string>>"
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"__w {wanted_type}, __p array<struct<same:boolean,first:int>>"
-    out = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("__w", "__p")).alias("z"))
-    w, p = F.col("z.__w"), F.col("z.__p")
-    return out.select(*keys, w["id"].alias("id"), w["start"].alias("start"), w["end"].alias("end"), F.length(w["original"]).alias("length"), p["same"].alias("same"), p["first"].alias("first"))
+            told = [ids, start, end, length, pa.array(same, pa.bool_()), pa.array(first, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(len(keys))), *told], [*keys, "id", "start", "end", "length", "same", "first"])
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in [*keys, "id", "start", "end"]) + "length int, same boolean, first int"
+    return rows.mapInArrow(run, schema)
 
 
 def fall_back(docs: DataFrame, formulas: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:

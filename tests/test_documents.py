@@ -139,6 +139,25 @@ def test_places_of_many_formulas(spark, monkeypatch):
             assert got[d, i] == (s is not None and t is not None and s <= e and text[s:e] == t, first if first >= 0 else None), i
 
 
+def test_places_of_listed_formulas(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab😀\n") for _ in range(2000))
+    mine = [(f"f{k}", s, s + n, text[s : s + n]) for k, (s, n) in enumerate((rng.randrange(1990), rng.randrange(1, 9)) for _ in range(300))]
+    mine += [("g1", 5, 8, "nowhere"), ("g2", None, 9, text[2:9]), ("g3", 2, None, text[2:9]), ("g4", 1, 2, None), ("g5", 2000, 2000, ""), ("g6", 2001, 2001, ""), ("g7", 1996, 2050, text[1996:]), ("g8", -2, 1, text[-2:])]
+    rows = [(1, mine, text), (None, mine, None), (3, None, text), (4, [], text), (1, [("h", 1, 4, "bcd")], "abcde"), (5, mine[:3], "")]
+    frame = spark.createDataFrame(rows, "doc_id long, l array<struct<id:string,start:int,end:int,original:string>>, markdown string")
+    for most in (20_000, 7):
+        monkeypatch.setattr(merge, "PATTERNS", most)
+        out = merge.locate_listed(frame, ["doc_id"], "l")
+        want = []
+        for d, l, t in rows:
+            for i, s, e, o in l or []:
+                t, first = t or "", (t or "").find(o) if o else -1
+                same = None not in (s, e, o) and 0 <= s <= e and t.startswith(o, s) and t[s:e] == o
+                want.append((d, i, s, e, None if o is None else len(o), same, first if first >= 0 else None))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_spans_against_the_farthest(spark):
     s = spark.createDataFrame([(1, "a", 0, 100), (1, "b", 5, 10), (1, "c", 20, 30), (1, "d", 100, 101), (2, "e", 0, 4), (2, "f", 4, 5)], "doc_id long, id string, start int, end int")
     pairs = lambda how: sorted(tuple(r.formula_ids) for r in merge.span_problems(s, ["doc_id"], how).collect())

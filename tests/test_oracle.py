@@ -50,3 +50,16 @@ def test_grey_values_in_single_precision(spark, edges, name):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{edges}/embeddings.parquet'")
     assert rows(QUERIES[name](spark, edges).toPandas()) == rows(con.sql(ORACLE_SQL[name]).df())
+
+
+def test_words_are_found_where_their_texts_lie(spark, tmp_path):
+    """Texts are dealt out once, their words never; rows that share an id, or have none, keep their own words."""
+    docs = [(1, "one two one"), (1, "one two one"), (1, "two ones"), (None, "no id"), (None, "no id"), (2, None), (3, ""), (4, "é, !"), (5, "xab ab é b")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["located_formulas"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and not any(x in plan for x in ("Window", "Join", "Generate"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["located_formulas"]).fetchall()
+    assert len(want) == 9 and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
